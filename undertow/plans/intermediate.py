@@ -33,6 +33,12 @@ def with_usd_rate(df, rates, day, alias="fx_rate_to_usd"):
     ).drop("_day", "_quote")
 
 
+def usd(amount, rate):
+    """``amount`` in dollars. Bounding the amount's digits leaves the quotient sixteen decimals;
+    dividing a wide sum directly would leave eight."""
+    return amount.cast("decimal(16,2)") / rate
+
+
 @model(
     "intermediate",
     typed="stg_order_items.quantity stg_order_items.line_amount stg_orders.order_date "
@@ -68,7 +74,7 @@ def int_orders_enriched(stg_orders, stg_order_items, stg_fx_rates):
         *[or_zero(F.col(c)).alias(c) for c in ("item_count", "unit_count", "items_amount")],
         rate,
         *[
-            (F.col(f"{c}_amount") / rate).alias(f"{c}_amount_usd")
+            usd(F.col(f"{c}_amount"), rate).alias(f"{c}_amount_usd")
             for c in ("net", "gross", "discount")
         ],
     )
@@ -271,14 +277,14 @@ def int_payment_attempts(stg_payments, stg_refunds, stg_chargebacks, stg_fx_rate
         "currency_code",
         "amount",
         rate,
-        (F.col("amount") / rate).alias("amount_usd"),
-        (refunded / rate).alias("refunded_amount_usd"),
-        (disputed / rate).alias("disputed_amount_usd"),
+        usd(F.col("amount"), rate).alias("amount_usd"),
+        usd(refunded, rate).alias("refunded_amount_usd"),
+        usd(disputed, rate).alias("disputed_amount_usd"),
         or_zero(F.col("refund_count")).alias("refund_count"),
         or_zero(F.col("dispute_count")).alias("dispute_count"),
         or_false(F.col("has_fraud_dispute")).alias("has_fraud_dispute"),
         or_false(F.col("has_open_dispute")).alias("has_open_dispute"),
-        F.when(F.col("is_settled"), (F.col("amount") - refunded - disputed) / rate)
+        F.when(F.col("is_settled"), usd(F.col("amount") - refunded - disputed, rate))
         .otherwise(0)
         .alias("net_settled_usd"),
     )

@@ -34,6 +34,7 @@ def local_session(cpus: str | int = 8, name: str = "undertow", shuffle: int = 8)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -438,6 +438,124 @@ BINDINGS = {
                      case when o_orderstatus = 'P' then 0 else 1 + o_orderkey % 3 end as runs
               from {orders}) as log
         where part_no % 7 <> 0""",
+    # The same estate as a catalog describes it: a physical and a modelling record per dataset,
+    # one record for everything else. Angle brackets stand for braces until the last step.
+    "cat_record_text": """
+        select 'urn:li:dataset:(urn:li:dataPlatform:postgres,warehouse.' || asset || ',PROD)' as urn,
+               '<"name":"' || name || '","schemaMetadata":<"fields":[<"fieldPath":"c0",'
+               || '"nativeDataType":"bigint","nullable":false>,<"fieldPath":"c1">]>>' as body
+        from {lin_assets} where kind = 'dataset'
+        union all
+        select 'urn:li:dataset:(urn:li:dataPlatform:dbt,warehouse.' || asset || ',PROD)',
+               '<"properties":<"name":"' || name || '","customProperties":['
+               || '<"key":"team","value":"' || coalesce(team, '') || '">,'
+               || '<"key":"sla_hours","value":"' || coalesce(cast(sla_hours as string), 'soon')
+               || '">,<"key":"replicated","value":" ' || case when replicated then 'True' else 'no' end
+               || ' ">]>,"ownership":<"owners":[<"owner":<"urn":"urn:li:corpuser:'
+               || coalesce(team, 'nobody') || '">>]>,"tags":<"tags":[<"tag":<"urn":"urn:li:tag:'
+               || coalesce(tier, 'untiered') || '">>]>>'
+        from {lin_assets} where kind = 'dataset'
+        union all
+        select 'urn:li:' || kind || ':(bi,' || asset || ')',
+               '<"properties":<"name":"' || split_part(asset, ':', 2) || '">>'
+        from {lin_assets} where kind <> 'dataset'""",
+    "cat_records": """
+        select urn, replace(replace(body, '<', chr(123)), '>', chr(125)) as body
+        from {cat_record_text}""",
+    "cat_keys": """
+        select 'urn:li:dataset:(urn:li:dataPlatform:postgres,warehouse.' || asset || ',PROD)' as urn,
+               asset
+        from {lin_assets} where kind = 'dataset'
+        union all
+        select 'urn:li:dataset:(urn:li:dataPlatform:dbt,warehouse.' || asset || ',PROD)', asset
+        from {lin_assets} where kind = 'dataset'
+        union all
+        select 'urn:li:' || kind || ':(bi,' || asset || ')', asset
+        from {lin_assets} where kind <> 'dataset'""",
+    # Lineage crosses between siblings, points at a sibling of its own, and at unknown tables.
+    "cat_upstreams": """
+        select t.urn, s.urn as upstream_urn
+        from {lin_edges} join {cat_keys} as s on s.asset = source
+             join {cat_keys} as t on t.asset = target
+        union all
+        select a.urn, b.urn from {cat_keys} as a join {cat_keys} as b on a.asset = b.asset
+        union all
+        select urn, 'urn:li:dataset:(urn:li:dataPlatform:s3,' || asset || ',PROD)' from {cat_keys}""",
+    "cat_groups": """
+        select s.urn, '["' || t.urn || '","urn:li:mlFeature:(lost,one)","' || s.urn || '"]' as members
+        from {lin_edges} join {cat_keys} as s on s.asset = source
+             join {cat_keys} as t on t.asset = target""",
+    "cat_probes": """
+        select distinct source, source_column, target from {lin_column_edges}""",
+    "cat_paths": """
+        select @asset(s) as source, 'c' || cast(j as string) as source_column, @asset(t) as target,
+               column_name as target_column,
+               case when (s + j) % 10 <> 9
+                    then column_name = 'c' || cast((j + t) % 4 as string) end as connected
+        from (select s, t, j, @each('c0', 'c1', 'c2', 'c3') as column_name
+              from {lin_column_link_ids}) as pairs""",
+    "cat_declared": """
+        select @asset(p_partkey) as asset, 'c0' as column_name from {part} where p_size > 5""",
+    "sim_faults": """
+        select 'fault on ' || origin as scenario, kind, origin,
+               case when kind <> 'drop_asset' then column_name end as column_name, at_minute
+        from (select @asset(p_partkey) as origin,
+                     case (p_partkey * 7 + p_size) % 5 when 0 then 'drop_column'
+                          when 1 then 'drop_asset' when 2 then 'change_column_type'
+                          when 3 then 'stop_new_rows' else 'null_out_column' end as kind,
+                     'c' || cast(p_partkey % 4 as string) as column_name,
+                     cast(p_partkey * 37 % 1440 as int) as at_minute
+              from {part}) as faults""",
+    # One experiment per order, most of them on an earlier state of the estate.
+    "led_evidence": """
+        select 'state ' || o_orderstatus as fingerprint,
+               'fault on ' || asset as scenario, asset as fault_asset
+        from (select o_orderstatus, @asset(part_no) as asset
+              from (select o_orderstatus,
+                           o_orderkey * 29 % (select count(*) from {part}) as part_no
+                    from {orders} where o_orderpriority = '2-HIGH') as picks) as runs""",
+    "led_times": """
+        select o_orderkey as line_no, o_custkey % (select count(*) from {supplier}) as target_no,
+               o_orderstatus, o_orderpriority, o_totalprice, o_orderdate,
+               o_orderdate + (o_orderkey * 7919 % 86400) * interval '1' second as at_ts
+        from {orders}""",
+    "led_stamps": """
+        select line_no, target_no, o_orderstatus, o_orderpriority, o_totalprice, o_orderdate, at_ts,
+               substr(cast(at_ts as string), 1, 10) || 'T' || substr(cast(at_ts as string), 12, 8)
+                   || case when line_no % 2 = 0 then 'Z' else '+02:00' end as stamp
+        from {led_times}""",
+    "led_attempts": """
+        select line_no, case when o_totalprice < 2000 then 'last night' else stamp end as attempted_at,
+               case when o_orderstatus = 'F' then 'succeeded' when o_orderstatus = 'O' then 'failed'
+                    when o_totalprice > 300000 then 'crashed' else 'failed' end as status,
+               case when o_orderpriority = '5-LOW' and o_totalprice > 400000 then ' '
+                    else lower(o_orderpriority) end as stage,
+               case when o_orderpriority <> '4-NOT SPECIFIED' or o_orderstatus = 'F'
+                    then 'target ' || cast(target_no as string) end as target
+        from {led_stamps}""",
+    "led_reads": """
+        select line_no, stamp as read_at, 'target ' || cast(target_no as string) as target,
+               'fp' || cast(line_no % 3 as string) as fingerprint, cast(line_no % 90 as int) as assets,
+               case when line_no % 5 = 0 then 'capture ' || cast(line_no as string)
+                    when line_no % 50 = 1 then 'capture lost' end as verification_artifact
+        from {led_stamps} where o_orderstatus = 'F'""",
+    "led_captures": """
+        select 'capture ' || cast(line_no as string) as path,
+               'target ' || cast(target_no as string) as target, at_ts as generated_at
+        from {led_times} where o_orderstatus = 'F' or o_totalprice > 200000""",
+    "led_scores": """
+        select line_no, stamp as scored_at, 'target ' || cast(target_no as string) as target,
+               cast(o_totalprice as decimal(12,2)) as mean_score,
+               '["asset ' || cast(line_no % 40 as string) || '","asset x"]' as top
+        from {led_stamps} where o_orderstatus = 'F'""",
+    # The attempts as the lines of a file, some of them blank or cut short.
+    "led_lines": """
+        select line_no,
+               case when line_no % 31 = 0 then '  '
+                    when line_no % 17 = 0 then chr(123) || '"attempted_at":"' || attempted_at
+                    else chr(123) || '"attempted_at":"' || attempted_at || '","status":"' || status
+                         || '","line":' || cast(line_no as string) || chr(125) end as text
+        from {led_attempts}""",
 }
 
 _MACRO = re.compile(r"@(\w+)\(((?:[^()]|\([^()]*\))*)\)")
