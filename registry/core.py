@@ -13,8 +13,11 @@ from undertow.plans import Warehouse
 from undertow.sources.bindings import BINDINGS, DUCKDB_SPELLING, names_in, spell
 from undertow.sources.tables import LANDED
 
+from .graph_sql import GRAPH_SQL
 from .model_sql import MODEL_SQL
 
+TABLE_SQL = {**BINDINGS, **MODEL_SQL, **GRAPH_SQL}
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -95,7 +98,7 @@ def _needed(template: str, seen: dict[str, str]) -> None:
     for name in names_in(template):
         if name in seen or name in LANDED:
             continue
-        source = MODEL_SQL.get(name) or BINDINGS[name]
+        source = TABLE_SQL[name]
         _needed(source, seen)
         seen[name] = source
 

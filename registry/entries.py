@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import models  # noqa: F401
+from . import graph, models  # noqa: F401
 from .core import ENTRIES, oracle_sql, spark_query
 
 

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.scalars import tolerant_bool, tolerant_int
 from ..functions.summaries import fingerprint
@@ -25,7 +24,7 @@ LAYER_BY_KIND = {
     "mlModelDeployment": "ml",
 }
 
-RECORD = StructType.fromDDL(
+RECORD = (
     "name string, dashboardId string, chartId string, "
     "properties struct<name: string, customProperties: array<struct<key: string, value: string>>>, "
     "ownership struct<owners: array<struct<owner: struct<urn: string>>>>, "
