@@ -51,7 +51,7 @@ FRACTIONAL = (
     "trust_score unit_price unreconciled_ratio unreconciled_usd window_days zero_result_rate "
     "share precision recall blast exposure recovery concentration blindness cost mean_score "
     "confidence lineage schema operational ownership usage verification priority_score impact_part "
-    "gap novelty age_hours elapsed_hours value_number"
+    "gap novelty l_quantity l_extendedprice l_discount l_tax age_hours elapsed_hours value_number"
 ).split()
 
 
@@ -113,16 +113,20 @@ def oracle_sql(template: str) -> str:
     _needed(template, seen)
     parts = [f"{name} AS ({_plain(sql)})" for name, sql in seen.items()]
     parts.append(f"answer AS ({_plain(template)})")
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + on_grid("answer")
+
+
+def on_grid(table: str) -> str:
+    """The rows of ``table`` with every fraction on the grid."""
     names = ", ".join(f"'{n}'" for n in FRACTIONAL)
     step = (
         "CASE WHEN abs(x) < 1e4 THEN floor(x * 1e6 + 0.3719) / 1e6 "
         "ELSE floor(x * 1e2 + 0.3719) / 1e2 END"
     )
     return (
-        "WITH RECURSIVE " + ",\n".join(parts) + "\n"
         "SELECT * EXCLUDE (_f, _i) FROM (\n"
         f"  SELECT COLUMNS(lambda c: c NOT IN ({names})),\n"
         f"    list_transform([CAST(COLUMNS(lambda c: c IN ({names})) AS DOUBLE)],\n"
         f"                   lambda x: {step})[1]\n"
-        "  FROM (SELECT *, 0.5 AS _f, 1 AS _i FROM answer))"
+        f"  FROM (SELECT *, 0.5 AS _f, 1 AS _i FROM {table}))"
     )

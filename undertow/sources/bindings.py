@@ -556,6 +556,46 @@ BINDINGS = {
                     else chr(123) || '"attempted_at":"' || attempted_at || '","status":"' || status
                          || '","line":' || cast(line_no as string) || chr(125) end as text
         from {led_attempts}""",
+    # What an execution of each scenario found: consumers within two steps, where a tier is known.
+    "sim_observed": """
+        select distinct scenario, l.target as asset,
+               case when tier = 'tier1' then 'unavailable' else 'degraded' end as impact
+        from {sim_faults} join {lin_edges} as l on l.source = origin
+             join {lin_assets} on asset = l.target
+        where tier is not null
+        union
+        select distinct scenario, m.target, 'degraded'
+        from {sim_faults} join {lin_edges} as l on l.source = origin
+             join {lin_edges} as m on m.source = l.target
+             join {lin_assets} on asset = m.target
+        where tier = 'tier2'""",
+    "pub_values": """
+        select asset, property, value
+        from (select @asset(p_partkey) as asset, p_partkey, p_size,
+                     @each('undertow_fragility_rank', 'undertow_score', 'owner_note') as property,
+                     p_brand as value
+              from {part}) as props
+        where property <> 'owner_note' or p_size > 25""",
+    "pub_ranks": """
+        select 'marts.mart_' || cast(p_partkey as string) as asset,
+               case when p_size > 3 then p_partkey * 7919 % 100003 end as rank,
+               cast(p_retailprice as decimal(12,2)) as score
+        from {part}""",
+    "pub_fresh": """
+        select @asset(p_partkey) as asset, 'undertow_fragility_rank' as property,
+               cast(p_size as string) as value
+        from {part} where p_size <= 30""",
+    "pub_incidents": """
+        select case when o_orderstatus = 'F' then 'urn:li:incident:other_'
+                    else 'urn:li:incident:undertow_' end || cast(o_orderkey as string) as incident,
+               case when o_orderpriority = '1-URGENT' then 'RESOLVED' else 'ACTIVE' end as state,
+               'day ' || cast(o_orderdate as string) as updated_at
+        from {orders}""",
+    "led_runs": """
+        select 'run ' || cast(o_custkey as string) as run_id,
+               'target ' || cast(o_custkey % (select count(*) from {supplier}) as string) as target,
+               o_orderkey as line_no
+        from {orders}""",
 }
 
 _MACRO = re.compile(r"@(\w+)\(((?:[^()]|\([^()]*\))*)\)")
