@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from .lineage import DATASET, Graph
-from .spread import earliest
+from .spread import earliest, numbered
 
 UNAVAILABLE, DEGRADED = "unavailable", "degraded"
 DAY = 1440
@@ -38,19 +38,29 @@ def with_kind(faults: DataFrame) -> DataFrame:
     return faults.join(F.broadcast(kinds(faults.sparkSession)), "kind")
 
 
-def next_refresh(cadence: Column, minute: Column) -> Column:
-    """First rebuild at or after ``minute``; an unknown cadence counts as continuous."""
-    clock = F.regexp_extract(cadence, r"^daily_([01]\d|2[0-3])([0-5]\d)$", 1)
-    mins = F.regexp_extract(cadence, r"^daily_([01]\d|2[0-3])([0-5]\d)$", 2)
-    daily = clock.try_cast("int") * 60 + mins.try_cast("int")
-    today = (F.floor(minute / DAY) * DAY).cast("int") + daily
+def clock_of(cadence: Column) -> Column:
+    """When an asset rebuilds: -2 hourly, -1 continuously or unknown, else the minute of the day."""
+    pattern = r"^daily_([01]\d|2[0-3])([0-5]\d)$"
+    hour = F.regexp_extract(cadence, pattern, 1).try_cast("int")
+    minute = F.regexp_extract(cadence, pattern, 2).try_cast("int")
+    return F.when(cadence == "hourly", -2).otherwise(F.coalesce(hour * 60 + minute, F.lit(-1)))
+
+
+def at_clock(clock: Column, minute: Column) -> Column:
+    """First rebuild at or after ``minute``."""
+    today = (F.floor(minute / DAY) * DAY).cast("int") + clock
     return (
-        F.when(cadence == "hourly", (F.ceil(minute / 60) * 60).cast("int"))
-        .when(daily.isNotNull(), F.when(today >= minute, today).otherwise(today + DAY))
-        .otherwise(minute + CONTINUOUS_LAG)
+        F.when(clock == -2, (F.ceil(minute / 60) * 60).cast("int"))
+        .when(clock == -1, minute + CONTINUOUS_LAG)
+        .otherwise(F.when(today >= minute, today).otherwise(today + DAY))
     )
 
 
+def next_refresh(cadence: Column, minute: Column) -> Column:
+    """First rebuild at or after ``minute``; an unknown cadence counts as continuous."""
+    return at_clock(clock_of(cadence), minute)
+
+
 def on_read(kind: Column, materialization: Column) -> Column:
     """Whether an asset fails the moment what it reads does, holding no data of its own."""
     return (kind != DATASET) | F.coalesce(F.lower(materialization) == "view", F.lit(False))
@@ -118,76 +128,112 @@ def moves(g: Graph) -> DataFrame:
     )
     traced = g.column_edges.select(F.lit(DEGRADED).alias("impact"), "*")
     traced = traced.unionByName(traced.withColumn("target_column", F.lit("")))
-    how = g.assets.select(
-        F.col("asset").alias("target"), "kind", "materialization", "refresh_cadence"
-    )
-    return (
-        gone.unionByName(blind)
-        .unionByName(traced)
-        .distinct()
-        .join(how, "target")
-        .select(
-            "impact",
-            F.col("source").alias("from_asset"),
-            F.col("source_column").alias("from_column_name"),
-            F.col("target").alias("asset"),
-            F.col("target_column").alias("column_name"),
-            on_read(F.col("kind"), F.col("materialization")).alias("on_read"),
-            "refresh_cadence",
-        )
-    )
+    return gone.unionByName(blind).unionByName(traced).distinct()
 
 
-def propagate(g: Graph, faults: DataFrame) -> DataFrame:
+def propagate(g: Graph, faults: DataFrame, with_via: bool = True) -> DataFrame:
     """Earliest break of every asset and column in every scenario, in minutes after the fault.
 
     ``faults`` has scenario, kind, origin, column_name and at_minute (of the first day). Rows
-    with a blank ``column_name`` are the assets' own break times.
+    with a blank ``column_name`` are the assets' own break times. ``via`` names the first, by
+    name, of the places from which the damage arrived at that very minute.
     """
     wave = first_wave(g, faults)
-    unavailable = F.col("impact") == UNAVAILABLE
-    how = g.assets.select("asset", F.col("kind").alias("k"), "materialization", "refresh_cadence")
-    start = (
-        wave.where(~unavailable | (F.col("column_name") == ""))
-        .join(how, "asset")
-        .select(
-            "scenario",
-            "impact",
-            "origin",
-            "at_minute",
-            "asset",
-            "column_name",
-            break_time(
-                F.col("k"), F.col("materialization"), F.col("refresh_cadence"), F.col("at_minute")
-            ).alias("due"),
-            F.struct(F.col("origin").alias("asset"), F.lit("").alias("column_name")).alias("via"),
-        )
+    wave = wave.where((F.col("impact") != UNAVAILABLE) | (F.col("column_name") == ""))
+    steps = moves(g)
+    node = ["impact", "asset", "column_name"]
+    source = steps.select(
+        "impact", F.col("source").alias("asset"), F.col("source_column").alias("column_name")
+    )
+    target = steps.select(
+        "impact", F.col("target").alias("asset"), F.col("target_column").alias("column_name")
     )
-    steps = pin(moves(g), "moves")
-    arrival = F.when(F.col("on_read"), F.col("due")).otherwise(
-        next_refresh(F.col("refresh_cadence"), F.col("due"))
+    wave = pin(wave, "wave")
+    nodes = numbered(source.unionByName(target).unionByName(wave.select(*node)), "node", "nodes")
+    runs = numbered(wave.select("scenario", "impact", "origin", "at_minute"), "run", "runs")
+    how = g.assets.select(
+        "asset",
+        on_read(F.col("kind"), F.col("materialization")).alias("on_read"),
+        clock_of(F.col("refresh_cadence")).alias("clock"),
+    )
+    known = pin(nodes.join(how, "asset"), "nodes")
+    # The origin's own node, once per run, so that damage is never led back into it.
+    first = known.groupBy("asset").agg(F.min("node").alias("place"))
+    known = known.join(first, "asset")
+    runs = pin(
+        runs.join(first.select(F.col("asset").alias("origin"), F.col("place").alias("home")), "origin", "left"),
+        "runs",
     )
-    found = earliest(
-        start,
-        steps,
-        ["scenario", "impact", "origin", "at_minute"],
-        ["asset", "column_name"],
-        ["impact"],
-        arrival,
-        F.col("asset") != F.col("origin"),
+    ends = known.select(
+        *[F.col(c).alias({"asset": "target", "column_name": "target_column"}.get(c, c)) for c in node],
+        "node", "place", "on_read", "clock",
+    )
+    starts = nodes.select(
+        "impact",
+        F.col("asset").alias("source"),
+        F.col("column_name").alias("source_column"),
+        F.col("node").alias("from_node"),
     )
-    return found.select(
+    links = pin(
+        steps.join(starts, ["impact", "source", "source_column"])
+        .join(ends, ["impact", "target", "target_column"])
+        .select("from_node", "node", "place", "on_read", "clock"),
+        "links",
+    )
+
+    def breaks(minute: Column) -> Column:
+        return F.when(F.col("on_read"), minute).otherwise(at_clock(F.col("clock"), minute))
+
+    start = (
+        wave.join(runs, ["scenario", "impact", "origin", "at_minute"])
+        .join(known, node)
+        .select("run", "home", "node", breaks(F.col("at_minute")).alias("due"), "origin")
+    )
+    elsewhere = F.coalesce(F.col("place") != F.col("home"), F.lit(True))
+    found = earliest(start, links, ["run", "home"], breaks(F.col("due")), elsewhere).drop("home")
+    named = found.join(nodes.select("node", "asset", "column_name"), "node").join(runs, "run")
+    reached = named.select(
+        "run",
+        "node",
         "scenario",
         "impact",
         "origin",
         "asset",
         "column_name",
         (F.col("due") - F.col("at_minute")).alias("offset_minutes"),
+    )
+    if not with_via:
+        return reached.drop("run", "node")
+    return reached.join(_sources(found, start, links, nodes), ["run", "node"], "left").select(
+        *reached.columns[2:],
         F.col("via.asset").alias("via"),
         F.col("via.column_name").alias("via_column"),
     )
 
 
+def _sources(found: DataFrame, start: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each node reached, the first place damage came from at its earliest minute.
+
+    Derived once from the finished times rather than carried through the rounds.
+    """
+    arrival = F.when(F.col("on_read"), F.col("due")).otherwise(at_clock(F.col("clock"), F.col("due")))
+    reached = found.select("run", "node", F.col("due").alias("at"))
+    direct = start.select(
+        "run",
+        "node",
+        F.col("due").alias("at"),
+        F.struct(F.col("origin").alias("asset"), F.lit("").alias("column_name")).alias("via"),
+    )
+    place = nodes.select(F.col("node").alias("from_node"), F.struct("asset", "column_name").alias("via"))
+    onward = (
+        found.withColumnRenamed("node", "from_node")
+        .join(links.join(place, "from_node"), "from_node")
+        .select("run", "node", arrival.alias("at"), "via")
+    )
+    came = direct.unionByName(onward).join(reached, ["run", "node", "at"])
+    return came.groupBy("run", "node").agg(F.min("via").alias("via"))
+
+
 def events(reached: DataFrame) -> DataFrame:
     """One row per scenario and broken asset."""
     return reached.where(F.col("column_name") == "").drop("column_name", "via_column")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .impact import present_owners, propagate, events
+from .impact import present_owners, propagate
 from .lineage import DASHBOARD, DATASET, Graph
 
 SWEEP_MINUTE = 4 * 60
@@ -54,7 +54,7 @@ def sweep_faults(g: Graph) -> DataFrame:
 
 
 def sweep_events(g: Graph) -> DataFrame:
-    return events(propagate(g, sweep_faults(g))).drop("scenario")
+    return propagate(g, sweep_faults(g), with_via=False).drop("scenario", "column_name")
 
 
 def knockouts(g: Graph, broken: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import tolerant_bool, tolerant_int
 from ..functions.summaries import fingerprint
-from .spread import earliest
+from ..session import pin
+from .spread import earliest, numbered
 
 DATASET = "dataset"
 DASHBOARD = "dashboard"
@@ -240,15 +241,19 @@ def closure(edges: DataFrame) -> DataFrame:
 
     An origin reaches itself only if it lies on a cycle.
     """
-    start = edges.select(
-        F.col("source").alias("origin"),
-        F.col("target").alias("asset"),
-        F.lit(1).alias("due"),
-        F.struct(F.col("source").alias("asset")).alias("via"),
+    names = numbered(edges.select(F.explode(F.array("source", "target")).alias("asset")), "id")
+
+    def number(df: DataFrame, column: str, alias: str) -> DataFrame:
+        return df.join(names.select(F.col("asset").alias(column), F.col("id").alias(alias)), column)
+
+    links = number(number(edges.distinct(), "source", "from_node"), "target", "node")
+    moves = pin(links.select("from_node", "node"), "links")
+    start = moves.select(F.col("from_node").alias("who"), "node", F.lit(1).alias("due"))
+    found = earliest(start, moves, ["who"], F.col("due") + 1)
+    named = found.join(names.select(F.col("id").alias("who"), F.col("asset").alias("origin")), "who")
+    return named.join(names.withColumnRenamed("id", "node"), "node").select(
+        "origin", "asset", F.col("due").alias("hops")
     )
-    moves = edges.select(F.col("source").alias("from_asset"), F.col("target").alias("asset")).distinct()
-    found = earliest(start, moves, ["origin"], ["asset"], [], F.col("due") + 1)
-    return found.select("origin", "asset", F.col("due").alias("hops"))
 
 
 def summary(g: Graph) -> DataFrame:

@@ -5,57 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import pin, pin_counting
+
+
+def numbered(names: DataFrame, alias: str, label: str = "ids") -> DataFrame:
+    """Distinct names with a 64-bit number each, written out so that the numbers never change.
+
+    The rounds below then exchange numbers instead of names.
+    """
+    return pin(names.distinct().withColumn(alias, F.monotonically_increasing_id()), label)
 
 
 def earliest(
-    start: DataFrame,
-    moves: DataFrame,
-    ident: list[str],
-    node: list[str],
-    match: list[str],
-    arrival: Column,
-    keep: Column | None = None,
+    start: DataFrame, moves: DataFrame, who: list[str], arrival: Column, keep: Column | None = None
 ) -> DataFrame:
-    """Least ``due`` at which each ``ident`` reaches each ``node``.
+    """Least ``due`` at which each ``who`` reaches each ``node``.
 
-    ``start`` has the ident and node columns, ``due``, and ``via`` (where it came from).
-    ``moves`` has ``from_<n>`` and ``<n>`` for each node column, and the ``match`` columns. Each
-    round follows only what became earlier in the round before, keeps the least per node, and
-    stops when nothing does. Arrivals never precede departures, so cycles end by themselves.
+    ``start`` has the who columns, ``node`` and ``due``; ``moves`` has ``from_node``, ``node`` and
+    whatever ``arrival`` and ``keep`` read. Each round follows only what became earlier in the
+    round before, keeps the least per node, and stops when nothing does. Arrivals never precede
+    departures, so cycles end by themselves.
 
-    A round is one join and one aggregate whose map side already drops the later duplicates.
-    Its result is written out, so the plan stays small and a lost executor costs one round.
+    A round is one join and one hash aggregate over fixed-width columns, whose map side already
+    drops the later duplicates. Its result is written out, so the plan stays small and a lost
+    executor costs at most one round; the write also counts what moved, so asking whether to go
+    on costs no second job.
     """
-    keys = [*ident, *node]
+    keys = [*who, "node"]
+    due = F.col("due")
 
     def settle(found: DataFrame) -> DataFrame:
-        best = F.min(F.struct("due", "via")).alias("best")
-        before = F.min(F.when(F.col("old"), F.col("due"))).alias("before")
-        return found.groupBy(*keys).agg(best, before).select(
-            *keys,
-            F.col("best.due").alias("due"),
-            F.col("best.via").alias("via"),
-            F.coalesce(F.col("best.due") < F.col("before"), F.lit(True)).alias("moved"),
+        least = found.groupBy(*keys).agg(
+            F.min("due").alias("due"), F.min(F.when(F.col("old"), due)).alias("before")
         )
+        return least.select(*keys, "due", F.coalesce(due < F.col("before"), F.lit(True)).alias("moved"))
 
-    state = pin(settle(start.withColumn("old", F.lit(False))), "spread")
-    while not state.where("moved").isEmpty():
-        here = state.where("moved").select(
-            *ident,
-            *[F.col(n).alias(f"from_{n}") for n in node],
-            F.col("due"),
-        )
-        arrived = here.join(moves, [*match, *[f"from_{n}" for n in node]])
+    state, moved = pin_counting(settle(start.withColumn("old", F.lit(False))), "moved", "spread")
+    while moved:
+        here = state.where("moved").select(*who, F.col("node").alias("from_node"), "due")
+        arrived = here.join(moves, "from_node")
         if keep is not None:
             arrived = arrived.where(keep)
-        arrived = arrived.select(
-            *ident,
-            *node,
-            arrival.alias("due"),
-            F.struct(*[F.col(f"from_{n}").alias(n) for n in node]).alias("via"),
-            F.lit(False).alias("old"),
-        )
-        known = state.select(*keys, "due", "via", F.lit(True).alias("old"))
-        state = pin(settle(known.unionByName(arrived)), "spread")
+        arrived = arrived.select(*keys, arrival.alias("due"), F.lit(False).alias("old"))
+        known = state.select(*keys, "due", F.lit(True).alias("old"))
+        state, moved = pin_counting(settle(known.unionByName(arrived)), "moved", "spread")
     return state.drop("moved")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -69,3 +70,10 @@ def pin(df: DataFrame, label: str = "round") -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pin_counting(df: DataFrame, flag: str, label: str = "round") -> tuple[DataFrame, int]:
+    """As :func:`pin`, and how many rows have ``flag`` set, counted by the same write."""
+    seen = Observation()
+    pinned = pin(df.observe(seen, F.count_if(F.col(flag)).alias("n")), label)
+    return pinned, seen.get["n"]
