@@ -1,0 +1,73 @@
+"""Reproducible random columns: every draw is a function of the row's number, a name and a seed.
+
+No state passes from row to row, so any partition can be made alone and comes out the same.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def unit(row: Column, name: str, seed: int = 42) -> Column:
+    """Uniform in [0, 1)."""
+    bits = F.shiftrightunsigned(F.xxhash64(row, F.lit(name), F.lit(seed)), 11)
+    return bits / F.lit(float(1 << 53))
+
+
+def chance(row: Column, name: str, p: float, seed: int = 42) -> Column:
+    return unit(row, name, seed) < p
+
+
+def choice(row: Column, name: str, weights: dict[str, float], seed: int = 42) -> Column:
+    """One of the keys, each as often as its weight says."""
+    u = unit(row, name, seed) * sum(weights.values())
+    options = list(weights.items())
+    picked, reached = None, 0.0
+    for value, weight in options[:-1]:
+        reached += weight
+        condition = u < reached
+        picked = F.when(condition, value) if picked is None else picked.when(condition, value)
+    last = F.lit(options[-1][0])
+    return last if picked is None else picked.otherwise(last)
+
+
+def normal(row: Column, name: str, mean: float = 0.0, sd: float = 1.0, seed: int = 42) -> Column:
+    radius = F.sqrt(-2 * F.log(1 - unit(row, f"{name}/r", seed)))
+    return mean + sd * radius * F.cos(2 * math.pi * unit(row, f"{name}/a", seed))
+
+
+def power_index(row: Column, name: str, n: int, exponent: float, seed: int = 42) -> Column:
+    """An index below ``n``, low ones far more often: a few sellers take most of the orders."""
+    at = F.floor(F.pow(unit(row, name, seed), F.lit(exponent)) * n)
+    return F.least(at, F.lit(n - 1)).cast("bigint")
+
+
+def moment(row: Column, name: str, start: str, days: int, seed: int = 42) -> Column:
+    """Uniform over the days from ``start``, to the second."""
+    seconds = F.floor(unit(row, name, seed) * (days * 86_400))
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(start).cast("timestamp")) + seconds)
+
+
+def seasonal_moment(
+    row: Column, name: str, start: str, days: int, tries: int = 8, seed: int = 42
+) -> Column:
+    """A time more likely late in the range, on weekdays and in the evening.
+
+    Candidates are drawn in advance and the first that is accepted counts; should none be,
+    the last one does, which after eight tries is rare.
+    """
+    begin = F.unix_timestamp(F.lit(start).cast("timestamp"))
+    picked = []
+    for i in range(tries):
+        at = moment(row, f"{name}/{i}", start, days, seed)
+        age = (F.unix_timestamp(at) - begin) / F.lit(days * 86_400.0)
+        trend = 0.55 + 0.45 * age
+        weekday = F.when(F.dayofweek(at).isin(1, 7), 0.7).otherwise(1.0)
+        hour = F.hour(at)
+        daily = F.when(hour.between(18, 22), 1.0).when(hour.between(8, 17), 0.75).otherwise(0.35)
+        accepted = unit(row, f"{name}/{i}/keep", seed) < trend * weekday * daily
+        picked.append(F.when(accepted | F.lit(i == tries - 1), at))
+    return F.coalesce(*picked)

@@ -1,0 +1,176 @@
+"""Generated source tables for load tests, of any size, made in parallel."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import draws
+from .contracts import conform, contract
+
+START, DAYS = "2024-01-01", 730
+# Weights of the order states, starting rates, and the chances around payments.
+ORDER_STATES = {"completed": 0.86, "cancelled": 0.06, "pending": 0.03, "returned": 0.05}
+RATES = {"eur": 0.92, "gbp": 0.79, "jpy": 148.5}
+DECLINED, RETRIED, SETTLED_ON_RETRY = 0.11, 0.62, 0.55
+RATE_STEP = 0.004
+
+
+def orders(spark: SparkSession, n: int, customers: int, merchants: int, seed: int = 42) -> DataFrame:
+    """Orders with a growing, weekly and daily rhythm, most of them at a few merchants."""
+    k = F.col("id")
+    day_one = spark.range(1, n + 1)
+    made = day_one.select(
+        k.alias("order_id"),
+        (1 + draws.power_index(k, "customer", customers, 1.7, seed)).alias("customer_id"),
+        (1 + draws.power_index(k, "merchant", merchants, 2.2, seed)).alias("merchant_id"),
+        draws.seasonal_moment(k, "time", START, DAYS, seed=seed).alias("order_ts"),
+        draws.choice(k, "status", ORDER_STATES, seed).alias("status"),
+        draws.choice(k, "currency", {"usd": 0.5, "eur": 0.25, "gbp": 0.15, "jpy": 0.1}, seed).alias(
+            "currency_code"
+        ),
+        F.exp(draws.normal(k, "gross", 3.9, 0.8, seed)).alias("gross_amount"),
+        F.when(draws.chance(k, "discount", 0.18, seed), 5.0).otherwise(0.0).alias("discount_amount"),
+        F.when(draws.chance(k, "shipping", 0.6, seed), 4.99).otherwise(0.0).alias("shipping_amount"),
+        draws.choice(k, "channel", {"web": 0.5, "app": 0.4, "partner": 0.1}, seed).alias("channel"),
+    )
+    return conform(made, contract("raw_orders"))
+
+
+def payments(placed: DataFrame, seed: int = 42) -> DataFrame:
+    """An attempt per order that is not pending, and a second one for some of the declined."""
+    k = F.col("order_id")
+    first = placed.where(F.col("status") != "pending").select(
+        "order_id",
+        "customer_id",
+        "currency_code",
+        (k * 2).alias("payment_id"),
+        (F.col("gross_amount") - F.col("discount_amount") + F.col("shipping_amount")).alias("amount"),
+        (F.col("order_ts") + F.expr("interval 40 seconds")).alias("attempted_ts"),
+        draws.chance(k, "declined", DECLINED, seed).alias("declined"),
+    )
+    again = first.where(F.col("declined") & draws.chance(k, "retry", RETRIED, seed)).select(
+        "order_id",
+        "customer_id",
+        "currency_code",
+        (k * 2 + 1).alias("payment_id"),
+        "amount",
+        (F.col("attempted_ts") + F.expr("interval 20 minutes")).alias("attempted_ts"),
+        (~draws.chance(k, "retry settles", SETTLED_ON_RETRY, seed)).alias("declined"),
+    )
+    both = first.unionByName(again)
+    p = F.col("payment_id")
+    delay = F.make_dt_interval(secs=1 + F.floor(draws.unit(p, "delay", seed) * 90))
+    made = both.select(
+        "payment_id",
+        "order_id",
+        F.col("customer_id").alias("payment_method_id"),
+        "attempted_ts",
+        F.when(~F.col("declined"), F.col("attempted_ts") + delay).alias("settled_ts"),
+        F.when(F.col("declined"), "declined").otherwise("settled").alias("status"),
+        "amount",
+        "currency_code",
+        draws.choice(p, "processor", {"northpay": 0.5, "swiftline": 0.3, "coral": 0.2}, seed).alias(
+            "processor"
+        ),
+        F.when(F.col("declined"), "do_not_honour").alias("decline_reason"),
+    )
+    return conform(made, contract("raw_payments"))
+
+
+def fx_rates(spark: SparkSession, days: int = DAYS, seed: int = 42) -> DataFrame:
+    """A random walk per currency: the running product of daily steps, as a sum of logarithms."""
+    levels = F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair])
+    day = F.col("id")
+    steps = spark.range(days).select(
+        day, F.explode(F.array(*[F.lit(c) for c in RATES])).alias("quote_currency")
+    )
+    step = draws.normal(F.struct("id", "quote_currency"), "step", 0.0, RATE_STEP, seed)
+    walk = F.sum(F.log1p(step)).over(Window.partitionBy("quote_currency").orderBy("id"))
+    made = steps.select(
+        F.date_add(F.lit(START).cast("date"), day.cast("int")).alias("rate_date"),
+        F.lit("usd").alias("base_currency"),
+        "quote_currency",
+        (F.element_at(levels, F.col("quote_currency")) * F.exp(walk)).alias("rate"),
+        F.lit("generated").alias("source"),
+    )
+    return conform(made, contract("raw_fx_rates"))
+
+
+def operations(spark: SparkSession, facilities: int = 12, shipments: int = 900) -> dict[str, DataFrame]:
+    """The logistics tables from plain arithmetic on row numbers."""
+    k = F.col("id")
+    start = F.lit(START).cast("timestamp")
+
+    def hours(n):
+        return F.make_dt_interval(hours=n.cast("int"))
+
+    site = spark.range(1, facilities + 1).select(
+        k.alias("facility_id"),
+        F.concat(F.lit("F"), 100 + k).alias("facility_code"),
+        F.concat(F.lit("region "), k % 4).alias("region"),
+        (800 + k * 137 % 1700).alias("capacity_units"),
+        F.lit("2015-01-01").alias("opened_date"),
+        F.lit("network").alias("owner_team"),
+    )
+    carrier = spark.range(1, 6).select(
+        k.alias("carrier_id"),
+        F.concat(F.lit("carrier "), k).alias("carrier_name"),
+        F.concat(F.lit("tier "), k % 3).alias("service_tier"),
+        F.concat(F.lit("region "), k % 4).alias("home_region"),
+    )
+    sent = start + hours(k * 7 % (DAYS * 24))
+    promised = sent + hours(24 + k % 4 * 24)
+    shipment = spark.range(1, shipments + 1).select(
+        k.alias("shipment_id"),
+        (1 + k % facilities).alias("facility_id"),
+        (1 + k % 5).alias("carrier_id"),
+        F.concat(F.lit("R"), k % 40).alias("route_code"),
+        sent.alias("dispatched_at"),
+        promised.alias("promised_at"),
+        F.when(k % 11 != 0, promised + hours(k * 13 % 48 - 12)).alias("delivered_at"),
+        F.when(k % 11 != 0, "delivered").otherwise("in_transit").alias("status"),
+        (1 + k % 20).alias("package_count"),
+        F.when(k % 9 == 0, "fragile").otherwise("standard").alias("priority"),
+    )
+    stock = spark.range(facilities * 61).select(
+        k.alias("snapshot_id"),
+        (1 + k % facilities).alias("facility_id"),
+        F.date_add(F.lit(START).cast("date"), F.floor(k / facilities).cast("int")).alias("snapshot_date"),
+        (k * 97 % 1500).alias("units_on_hand"),
+        (k * 13 % 200).alias("units_reserved"),
+    )
+    work = spark.range(1, shipments * 2 // 5 + 1).select(
+        k.alias("work_order_id"),
+        (1 + k % facilities).alias("facility_id"),
+        (start + hours(k * 5)).alias("opened_at"),
+        F.when(k % 9 != 0, start + hours(k * 5 + 3 + k % 70)).alias("closed_at"),
+        F.concat(F.lit("issue "), k % 6).alias("issue_code"),
+        F.concat(F.lit("severity "), k % 3).alias("severity"),
+        F.when(k % 9 != 0, "closed").otherwise("open").alias("status"),
+    )
+    scan = spark.range(shipments * 6).select(
+        F.concat(F.lit("scan-"), k).alias("event_id"),
+        (1 + k % shipments).alias("shipment_id"),
+        (1 + k % facilities).alias("facility_id"),
+        F.when(k % 2 == 0, "arrive").otherwise("depart").alias("event_type"),
+        (start + hours(k % (DAYS * 24))).alias("event_ts"),
+        F.when(k % 17 == 0, "MISROUTE").alias("exception_code"),
+    )
+    reading = spark.range(shipments * 3).select(
+        F.concat(F.lit("temp-"), k).alias("event_id"),
+        (1 + k % facilities).alias("facility_id"),
+        (start + hours(k % (DAYS * 24))).alias("recorded_at"),
+        (4 + k % 23 * 0.5).alias("celsius"),
+        F.when(k % 41 == 0, "alert").otherwise("ok").alias("sensor_status"),
+    )
+    made = {
+        "ops_facilities": site,
+        "ops_carriers": carrier,
+        "ops_shipments": shipment,
+        "ops_inventory_snapshots": stock,
+        "ops_work_orders": work,
+        "ops_scan_events": scan,
+        "ops_temperature_readings": reading,
+    }
+    return {role: conform(df, contract(role)) for role, df in made.items()}
