@@ -143,7 +143,8 @@ GRAPH_SQL = {
                     else least(0.5 * ifnull(1 / nullif(owners_paged, 0), 1)
                                + 0.5 * unowned_lost / (datasets_lost + consumers_lost), 1) end
                    as concentration,
-               ifnull(least(first_consumer_minutes / 1440, 1), 0) as blindness,
+               case when first_consumer_minutes is null then 0.0
+                    else least(first_consumer_minutes / 1440, 1) end as blindness,
                (datasets_lost * 600 + dashboards_lost * 150)::double as cost
         from {x_knockouts} as k left join {x_exposure} using (origin)
              join {x_recovery} using (origin)""",

@@ -142,8 +142,12 @@ def concentration() -> Column:
 
 
 def blindness(horizon_hours: float = HORIZON_HOURS) -> Column:
+    """How late the first reader notices, as a share of the horizon; nobody to notice is nought.
+
+    The missing case comes first: ``least`` passes over nulls and would make it one.
+    """
     seen = F.col("first_consumer_minutes") / F.lit(60.0 * horizon_hours)
-    return F.coalesce(F.least(seen, F.lit(1.0)), F.lit(0.0))
+    return F.when(seen.isNull(), 0.0).otherwise(F.least(seen, F.lit(1.0)))
 
 
 def cost() -> Column:
