@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import previous, running_max
 from ..functions.scalars import instant
 
 MAX_AGE_HOURS = 25
@@ -45,64 +46,51 @@ def missed_per_target(rows: DataFrame) -> DataFrame:
 def evidence(reads: DataFrame, captures: DataFrame) -> DataFrame:
     """The capture that belongs to each run.
 
-    A capture the record names is the answer, or there is none. Otherwise it is the newest one
-    of the same day that is not later than the run, or the newest of an earlier day. Each step
-    looks at one target and day, or at one row per target and day, never at a target's pairs.
+    A capture the record names is the answer, or there is none. Otherwise it is the target's
+    newest one that is not later than the run: of the same day if there is one, or of an earlier
+    day. Runs and captures are put in one order and each run takes the newest capture so far,
+    so a target's runs never meet its captures pair by pair.
     """
-    runs = reads.withColumns(
-        {"run_ts": instant(F.col("read_at")), "day": F.to_date(instant(F.col("read_at")))}
-    )
+    stamp = instant(F.col("read_at"))
     named = captures.select(
         "target", F.col("path").alias("verification_artifact"), F.col("path").alias("named_path")
     )
-    # Same day: captures and runs of that day in time order, each run seeing what came before.
-    shape = ["target", "day", "ts", "capture", "line_no"]
-    stream = captures.select(
+    capture = F.struct("generated_at", "path")
+    kept = captures.select(
         "target",
-        F.to_date("generated_at").alias("day"),
         F.col("generated_at").alias("ts"),
-        F.struct("generated_at", "path").alias("capture"),
+        F.lit(0).alias("turn"),
+        F.col("path").alias("tie"),
+        capture.alias("capture"),
         F.lit(None).cast("bigint").alias("line_no"),
-    ).unionByName(
-        runs.select(
-            "target", "day", F.col("run_ts").alias("ts"),
-            F.lit(None).cast("struct<generated_at: timestamp, path: string>").alias("capture"),
-            "line_no",
-        )
-    )
-    seen = Window.partitionBy("target", "day").orderBy("ts").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    same_day = (
-        stream.select(*shape)
-        .withColumn("best", F.max("capture").over(seen))
-        .where(F.col("line_no").isNotNull())
-        .select("line_no", F.col("best.path").alias("day_path"))
-    )
-    # Earlier days: the newest capture per day, carried forward over the days of the target.
-    days = captures.groupBy("target", F.to_date("generated_at").alias("day")).agg(
-        F.max(F.struct("generated_at", "path")).alias("capture")
-    )
-    calendar = runs.select("target", "day").distinct().join(days, ["target", "day"], "full")
-    before = Window.partitionBy("target").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = calendar.select(
-        "target", "day", F.max("capture").over(before).getField("path").alias("earlier_path")
-    )
-    whole = (
-        runs.join(named, ["target", "verification_artifact"], "left")
-        .join(same_day, "line_no", "left")
-        .join(earlier, ["target", "day"], "left")
-    )
-    found = F.coalesce("day_path", "earlier_path")
+    )
+    asked = reads.select(
+        "target",
+        stamp.alias("ts"),
+        F.lit(1).alias("turn"),
+        F.col("line_no").cast("string").alias("tie"),
+        F.lit(None).cast("struct<generated_at: timestamp, path: string>").alias("capture"),
+        "line_no",
+    )
+    order = [F.asc("ts"), F.asc("turn"), F.asc("tie")]
+    newest = (
+        running_max(kept.unionByName(asked), ["target"], order, "capture", "best")
+        .where(F.col("turn") == 1)
+        .select("line_no", "best")
+    )
+    whole = reads.join(named, ["target", "verification_artifact"], "left").join(
+        newest, "line_no", "left"
+    )
     is_named = F.col("verification_artifact").isNotNull()
+    same_day = F.to_date("best.generated_at") == F.to_date(stamp)
     return whole.select(
         "line_no",
         "target",
-        F.when(is_named, F.col("named_path")).otherwise(found).alias("evidence"),
+        F.when(is_named, F.col("named_path")).otherwise(F.col("best.path")).alias("evidence"),
         F.when(is_named & F.col("named_path").isNull(), "named capture is missing")
         .when(is_named, "named")
-        .when(F.col("day_path").isNotNull(), "same day")
-        .when(F.col("earlier_path").isNotNull(), "earlier")
+        .when(same_day, "same day")
+        .when(F.col("best").isNotNull(), "earlier")
         .otherwise("none")
         .alias("how"),
     )
@@ -154,17 +142,19 @@ def targets(ledger: DataFrame) -> DataFrame:
 
 
 def changes(reads: DataFrame) -> DataFrame:
-    """Whether each read found the estate as the read before it did.
-
-    Numbered within the target by time. Only the previous row is needed, so the window streams.
-    """
-    turn = Window.partitionBy("target").orderBy(instant(F.col("read_at")), "line_no")
-    before = F.lag("fingerprint").over(turn)
-    return reads.withColumn(
-        "change",
-        F.when(before.isNull(), "first")
-        .when(before == F.col("fingerprint"), "same")
-        .otherwise("changed"),
+    """Whether each read found the estate as the read of its target before it did."""
+    order = [F.asc("_at"), F.asc("line_no")]
+    timed = reads.withColumn("_at", instant(F.col("read_at")))
+    before = F.col("_before")
+    return (
+        previous(timed, ["target"], order, "fingerprint", "_before")
+        .withColumn(
+            "change",
+            F.when(before.isNull(), "first")
+            .when(before == F.col("fingerprint"), "same")
+            .otherwise("changed"),
+        )
+        .drop("_at", "_before")
     )
 
 

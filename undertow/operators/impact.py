@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered as in_order
 from ..session import pin
 from .lineage import DATASET, Graph
 from .spread import earliest, numbered
@@ -316,5 +317,5 @@ def load(pages: DataFrame, orphans: DataFrame) -> DataFrame:
 
 def page_order(pages: DataFrame) -> DataFrame:
     """Pages numbered within their scenario in the order the phones ring."""
-    turn = Window.partitionBy("scenario").orderBy("offset_minutes", F.desc("severity"), "owner")
-    return pages.withColumn("page_no", F.row_number().over(turn))
+    turn = [F.asc("offset_minutes"), F.desc("severity"), F.asc("owner")]
+    return in_order(pages, ["scenario"], turn, "page_no")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered
 from .impact import present_owners, propagate
 from .lineage import DASHBOARD, DATASET, Graph
 
@@ -194,32 +195,8 @@ def scores(parts: DataFrame, weights: dict[str, float] | None = None) -> DataFra
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """Ranks from one, most fragile first, equal scores by name.
-
-    Scores are sorted across the cluster by range; only per-range counts are added up on the
-    way, so no task has to hold the whole ranking.
-    """
-    return global_rank(scored, [F.desc("score"), F.asc("origin")], "rank")
-
-
-def global_rank(df: DataFrame, order: list[Column], alias: str) -> DataFrame:
-    """A dense numbering of ``df`` in ``order`` without sorting it in one partition."""
-    from ..session import pin
-
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sliced = pin(
-        df.repartitionByRange(int(parts), *order).withColumn("_slice", F.spark_partition_id()),
-        "rank",
-    )
-    sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")
-    within = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
-    return (
-        sliced.withColumn("_row", within)
-        .join(F.broadcast(sizes.select("_slice", before.alias("_before"))), "_slice")
-        .withColumn(alias, (F.col("_before") + F.col("_row")).cast("bigint"))
-        .drop("_slice", "_row", "_before")
-    )
+    """Ranks from one, most fragile first, equal scores by name."""
+    return numbered(scored, [], [F.desc("score"), F.asc("origin")], "rank")
 
 
 def is_spof() -> Column:
