@@ -38,7 +38,7 @@ BINDINGS = {
     "lines": """
         select l_orderkey, l_linenumber, min(l_partkey) as l_partkey, min(l_suppkey) as l_suppkey,
                min(l_quantity) as l_quantity, min(l_extendedprice) as l_extendedprice,
-               min(l_tax) as l_tax, min(l_returnflag) as l_returnflag,
+               min(l_tax) as l_tax, min(ascii(l_returnflag)) as flag_code,
                min(l_shipdate) as l_shipdate
         from {lineitem} group by l_orderkey, l_linenumber""",
     "order_base": f"""
@@ -158,7 +158,7 @@ BINDINGS = {
                {_CURRENCY.format("l_orderkey")} as currency_code,
                case l_suppkey % 3 when 0 then 'damaged' when 1 then 'late' else 'unwanted' end
                    as reason_code
-        from {{lines}} where l_returnflag = 'R' and l_linenumber = 1""",
+        from {{lines}} where flag_code = ascii('R') and l_linenumber = 1""",
     "raw_chargebacks": f"""
         select l_orderkey as chargeback_id, l_orderkey * 2 as payment_id,
                l_shipdate + interval '12' hour as opened_ts,
@@ -170,7 +170,7 @@ BINDINGS = {
                case l_partkey % 4 when 0 then 'fraud' when 1 then 'not_received'
                     when 2 then 'duplicate' else 'quality' end as reason_code,
                case when l_suppkey % 2 = 0 then 'merchant' else 'platform' end as liability
-        from {{lines}} where l_returnflag = 'A' and l_linenumber = 2 and l_tax > 0.05""",
+        from {{lines}} where flag_code = ascii('A') and l_linenumber = 2 and l_tax > 0.05""",
     "raw_carriers": """
         select * from (values
             (1, 'Plover Freight', 'economy', 7), (2, 'Heron Post', 'standard', 4),
