@@ -122,3 +122,22 @@ def test_pages_sort_by_time_not_by_text(spark):
     ev = impact.events(impact.propagate(g, faults(spark, ("s", "drop_asset", "r", None, 120))))
     order = impact.page_order(impact.paging(g, ev)).orderBy("page_no").collect()
     assert [r["owner"] for r in order] == ["early", "late"]
+
+
+def test_scenarios_that_cannot_run_say_why(spark, rows):
+    g = graph(spark, [asset("r")], [], columns=[("r", "x")])
+    f = faults(
+        spark,
+        ("ok", "drop_column", "r", "x", 0),
+        ("gone", "drop_asset", "r", None, 0),
+        ("a", "drop_asset", "nowhere", None, 0),
+        ("b", "drop_column", "r", "zz", 0),
+        ("c", "null_out_column", "r", None, 0),
+        ("d", "set on fire", "r", None, 0),
+    )
+    assert rows(impact.refused(g, f)) == [
+        ("a", "unknown asset"),
+        ("b", "unknown column"),
+        ("c", "needs a column"),
+        ("d", "unknown kind of fault"),
+    ]

@@ -129,3 +129,16 @@ def test_a_run_scenario_is_less_novel(spark):
         for r in context.candidates(scenarios, known, scores, reach, ledger, "fp", F.lit(10)).collect()
     }
     assert got == {"s1": pytest.approx(0.2 + 0.175 + 0.03), "s2": pytest.approx(0.2 + 0.175 + 0.15)}
+
+
+def test_scoring_twice_gives_the_same_rows(spark):
+    from undertow.operators import quality
+
+    g = graph(spark, [asset("a"), asset("b", cadence="hourly"), asset("d", "dashboard")], [("a", "b"), ("b", "d")])
+    used = spark.createDataFrame([("b", 4, 1)], "asset string, queries bigint, users bigint")
+    run = lambda: knockout.scores(
+        knockout.components(g, knockout.sweep_events(g), used, lineage.closure(g.edges))
+    )
+    first = run()
+    assert quality.replays(first, run()).first()["same"]
+    assert not quality.replays(first, first.withColumn("score", F.col("score") + 1)).first()["same"]

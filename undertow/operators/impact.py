@@ -319,3 +319,23 @@ def page_order(pages: DataFrame) -> DataFrame:
     """Pages numbered within their scenario in the order the phones ring."""
     turn = [F.asc("offset_minutes"), F.desc("severity"), F.asc("owner")]
     return in_order(pages, ["scenario"], turn, "page_no")
+
+
+def refused(g: Graph, faults: DataFrame) -> DataFrame:
+    """Scenarios that cannot be run, and why; an empty result means all of them can.
+
+    A fault on an asset the estate does not know would otherwise look as if nothing broke.
+    """
+    here = g.assets.select(F.col("asset").alias("origin")).withColumn("here", F.lit(True))
+    column = g.columns.select(F.col("asset").alias("origin"), "column_name").distinct()
+    known = faults.join(F.broadcast(kinds(faults.sparkSession)), "kind", "left")
+    checked = known.join(here, "origin", "left").join(
+        column.withColumn("has_column", F.lit(True)), ["origin", "column_name"], "left"
+    )
+    reason = (
+        F.when(F.col("impact").isNull(), "unknown kind of fault")
+        .when(F.col("here").isNull(), "unknown asset")
+        .when(F.col("needs_column") & F.col("column_name").isNull(), "needs a column")
+        .when(F.col("column_name").isNotNull() & F.col("has_column").isNull(), "unknown column")
+    )
+    return checked.select("scenario", reason.alias("reason")).where(F.col("reason").isNotNull())

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.summaries import contents
 from ..plans.warehouse import Check, Model
 from .lineage import DATASET, Graph
 
@@ -141,3 +142,15 @@ def appended_once(ledger: DataFrame, run_id: str) -> DataFrame:
         .agg(F.count("*").alias("rows_added"))
         .withColumn("once", F.col("rows_added") == 1)
     )
+
+
+def replays(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Whether two runs over the same inputs gave the same rows, as one row."""
+    again = contents(second).select(
+        F.col("row_count").alias("rows_again"), F.col("checksum").alias("sum_again")
+    )
+    count, total = (again.select(c).scalar() for c in again.columns)
+    return contents(first).select(
+        "row_count",
+        ((F.col("row_count") == count) & (F.col("checksum") == total)).alias("same"),
+    )
