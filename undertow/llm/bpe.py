@@ -19,7 +19,7 @@ _NONE = np.int32(np.iinfo(np.int32).max)
 MATRIX_BYTES = 256
 #: Cells of a matrix, and entries of a worker's memory of pieces: both bound what a task holds.
 MATRIX_CELLS = 1 << 20
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 
 
 @dataclass
