@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
-from . import bpe, decontam
+from ..session import checkpoint_root, prepare
+from . import bpe, chat, decontam, langid, lines, rans, simhash, tokens, toxicity, urls, vectors
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +55,165 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
 """
+
+_PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op2_chat_format(spark, root):
+    rows = read(spark, root, "conversations", "conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_PROBE).alias("text"),
+    )
+    return chat.digest(chat.render(chat.fold(chat.events(rows.union(probe)))))
+
+
+_ESCAPED = r"regexp_replace({0}, '(<s>|</s>|\[INST\]|\[/INST\])', '\\\1', 'g')"
+
+ORACLES["op2_chat_format"] = f"""
+WITH c AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}'),
+g AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+        coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learnt,
+        sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})
+            + CASE WHEN role = 'assistant' THEN 11 ELSE 17 END) AS n
+    FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256,
+    CAST(n AS BIGINT) AS formatted_chars
+FROM g
+"""
+
+#: host, path and verdict of each rule.
+URL_RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+@query
+def op10_url_filter(spark, root):
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urls.judge(read(spark, root, "pages", "page_id", "url", "html"), rules)
+
+
+def _sql_host(url: str) -> str:
+    return f"translate(regexp_extract({url}, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+
+
+def _sql_key(url: str) -> str:
+    plain = f"split_part({url}, '#', 1)"
+    site = f"regexp_extract({plain}, '^(?s:.*?)://[^/?]*')"
+    return f"translate({site}, '{urls.UPPER}', '{urls.LOWER}') || substr({plain}, length({site}) + 1)"
+
+
+ORACLES["op10_url_filter"] = f"""
+WITH RECURSIVE rules(h, p, verdict) AS (VALUES {', '.join(map(str, URL_RULES))}),
+raw AS (
+    SELECT url, regexp_extract(t, 'href\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'i') AS t
+    FROM (SELECT url, unnest(regexp_extract_all(html, '<link\\b[^>]*>', 0, 'i')) AS t FROM pages)
+    WHERE regexp_matches(t, 'rel\\s*=\\s*["'']?canonical\\b', 'i')
+    UNION ALL
+    SELECT url, regexp_extract(t, 'url\\s*=\\s*''?([^"''\\s>;]+)', 1, 'i')
+    FROM (SELECT url, unnest(regexp_extract_all(html, '<meta\\b[^>]*>', 0, 'i')) AS t FROM pages)
+    WHERE regexp_matches(t, 'http-equiv\\s*=\\s*["'']?refresh\\b', 'i')),
+targets AS (
+    SELECT url, CASE WHEN instr(t, '://') > 0 THEN t
+        WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
+        WHEN starts_with(t, '/') THEN split_part(url, '://', 1) || '://' || {_sql_host('url')} || t
+        ELSE split_part(url, '://', 1) || '://' || {_sql_host('url')}
+            || coalesce(nullif(regexp_extract(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^(.*/)', 1), ''), '/') || t END AS t
+    FROM raw WHERE t <> '' AND instr(url, '://') > 0),
+keyed AS (SELECT DISTINCT {_sql_key('url')} AS a, {_sql_key('t')} AS b FROM targets),
+edges AS (SELECT a, b FROM keyed WHERE a <> b UNION SELECT b, a FROM keyed WHERE a <> b),
+ends AS (SELECT DISTINCT a AS url FROM edges),
+reach AS (SELECT url AS a, url AS b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+addresses AS (
+    SELECT url, {_sql_host('url')} AS host, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT DISTINCT url FROM pages UNION SELECT url FROM ends)),
+best AS (
+    SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+    FROM addresses JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+tainted AS (SELECT DISTINCT a FROM reach JOIN best ON b = best.url WHERE verdict = 'block')
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+    coalesce(verdict, CASE WHEN a IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pages LEFT JOIN addresses USING (url) LEFT JOIN best USING (url)
+LEFT JOIN tainted ON a = {_sql_key('pages.url')}
+"""
+
+
+@query
+def op3_simhash(spark, root):
+    found = simhash.groups(read(spark, root, "documents", "doc_id", "text"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+END_ID = 2
+
+
+@query
+def op4_token_files(spark, root):
+    documents = read(spark, root, "documents", "doc_id", "text")
+    # Ids of this vocabulary are below 49,408, so 16 bits hold them until they are coded.
+    ids = tokens.encode(documents, public_tokenizers.path("word_bpe_49k.json"), END_ID, packing="<u2")
+    place = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
+    ids.write.option("compression", "zstd").parquet(f"{place}/ids")
+    rans.write(spark.read.schema(ids.schema).parquet(f"{place}/ids"), f"{place}/coded", packing="<u2")
+    return rans.read(
+        spark, f"{place}/coded", "ids_crc32 bigint", lambda ids: [zlib.crc32(ids.astype("<u4").tobytes())]
+    )
+
+TOXIC_FROM = 0.3
+
+
+@query
+def op1_toxicity(spark, root):
+    documents = read(spark, root, "documents", "doc_id", "text")
+    found = toxicity.score(documents, read(spark, root, "labels", "doc_id", "toxic"))
+    return found.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+LANGUAGE_PIECES = "byte_bpe_multi_50k.tiktoken"
+
+
+@query
+def op5_language_id(spark, root):
+    documents = read(spark, root, "documents", "doc_id", "text", "lang")
+    return langid.identify(documents, public_tokenizers.path(LANGUAGE_PIECES))
+
+
+@query
+def op8_embedding_near(spark, root):
+    return vectors.near(read(spark, root, "embeddings", "vec_id", "label", "embedding"))
+
+
+ORACLES["op8_embedding_near"] = """
+WITH RECURSIVE clean AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM clean a JOIN clean b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM clean UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+    coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counts ON vec_id = counts.a LEFT JOIN least ON vec_id = least.a
+"""
+
+
+@query
+def op9_line_dedup(spark, root):
+    found = lines.dedup(read(spark, root, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
