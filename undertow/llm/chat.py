@@ -37,7 +37,7 @@ def fold(log: DataFrame) -> DataFrame:
     replaced) or ``regenerate`` (its turn starts again, empty). An edit or regeneration also takes
     back every later turn written before it, as that branch of the conversation is left. So an
     event counts if its seq is not below the last edit or regeneration of its own or any earlier
-    turn. The role is that of the last event with one. Events of equal seq are added in the
+    turn. The role is that of the last event with one, counted or not. Events of equal seq are added in the
     order of their texts; null text is empty, a null seq comes first, an unknown kind is a delta.
 
     A conversation of any length is folded turn by turn: only one row per turn takes part in the
@@ -55,13 +55,18 @@ def fold(log: DataFrame) -> DataFrame:
         since = running_max(turns, ["conv_id"], [F.col("turn")], "last", "since")
         since = since.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), "since")
         same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("turn").eqNullSafe(F.col("_t"))
-        log = log.join(since, same).where("since is null or seq >= since").drop("_c", "_t", "since")
+        counts = F.col("since").isNull() | F.coalesce(F.col("seq") >= F.col("since"), F.lit(False))
+        log = log.join(since, same).withColumn("_counts", counts).drop("_c", "_t", "since")
+    else:
+        log = log.withColumn("_counts", F.lit(True))
     said = F.when(F.col("kind") == "regenerate", "").otherwise(F.coalesce("text", F.lit("")))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("seq"), said.alias("said"))))
-    return log.groupBy("conv_id", "turn", "part").agg(
+    parts = F.array_sort(F.collect_list(F.when(F.col("_counts"), F.struct(F.col("seq"), said.alias("said")))))
+    folded = log.groupBy("conv_id", "turn", "part").agg(
         F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("role"),
         F.array_join(F.transform(parts, lambda p: p["said"]), "").alias("text"),
+        F.bool_or("_counts").alias("_counts"),
     )
+    return folded.where("_counts").drop("_counts")
 
 
 def escape(text: Column) -> Column:

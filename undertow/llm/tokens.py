@@ -13,7 +13,8 @@ from .common import map_texts
 
 #: Entries and characters of an entry of a worker's memory of chunks.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-_WORD_AND_STOP = re.compile(r"([^\W\d_]+)([.,])")
+# Latin letters that are still letters, and no marks, once composed and lower-cased.
+_WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,])")
 _LOADED: dict[str, Chunks] = {}
 
 
@@ -22,7 +23,7 @@ class Chunks:
 
     For a tokenizer whose normaliser works on characters and whose pre-tokenizer matches never
     hold white space, a text has the ids of its chunks between spaces and line ends, one after
-    another: neither end of a chunk can compose, or match, across a space. A chunk that is letters
+    another: neither end of a chunk can compose, or match, across a space. A chunk that is Latin letters
     and one stop is in turn its word and its stop. Each new chunk is encoded by the library once.
     """
 
