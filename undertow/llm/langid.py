@@ -205,7 +205,8 @@ def train(documents: DataFrame, path: str, key: str = "doc_id", sample_docs: int
     known = documents.where("lang is not null and text is not null").select(key, "lang", "text")
     sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
     place = F.pmod(F.xxhash64(F.lit("train"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(sizes, "lang").where(place < sample_docs / F.col("_n")).select("lang", "text")
+    # One row per language, of which a model has one on the driver too: small, so texts stay where they are.
+    picked = known.join(F.broadcast(sizes), "lang").where(place < sample_docs / F.col("_n")).select("lang", "text")
 
     def count(texts):
         tally = []
