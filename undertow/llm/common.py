@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Bytes of text that a task takes apart at a time.
+PORTION_BYTES = 4 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -49,13 +51,31 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = fn(byte_texts(batch.column(1)))
-            arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=schema.names)
+            for keys, texts in portions(batch):
+                columns = fn(texts)
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([keys, *arrays], names=schema.names)
 
     return picked.mapInArrow(run, schema)
 
 
+def portions(batch: pa.RecordBatch, room: int = PORTION_BYTES) -> Iterator[tuple[pa.Array, list[bytes | None]]]:
+    """The first column of a batch and the texts of its second, some megabytes of text at a time.
+
+    What a task holds of split texts is many times their size, so it is bounded here. A longer text
+    comes alone, whole.
+    """
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64) + 64)
+    first = 0
+    while first < batch.num_rows:
+        done = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + room, "right")))
+        part = batch.slice(first, last - first)
+        yield part.column(0), byte_texts(part.column(1))
+        first = last
+
+
 def run_starts(lengths: np.ndarray) -> np.ndarray:
     """Where each run begins when runs of the given lengths lie one after another."""
     starts = np.zeros(len(lengths), np.int64)

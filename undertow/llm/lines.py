@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import pin
-from .common import byte_texts, run_starts
+from .common import portions, run_starts
 
 SIMILARITY = 0.8
 #: Tokens in more prefixes than this are compared through their earliest lines first.
@@ -89,18 +89,13 @@ def _survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            ids = []
-            for at, text in enumerate(byte_texts(batch.column(1))):
-                found = line_words(text or b"")
-                hashes = token_hashes([w for f in found for w in f])
-                total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(hashes) > 5000 else 0
-                if len(hashes) <= 5000:
-                    np.add.at(total, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-                ids.append([line_id(f) for f in found])
-            n = len(ids)
+        for docs_, texts in (p for batch in batches for p in portions(batch)):
+            found = [line_words(t or b"") for t in texts]
+            hashes = token_hashes([w for lines_ in found for f in lines_ for w in f])
+            total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            ids, n = [[line_id(f) for f in lines_] for lines_ in found], len(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [docs_, pa.array(ids, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 names=names,
             )
         if total.any():
@@ -142,16 +137,12 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     return np.floor(np.log2(total + 1.0) * 1.5).clip(0, 63).astype(np.uint8)
 
 
-def _chunks(batch: pa.RecordBatch, room: int = 20_000) -> Iterator[list[tuple[int, int, list[bytes]]]]:
-    """(row, line, words) of lines with words, a bounded number of lines at a time."""
-    held = []
-    for row, text in enumerate(byte_texts(batch.column(1))):
-        held += [(row, n, f) for n, f in enumerate(line_words(text or b"")) if f]
-        while len(held) >= room:
-            yield held[:room]
-            held = held[room:]
-    if held:
-        yield held
+def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[tuple[pa.Array, list[tuple[int, int, list[bytes]]]]]:
+    """Documents and their (row, line, words) of lines with words, a bounded number at a time."""
+    for docs, texts in (p for batch in batches for p in portions(batch)):
+        held = [(row, n, f) for row, text in enumerate(texts) for n, f in enumerate(line_words(text or b"")) if f]
+        for at in range(0, len(held), room):
+            yield docs, held[at : at + room]
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
@@ -160,29 +151,28 @@ def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
-            for chunk in _chunks(batch):
-                ids = [line_id(f) for _, _, f in chunk]
-                new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
-                if not new:
-                    continue
-                hashes, sizes = ordered_sets([chunk[i][2] for i in new], shared.value)
-                n = prefix_length(sizes, similarity)
-                first, total = run_starts(sizes), int(n.sum())
-                place = np.arange(total) - np.repeat(run_starts(n), n)
-                which = np.repeat(np.array(new), n)
-                row = np.array([c[0] for c in chunk])[which]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes[np.repeat(first, n) + place].view(np.int64)),
-                        pa.array(np.array(ids, np.int64)[which]),
-                        pa.array(np.repeat(sizes, n).astype(np.int32)),
-                        pa.array(place.astype(np.int32)),
-                        batch.column(0).field(0).take(pa.array(row)),
-                        pa.array(np.array([c[1] for c in chunk], np.int32)[which]),
-                    ],
-                    names=schema.names,
-                )
+        for docs_, chunk in _chunks(batches):
+            ids = [line_id(f) for _, _, f in chunk]
+            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
+            if not new:
+                continue
+            hashes, sizes = ordered_sets([chunk[i][2] for i in new], shared.value)
+            n = prefix_length(sizes, similarity)
+            first, total = run_starts(sizes), int(n.sum())
+            place = np.arange(total) - np.repeat(run_starts(n), n)
+            which = np.repeat(np.array(new), n)
+            row = np.array([c[0] for c in chunk])[which]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(hashes[np.repeat(first, n) + place].view(np.int64)),
+                    pa.array(np.array(ids, np.int64)[which]),
+                    pa.array(np.repeat(sizes, n).astype(np.int32)),
+                    pa.array(place.astype(np.int32)),
+                    docs_.field(0).take(pa.array(row)),
+                    pa.array(np.array([c[1] for c in chunk], np.int32)[which]),
+                ],
+                names=schema.names,
+            )
 
     key = docs.schema["doc"].dataType["key"]
     schema = StructType(
@@ -227,9 +217,9 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
-        for batch in batches:
+        for _, texts in (p for batch in batches for p in portions(batch)):
             ids, sets = [], []
-            for text in byte_texts(batch.column(1)):
+            for text in texts:
                 for f in line_words(text or b""):
                     x = line_id(f)
                     if x is not None and x not in seen:
