@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -137,65 +137,123 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     return np.floor(np.log2(total + 1.0) * 1.5).clip(0, 63).astype(np.uint8)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[tuple[pa.Array, list[tuple[int, int, list[bytes]]]]]:
-    """Documents and their (row, line, words) of lines with words, a bounded number at a time."""
-    for docs, texts in (p for batch in batches for p in portions(batch)):
-        held = [(row, n, f) for row, text in enumerate(texts) for n, f in enumerate(line_words(text or b"")) if f]
+def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[list[list[bytes]]]:
+    """The words of lines that have some, a bounded number of lines at a time."""
+    for _, texts in (p for batch in batches for p in portions(batch)):
+        held = [f for text in texts for f in line_words(text or b"") if f]
         for at in range(0, len(held), room):
-            yield docs, held[at : at + room]
+            yield held[at : at + room]
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """(token, id, size, place, doc, line): the prefix of each line, once per line text and task."""
+    """(token, id, meta): the prefix of each line, once per line text and task; see :func:`_size`."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for docs_, chunk in _chunks(batches):
-            ids = [line_id(f) for _, _, f in chunk]
+        for chunk in _chunks(batches):
+            ids = [line_id(f) for f in chunk]
             new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
             if not new:
                 continue
-            hashes, sizes = ordered_sets([chunk[i][2] for i in new], shared.value)
+            hashes, sizes = ordered_sets([chunk[i] for i in new], shared.value)
             n = prefix_length(sizes, similarity)
-            first, total = run_starts(sizes), int(n.sum())
-            place = np.arange(total) - np.repeat(run_starts(n), n)
-            which = np.repeat(np.array(new), n)
-            row = np.array([c[0] for c in chunk])[which]
+            place = np.arange(int(n.sum())) - np.repeat(run_starts(n), n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(hashes[np.repeat(first, n) + place].view(np.int64)),
-                    pa.array(np.array(ids, np.int64)[which]),
-                    pa.array(np.repeat(sizes, n).astype(np.int32)),
-                    pa.array(place.astype(np.int32)),
-                    docs_.field(0).take(pa.array(row)),
-                    pa.array(np.array([c[1] for c in chunk], np.int32)[which]),
+                    pa.array(hashes[np.repeat(run_starts(sizes), n) + place].view(np.int64)),
+                    pa.array(np.repeat(np.array(ids, np.int64)[new], n)),
+                    pa.array(np.repeat(sizes, n) << 32 | place),
                 ],
-                names=schema.names,
+                names=["token", "id", "meta"],
             )
 
-    key = docs.schema["doc"].dataType["key"]
-    schema = StructType(
-        [*StructType.fromDDL("token bigint, id bigint, size int, place int").fields, StructField("key", key.dataType), *StructType.fromDDL("line int").fields]
-    )
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint")
 
 
-def _fits(similarity: float) -> Column:
-    """Length and positional filters on a pair of postings x and y of one token."""
-    sizes = F.col("x.size") + F.col("y.size")
-    least = F.ceil(sizes * (similarity / (1 + similarity)) - 1e-9)
-    rest = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    return (
-        (F.col("x.size") >= F.col("y.size") * similarity - 1e-9)
-        & (F.col("y.size") >= F.col("x.size") * similarity - 1e-9)
-        & (rest >= least)
-    )
+def _size(meta):
+    """Tokens of the line, from the upper half of a posting's ``meta``; numpy array or column."""
+    return meta >> 32 if isinstance(meta, np.ndarray) else F.shiftright(meta, 32)
+
+
+def _place(meta):
+    """Place of the token in the line's order, from 0."""
+    return meta & 0xFFFFFFFF if isinstance(meta, np.ndarray) else meta.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _fits(x, y, similarity: float, least=np.minimum, ceil=np.ceil):
+    """Length and positional filters on the ``meta`` of two postings of one token."""
+    a, b = _size(x), _size(y)
+    needed = ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
+    rest = least(a - _place(x), b - _place(y))
+    return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed)
+
 
+def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame:
+    """One shuffle of the postings by token: candidate pairs, and the postings of crowded tokens.
 
-def _pairs(x: DataFrame, y: DataFrame, when: Column, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of postings of one token."""
-    met = x.alias("x").join(y.alias("y"), "token").where(when & (F.col("x.id") != F.col("y.id")) & _fits(similarity))
+    Rows are (a, b) with a < b for lines that met at a token of up to ``crowded`` postings, and
+    (a = id, token, meta) for each posting of a larger one. Tokens stream past in order, so a task
+    holds no more than a batch of them, and a crowd passes through without being gathered.
+    """
+
+    def pairs_of(ids: np.ndarray, meta: np.ndarray, first: np.ndarray, size: np.ndarray):
+        for n in np.unique(size):
+            if n < 2:
+                continue
+            at = first[size == n][:, None]
+            i, j = np.triu_indices(int(n), 1)
+            for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
+                x, y = (some + i).ravel(), (some + j).ravel()
+                on = _fits(meta[x], meta[y], similarity) & (ids[x] != ids[y])
+                yield np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
+
+    def rows(a, b=None, token=None, meta=None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [none if c is None else pa.array(c) for c in (a, b, token, meta)], names=["a", "b", "token", "meta"]
+        )
+
+    def settle(token, ids, meta, crowd):
+        """Output of whole tokens; ``crowd`` is a token already known to be crowded."""
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(first, len(token)))
+        big = (size > crowded) | (token[first] == crowd if crowd is not None else False)
+        many = np.repeat(big, size)
+        if many.any():
+            yield rows(ids[many], token=token[many], meta=meta[many])
+        found = list(pairs_of(ids, meta, first[~big], size[~big]))
+        if found:
+            both = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
+            yield rows(both[:, 0], both[:, 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowd = [np.zeros(0, np.int64)] * 3, None
+        for batch in batches:
+            token, ids, meta = (
+                np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)
+            )
+            if not len(token):
+                continue
+            last = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
+            if len(token) - last > crowded or token[-1] == crowd:
+                yield from settle(token, ids, meta, crowd)
+                crowd, held = token[-1], [np.zeros(0, np.int64)] * 3
+            else:
+                if last:
+                    yield from settle(token[:last], ids[:last], meta[:last], crowd)
+                held = [token[last:], ids[last:], meta[last:]]
+        if len(held[0]):
+            yield from settle(*held, crowd)
+
+    ordered = postings.repartition("token").sortWithinPartitions("token")
+    return ordered.mapInArrow(run, "a bigint, b bigint, token bigint, meta bigint")
+
+
+def _pairs(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of postings (id, token, meta) that meet at a token."""
+    met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.id") != F.col("y.id"))
+    met = met.where(_fits(F.col("x.meta"), F.col("y.meta"), similarity, F.least, F.ceil))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -268,23 +326,18 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     rarity = _rarity(survey)
     lines = survey.where("doc is not null").select("doc", F.posexplode("ids").alias("line", "id")).where("id is not null")
     firsts = pin(lines.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first")), "lines")
-    postings = pin(_postings(docs, rarity, similarity), "postings")
-    order = F.struct("key", "line", "id", "size", "place")
-    counts = postings.groupBy("token").agg(F.count("*").alias("n"), F.min(order).alias("e")).where("n > 1")
-    counts = pin(counts, "postings")
-    light = postings.join(counts.where(F.col("n") <= CROWDED).select("token"), "token", "left_semi")
-    pairs = _pairs(light, light, F.col("x.id") < F.col("y.id"), similarity)
-    heavy = counts.where(F.col("n") > CROWDED)
-    crowd = pin(postings.join(heavy.select("token"), "token", "left_semi"), "postings")
-    earliest = heavy.select("token", "e.*")
-    pairs = pin(pairs.union(_pairs(crowd, earliest, F.lit(True), similarity)).distinct(), "pairs")
+    met = pin(_meetings(_postings(docs, rarity, similarity), similarity, CROWDED), "meetings")
+    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta").distinct()
+    seen = crowd.join(firsts, "id").groupBy("token").agg(F.min(F.struct("first", "id", "meta")).alias("e"))
+    earliest = seen.select("token", "e.id", "e.meta")
+    light = met.where("token is null").select("a", "b")
+    pairs = pin(light.union(_pairs(crowd, earliest, similarity)).distinct(), "pairs")
     gone = pin(_verified(docs, pairs, firsts, similarity), "matches")
-    if not crowd.isEmpty():
-        rest = crowd.join(gone, "id", "left_anti")
-        more = _pairs(rest, crowd, F.lit(True), similarity).join(pairs, ["a", "b"], "left_anti")
-        more = pin(more, "pairs")
-        if not more.isEmpty():
-            gone = gone.union(_verified(docs, more, firsts, similarity)).distinct()
+    more = pin(
+        _pairs(crowd.join(gone, "id", "left_anti"), crowd, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs"
+    )
+    if not more.isEmpty():
+        gone = gone.union(_verified(docs, more, firsts, similarity)).distinct()
     decided = firsts.join(gone.withColumn("gone", F.lit(True)), "id", "left")
     later = F.struct("doc", "line") > F.col("first")
     marked = lines.join(decided, "id").where(later | F.coalesce("gone", F.lit(False)))
