@@ -10,17 +10,29 @@ from undertow.session import pin
 
 from .core import query
 
-_PINNED: dict[tuple[str, str, str], object] = {}
+_PINNED: dict[tuple, object] = {}
 
 
 def pinned(w, label, build):
-    """A table several queries read, computed once per session and input folder."""
-    key = (w.spark.sparkContext.applicationId, w.root, label)
+    """A table several queries read, computed once per session and set of input files.
+
+    A warehouse with replaced tables has results of its own, told apart by what replaces them;
+    a folder whose files were written anew is read anew.
+    """
+    files = tuple(sorted(w["lin_assets"].inputFiles() + w["lin_usage"].inputFiles()))
+    stamps = tuple(_written(w.spark, f) for f in files)
+    mine = tuple(sorted((name, -1 if df is None else df.semanticHash()) for name, df in w.replaced.items()))
+    key = (w.spark.sparkContext.applicationId, w.root, stamps, mine, label)
     if key not in _PINNED:
         _PINNED[key] = pin(build(), label)
     return _PINNED[key]
 
 
+def _written(spark, file: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
 def reach(w):
     return pinned(w, "closure", lambda: lineage.closure(w["lin_edges"]))
 
@@ -63,14 +75,26 @@ def known(w):
 # ------------------------------------------------------------------ lineage
 
 
-@query("ln_shape", "select urn, asset, kind, name, team, sla_hours, replicated, owner, tag from {x_shaped}")
+@query("ln_shape", """
+    select * exclude (owner, tag),
+           case when kind in ('dashboard', 'chart') then 'bi' else split_part(asset, '.', 1) end as layer,
+           null::varchar as refresh_cadence, null::varchar as tier, null::varchar as fallback_source,
+           null::varchar as materialization, null::varchar as sub_type,
+           ifnull(owner, '') as owners, ifnull(tag, '') as tags,
+           if(urn like '%dataPlatform:postgres%', 'c0:bigint:false,c1:?:?', '') as columns
+    from {x_shaped}""")
 def ln_shape(w):
     shaped = lineage.shape_records(w["cat_records"])
-    return shaped.select(
-        "urn", "asset", "kind", "name", "team", "sla_hours", "replicated",
-        F.try_element_at("owners", F.lit(1)).alias("owner"),
-        F.try_element_at("tags", F.lit(1)).alias("tag"),
+    columns = F.transform(
+        F.coalesce("fields", F.array()),
+        lambda f: F.concat_ws(
+            ":", f["fieldPath"], F.coalesce(f["nativeDataType"], F.lit("?")),
+            F.coalesce(f["nullable"].cast("string"), F.lit("?")),
+        ),
     )
+    return shaped.withColumns(
+        {"owners": F.array_join("owners", ","), "tags": F.array_join("tags", ","), "columns": F.array_join(columns, ",")}
+    ).drop("fields")
 
 
 @query("fn_key_layer", """
@@ -406,15 +430,16 @@ def ko_gate(w):
 
 
 @query("ko_top5", """
-    select count(*) as assets_scored, avg(score) as mean_score,
-           max(origin) filter (rank = 1) as first, max(origin) filter (rank = 5) as fifth
-    from {x_ranked}""")
+    with five as (select row_number() over (order by score desc, origin) as place, origin, score, cost
+                  from {x_ranked} order by score desc, origin limit 5)
+    select place, origin, score, cost, 'fleet' as target, 'fp' as fingerprint, 'now' as scored_at,
+           (select count(*) from {x_ranked}) as assets_scored, (select avg(score) from {x_ranked}) as mean_score
+    from five""")
 def ko_top5(w):
-    row = knockout.history_row(ranked(w))
-    return row.select(
-        "assets_scored", "mean_score",
-        F.try_element_at("top", F.lit(1)).alias("first"),
-        F.try_element_at("top", F.lit(5)).alias("fifth"),
+    row = knockout.history_row(ranked(w), "fleet", "fp", "now")
+    return row.select(F.posexplode("top").alias("place", "t"), "target", "fingerprint", "scored_at",
+                      "assets_scored", "mean_score").select(
+        (F.col("place") + 1).alias("place"), "t.*", "target", "fingerprint", "scored_at", "assets_scored", "mean_score"
     )
 
 
@@ -437,6 +462,7 @@ def cx_verified(w):
 
 
 @query("cx_candidates", """
+    select *, row_number() over (order by priority_score desc, path, scenario) as place from (
     select scenario, origin, path, band, novelty,
            round((0.5 * impact + 0.35 * (1 - confidence) + 0.15 * novelty)::decimal(20,12), 6)::double
                as priority_score,
@@ -450,7 +476,7 @@ def cx_verified(w):
           from {sim_faults} as f join {x_confidence} on asset = f.origin
                left join {x_ranked} as r on r.origin = f.origin
                left join (select origin, count(*) as n from {x_closure} group by all) as c
-                      on c.origin = f.origin)""")
+                      on c.origin = f.origin))""")
 def cx_candidates(w):
     scenarios = w["sim_faults"].select(
         "scenario", "origin", F.concat(F.lit("faults/"), "kind").alias("path")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars as fn
+from undertow.functions.ordered import numbered
 from undertow.functions.summaries import contents, percentile_cont
 from undertow.operators import history, quality
 from undertow.operators.lineage import Graph
@@ -360,20 +364,40 @@ def ag_argmax(w):
     return newest.select("target", "line_no")
 
 
-@query("ag_checksum", """
-    select count(*) as row_count, true as same_when_moved, count(*) > 0 as differs_when_changed
-    from {raw_orders}""")
+# Copies of the orders: the same rows, one value changed, a row gone, a row twice, a null moved
+# from one column to another.
+_COPIES = {
+    "same": "select * from {raw_orders}",
+    "one value": "select * replace (if(order_id = (select min(order_id) from {raw_orders}), 'x', channel) as channel) from {raw_orders}",
+    "row gone": "select * from {raw_orders} where order_id <> (select max(order_id) from {raw_orders})",
+    "row twice": "select * from {raw_orders} union all select * from {raw_orders} where order_id = (select max(order_id) from {raw_orders})",
+    "null in channel": "select * replace (null::varchar as channel) from {raw_orders}",
+    "null in status": "select * replace (null::varchar as status) from {raw_orders}",
+}
+_EXCEPT = "((select * from ({a})) except all (select * from ({b})))"
+
+
+@query("ag_checksum", " union all ".join(
+    f"""select '{name}' as copy, (select count(*) from ({copy})) as row_count,
+        exists (select * from {_EXCEPT.format(a=copy, b=base)} union all select * from {_EXCEPT.format(a=base, b=copy)}) as differs"""
+    for name, copy in _COPIES.items()
+    for base in [_COPIES["null in channel" if name == "null in status" else "same"]]))
 def ag_checksum(w):
     orders = w["raw_orders"]
-    here = contents(orders)
-    moved = contents(orders.repartition("merchant_id")).agg(F.max("checksum")).scalar()
-    changed = orders.withColumn("channel", F.when(c("order_id") != 0, c("channel")))
-    other = contents(changed).agg(F.max("checksum")).scalar()
-    return here.select(
-        "row_count",
-        (c("checksum") == moved).alias("same_when_moved"),
-        (c("checksum") != other).alias("differs_when_changed"),
-    )
+    least, most = orders.agg(F.min("order_id")).scalar(), orders.agg(F.max("order_id")).scalar()
+    none = F.lit(None).cast("string")
+    copies = {
+        "same": orders.repartition("merchant_id"),
+        "one value": orders.withColumn("channel", F.when(c("order_id") == least, "x").otherwise(c("channel"))),
+        "row gone": orders.where(c("order_id") != most),
+        "row twice": orders.union(orders.where(c("order_id") == most)),
+        "null in channel": orders.withColumn("channel", none),
+        "null in status": orders.withColumn("status", none),
+    }
+    found = [contents(df).select(F.lit(name).alias("copy"), "row_count", "checksum") for name, df in copies.items()]
+    base = {n: contents(df).agg(F.max("checksum")).scalar() for n, df in (("same", orders), ("null in channel", copies["null in channel"]))}
+    against = F.when(c("copy") == "null in status", base["null in channel"]).otherwise(base["same"])
+    return reduce(DataFrame.unionByName, found).select("copy", "row_count", (c("checksum") != against).alias("differs"))
 
 
 @query("ag_even_split", """
@@ -409,11 +433,14 @@ def so_multi(w):
 
 
 @query("so_nulls", """
-    select shipment_id, transit_days from {stg_shipments}
-    order by transit_days nulls first, shipment_id limit 500""")
+    select shipment_id, transit_days,
+           row_number() over (order by transit_days nulls first, shipment_id) as nulls_first,
+           row_number() over (order by transit_days desc nulls last, shipment_id) as nulls_last
+    from {stg_shipments}""")
 def so_nulls(w):
-    ordered = w["stg_shipments"].orderBy(F.asc_nulls_first("transit_days"), "shipment_id")
-    return ordered.select("shipment_id", "transit_days").limit(500)
+    rows = w["stg_shipments"].select("shipment_id", "transit_days")
+    rows = numbered(rows, [], [F.asc_nulls_first("transit_days"), c("shipment_id")], "nulls_first")
+    return numbered(rows, [], [F.desc_nulls_last("transit_days"), c("shipment_id")], "nulls_last")
 
 
 @query("so_topk", """
@@ -604,8 +631,7 @@ def fn_regex_metric(w):
 # ------------------------------------------------------------------ data tests
 
 
-_TESTED = ["stg_orders", "stg_payments", "stg_customers", "stg_fx_rates", "stg_app_sessions",
-           "stg_order_items", "int_orders_enriched", "o_stg_shipments"]
+_TESTED = [name for name, m in MODELS.items() if m.checks]
 
 
 def _checks(kind, count):
@@ -626,25 +652,72 @@ _COUNT = {
     "not_null": "select count(*) - count({c}) from {{{t}}}",
     "accepted": "select count(*) from {{{t}}} where {c} not in ({v})",
 }
+
+
+def _report(w, kind):
+    """Every check of one kind; each model is written once, and read by its tests and the models above."""
+    kept = {n: w.keep(n) for n in _TESTED}
+    return quality.report(kept, [MODELS[n] for n in _TESTED], kind)
+
+
 for _kind, _count in _COUNT.items():
     query(f"dq_{_kind}", _checks(_kind, _count))(
-        lambda w, k=_kind: quality.report({n: w[n] for n in _TESTED}, [MODELS[n] for n in _TESTED], k)
+        lambda w, k=_kind: _report(w, k)
     )
 
 
-@query("dq_expectations", """
-    select 'assets' as expectation, count(*)::double as share, count(*) >= 100 as passed
-    from {lin_assets}
-    union all select 'edges', count(*), count(*) >= 1000000000 from {lin_edges}
-    union all select 'owners', count(distinct owner), count(distinct owner) between 10 and 1000000
-    from {lin_owners}""")
+# name, one-row query of one number, least, most.
+_EXPECTED = (
+    ("datasets (postgres)", "select count(*) as n from {cat_keys} where urn like '%dataPlatform:postgres%'", 100, None),
+    ("datasets (dbt siblings)", "select count(*) as n from {cat_keys} where urn like '%dataPlatform:dbt%'", 100, None),
+    ("dashboards", "select count(*) as n from {lin_assets} where kind = 'dashboard'", 5, None),
+    ("charts", "select count(*) as n from {lin_assets} where kind = 'chart'", 5, None),
+    ("features", "select count(*) as n from {lin_assets} where kind = 'mlFeature'", 0, 0),
+    ("table edges", "select count(*) as n from {lin_edges}", 100, None),
+    ("datasets with column lineage", "select count(distinct target) as n from {lin_column_edges}", 60, None),
+    ("datasets with usage", "select count(distinct asset) as n from {lin_usage} where runs > 0", 60, None),
+    ("recorded executions", "select coalesce(sum(runs), 0) as n from {lin_usage}", 1, None),
+    ("distinct owners", "select count(distinct owner) as n from {lin_owners}", 10, None),
+    ("top owner share", """
+        select max(n) / (select count(*) from {lin_assets} where kind = 'dataset') as n
+        from (select count(distinct asset) as n from {lin_owners} group by owner) as owned""", 0.001, 0.5),
+    ("unowned datasets", """
+        select count(*) as n from {lin_assets}
+        where kind = 'dataset' and asset not in (select asset from {lin_owners})""", 1, None),
+    ("feature to deployment", """
+        select count(*) as n from {lin_column_edges} as f join {lin_column_edges} as m
+        on f.target = m.source and f.target_column = m.source_column""", 1, None),
+)
+
+
+@query("dq_expectations", " union all ".join(
+    f"select '{name}' as expectation, n::double as share, coalesce(n >= {least}" + (f" and n <= {most}" if most is not None else "")
+    + f", false) as passed from ({sql})" for name, sql, least, most in _EXPECTED))
 def dq_expectations(w):
+    owners, datasets = w["lin_owners"], w["lin_assets"].where("kind = 'dataset'")
+    keys, columns, usage = w["cat_keys"], w["lin_column_edges"], w["lin_usage"]
+    kinds = w["lin_assets"].groupBy("kind").agg(F.count("*").alias("n"))
+    total = datasets.agg(F.count("*")).scalar()
+    joined = columns.select(c("target").alias("a"), c("target_column").alias("b")).join(
+        columns.select(c("source").alias("a"), c("source_column").alias("b")), ["a", "b"]
+    )
+    counted = {
+        "datasets (postgres)": keys.agg(F.count_if(c("urn").contains("dataPlatform:postgres"))),
+        "datasets (dbt siblings)": keys.agg(F.count_if(c("urn").contains("dataPlatform:dbt"))),
+        "dashboards": kinds.agg(F.coalesce(F.sum(F.when(c("kind") == "dashboard", c("n"))), F.lit(0))),
+        "charts": kinds.agg(F.coalesce(F.sum(F.when(c("kind") == "chart", c("n"))), F.lit(0))),
+        "features": kinds.agg(F.coalesce(F.sum(F.when(c("kind") == "mlFeature", c("n"))), F.lit(0))),
+        "table edges": w["lin_edges"].agg(F.count("*")),
+        "datasets with column lineage": columns.agg(F.count_distinct("target")),
+        "datasets with usage": usage.where("runs > 0").agg(F.count_distinct("asset")),
+        "recorded executions": usage.agg(F.coalesce(F.sum("runs"), F.lit(0))),
+        "distinct owners": owners.agg(F.count_distinct("owner")),
+        "top owner share": owners.distinct().groupBy("owner").count().agg(F.max("count") / total),
+        "unowned datasets": datasets.join(owners, "asset", "left_anti").agg(F.count("*")),
+        "feature to deployment": joined.agg(F.count("*")),
+    }
     return quality.expectations(
-        [
-            quality.expectation("assets", w["lin_assets"].agg(F.count("*")), 100),
-            quality.expectation("edges", w["lin_edges"].agg(F.count("*")), 1_000_000_000),
-            quality.expectation("owners", w["lin_owners"].agg(F.count_distinct("owner")), 10, 1_000_000),
-        ]
+        [quality.expectation(name, counted[name], least, most) for name, _, least, most in _EXPECTED]
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from undertow.operators import faults, grading, publishing, rebuild
 from undertow.operators.impact import events
-from undertow.plans import MODELS, downstream_models
+from undertow.plans import CONSUMERS, MODELS, downstream_models
 
 from .core import TABLE_SQL, on_grid, query
 from .graph import reach, timeline
@@ -63,14 +63,7 @@ def flt_stop_new_rows(w):
 
 # ------------------------------------------------------------------ rebuilds
 
-_CLASSIFIED = [
-    "stg_orders",
-    "int_orders_enriched",
-    "int_merchant_daily",
-    "int_shipment_performance",
-    "int_promotion_impact",
-    "mart_finance_reconciliation",
-]
+_CLASSIFIED = downstream_models("raw_orders")
 faulted_tables("nm", "raw_orders", "select * replace (null::bigint as merchant_id) from {raw_orders}")
 
 
@@ -78,11 +71,13 @@ faulted_tables("nm", "raw_orders", "select * replace (null::bigint as merchant_i
 def wi_classify(w):
     fault = rebuild.Fault("null_out_column", "raw_orders", "merchant_id")
     shadow = rebuild.overlay(w, fault)
+    shadow.keep(fault.table)
     rows = [(n, *rebuild.observe(shadow, w, n)) for n in _CLASSIFIED]
     return rebuild.outcome_table(w, rows).drop("detail")
 
 
-_READERS = ["int_merchant_daily", "int_promotion_impact", "mart_finance_reconciliation"]
+_BELOW = downstream_models("int_orders_enriched")
+_READERS = [n for n in _BELOW if "int_orders_enriched" in MODELS[n].reads]
 faulted_tables(
     "nd",
     "int_orders_enriched",
@@ -91,25 +86,29 @@ faulted_tables(
 )
 
 
-@query("wi_probe", " union all ".join(differs("nd", n) for n in _READERS))
+@query("wi_probe", " union all ".join(
+    differs("nd", n) if n in _READERS else f"select '{n}', null" for n in _BELOW))
 def wi_probe(w):
     fault = rebuild.Fault("null_out_column", "int_orders_enriched", "discount_amount_usd")
-    return rebuild.probes(w, fault, _READERS).drop("detail")
+    return rebuild.probes(w, fault).drop("detail")
 
 
 _LINKS = ", ".join(f"('{t}', '{m.name}')" for m in MODELS.values() for t in m.reads)
+faulted_tables(
+    "nc", "raw_orders", "select * replace (null::bigint as customer_id) from {raw_orders}", ["stg_orders"]
+)
 
 
 @query("wi_cascade", f"""
     with recursive links as (select * from (values {_LINKS}) as l(source, target)),
+         -- the not-null test of stg_orders, on the emptied column
+         test as (select count(*) filter (customer_id is null) > 0 as failed from {{nc_stg_orders}}),
+         changed as (select impact is not null as it_is from ({differs("nc", "stg_orders")})),
          below as (select 'stg_orders' as asset union
                    select target from below join links on source = asset)
-    select asset, case when asset = 'stg_orders' then
-               case when (select count(*) from {{raw_orders}} where customer_id is not null) > 0
-                    then 'degraded' end
-           -- the not-null test fails on the emptied column, so nothing below is built
-           when exists (select null::bigint as customer_id from {{raw_orders}}) then 'unavailable' end
-           as impact
+    select asset, case when asset = 'stg_orders'
+                       then if((select failed from test) or (select it_is from changed), 'degraded', null)
+                       when (select failed from test) then 'unavailable' end as impact
     from below""")
 def wi_cascade(w):
     fault = rebuild.Fault("null_out_column", "raw_orders", "customer_id")
@@ -141,11 +140,26 @@ def wi_differences(w):
     return rebuild.row_differences(shadow["int_merchant_daily"], w["int_merchant_daily"])
 
 
-@query("wi_consumers")
+# Consumers, the table each reads, and whether it reads the column that is dropped.
+_CONSUMERS = ", ".join(
+    f"('{c.name}', {c.daily_runs}, '{t}')" for c in CONSUMERS.values() for t in c.reads
+)
+
+
+@query("wi_consumers", f"""
+    with reads as (select * from (values {_CONSUMERS}) as r(consumer, daily_runs, source)),
+         columns_read as (select * from (values
+             ('capacity_watch', 'o_mart_capacity_risk', 'load_ratio'),
+             ('carrier_score', 'o_mart_carrier_network', 'on_time_rate')) as u(consumer, source, column_name)),
+         dropped as (select 'o_mart_capacity_risk' as source, 'load_ratio' as column_name)
+    select consumer, daily_runs,
+           coalesce(bool_or(column_name is not null), false) as failed
+    from reads left join (columns_read semi join dropped using (source, column_name)) using (consumer, source)
+    group by consumer, daily_runs""")
 def wi_consumers(w):
     fault = rebuild.Fault("drop_column", "o_mart_capacity_risk", "load_ratio")
-    names = ["capacity_watch", "carrier_score", "network_sla"]
-    return rebuild.consumers(rebuild.overlay(w, fault), names)
+    ran = rebuild.consumers(rebuild.overlay(w, fault))
+    return ran.select("consumer", "daily_runs", F.col("error").isNotNull().alias("failed"))
 
 
 # ------------------------------------------------------------------ grading
@@ -235,11 +249,10 @@ def se_key_sets(w):
 
 @query("wi_incidents", """
     select 'urn:li:incident:undertow_' || replace(scenario || '_' || o.asset, '.', '_') as incident,
-           o.asset, min(urn) as urn, count(distinct urn) as urn_count, impact,
+           o.asset, urn, impact,
            if(impact = 'degraded', 'FIELD', 'OPERATIONAL') as type, 'ACTIVE' as state,
            'today' as updated_at
-    from {sim_observed} as o join {cat_keys} as k on k.asset = o.asset
-    group by scenario, o.asset, impact""")
+    from {sim_observed} as o join (select distinct asset, urn from {cat_keys}) as k on k.asset = o.asset""")
 def wi_incidents(w):
     return publishing.incidents(w["sim_observed"], w["cat_keys"], "today")
 

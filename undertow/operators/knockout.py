@@ -254,18 +254,22 @@ def gate(scored: DataFrame, changed: DataFrame, threshold: float = 50.0) -> Data
     )
 
 
-def history_row(scored: DataFrame) -> DataFrame:
-    """Mean score and the five most fragile assets, as one row."""
+def history_row(scored: DataFrame, target: str, fingerprint: str, scored_at: str) -> DataFrame:
+    """One row per scoring run: what was scored, when, the mean, and the five most fragile with score and cost."""
     top = scored.orderBy(F.desc("score"), "origin").limit(5)
-    names = top.agg(
+    five = top.agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "origin"))),
-            lambda t: t["origin"],
+            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "origin", "score", "cost"))),
+            lambda t: F.struct(t["origin"].alias("origin"), t["score"].alias("score"), t["cost"].alias("cost")),
         )
     ).scalar()
     return scored.agg(
-        F.count("*").alias("assets_scored"), F.avg("score").alias("mean_score")
-    ).withColumn("top", names)
+        F.lit(target).alias("target"),
+        F.lit(fingerprint).alias("fingerprint"),
+        F.lit(scored_at).alias("scored_at"),
+        F.count("*").alias("assets_scored"),
+        F.avg("score").alias("mean_score"),
+    ).withColumn("top", five)
 
 
 def top_queries(usage: DataFrame, k: int = 5) -> DataFrame:

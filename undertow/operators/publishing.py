@@ -49,11 +49,11 @@ def incident_id(scenario: Column, asset: Column) -> Column:
 
 
 def incidents(observed: DataFrame, urns: DataFrame, raised_at: str) -> DataFrame:
-    """One active incident per affected asset that the catalog knows by some urn.
+    """An active incident per affected asset that the catalog knows, one row for each of its urns.
 
     The id depends on the scenario and the asset only, so a second run replaces the first.
     """
-    known = urns.groupBy("asset").agg(F.min("urn").alias("urn"), F.count("*").alias("urn_count"))
+    known = urns.select("asset", "urn").distinct()
     kinds = F.create_map(*[F.lit(x) for pair in INCIDENT_TYPE.items() for x in pair])
     return (
         observed.where(F.col("impact").isNotNull())
@@ -62,7 +62,6 @@ def incidents(observed: DataFrame, urns: DataFrame, raised_at: str) -> DataFrame
             incident_id(F.col("scenario"), F.col("asset")).alias("incident"),
             "asset",
             "urn",
-            "urn_count",
             "impact",
             F.coalesce(F.try_element_at(kinds, "impact"), F.lit("OPERATIONAL")).alias("type"),
             F.lit("ACTIVE").alias("state"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from ..plans import CONSUMERS, MODELS, MissingTable, Warehouse, downstream_model
 from ..sources.contracts import ContractError
 from .faults import faulted
 from .impact import DEGRADED, UNAVAILABLE
-from .quality import failures
+from .quality import report
 
 FAILURES = (PySparkException, ContractError, MissingTable)
 
@@ -61,41 +61,53 @@ def compare(shadow: DataFrame, real: DataFrame) -> tuple[str | None, str]:
 
 
 def observe(shadow: Warehouse, production: Warehouse, name: str) -> tuple[str | None, str]:
-    """Build one model on ``shadow`` and say what happened to it."""
+    """Build one model on ``shadow`` and say what happened to it.
+
+    Both sides are written once, so the models above read them and do not compute them again.
+    """
     try:
-        return compare(shadow[name], production[name])
+        return compare(shadow.keep(name), production.keep(name))
     except FAILURES as error:
-        return UNAVAILABLE, str(error).strip().splitlines()[0][:200]
+        return UNAVAILABLE, str(error).strip()
 
 
 def probes(production: Warehouse, fault: Fault, names: Iterable[str] | None = None) -> DataFrame:
-    """The direct readers, each rebuilt by itself."""
+    """Every model downstream, each rebuilt by itself: all it reads is healthy but for the faulted table.
+
+    A model that does not read the faulted table has nothing but healthy inputs, so what it is
+    built from is production itself.
+    """
     shadow = overlay(production, fault)
     rows = []
-    for name in names or [n for n in scope(fault) if fault.table in MODELS[n].reads]:
-        healthy = {t: production[t] for t in MODELS[name].reads if t != fault.table}
-        alone = production.overlay({**healthy, fault.table: shadow.replaced[fault.table]})
+    for name in names or scope(fault):
+        if fault.table not in MODELS[name].reads:
+            rows.append((name, None, "identical"))
+            continue
+        healthy = {t: production.keep(t) for t in MODELS[name].reads if t != fault.table}
+        alone = production.overlay({**healthy, fault.table: shadow.keep(fault.table)})
         rows.append((name, *observe(alone, production, name)))
     return outcome_table(production, rows)
 
 
 def broken_tests(shadow: Warehouse, name: str) -> list[str]:
-    """The declared tests a rebuilt model fails."""
-    failed = []
-    for check in MODELS[name].checks:
-        df = shadow[name]
-        if check.column not in df.columns or failures(df, check).first()["failures"] > 0:
-            failed.append(f"{check.kind}({check.column})")
+    """The declared tests a rebuilt model fails; all tests of one kind are one job."""
+    checks, df = MODELS[name].checks, shadow[name]
+    failed = [f"{c.kind}({c.column})" for c in checks if c.column not in df.columns]
+    present = replace(MODELS[name], checks=tuple(c for c in checks if c.column in df.columns))
+    for kind in dict.fromkeys(c.kind for c in present.checks):
+        found = report({name: df}, [present], kind).where("failures > 0").collect()
+        failed += [f"{kind}({r['column_name']})" for r in found]
     return failed
 
 
 def cascade(production: Warehouse, fault: Fault, names: Iterable[str] | None = None) -> DataFrame:
     """Everything downstream rebuilt in order; a failed build or test stops what depends on it.
 
-    The loop is over models, of which there are dozens; every table is built and compared on
-    the cluster.
+    The loop is over models, of which there are dozens; every table is built, once, and compared
+    on the cluster.
     """
     shadow = overlay(production, fault)
+    shadow.keep(fault.table)
     stopped: set[str] = set()
     rows = []
     for name in names or scope(fault):
@@ -128,7 +140,7 @@ def consumers(shadow: Warehouse, names: Iterable[str] | None = None) -> DataFram
         try:
             c.run(*[shadow[t] for t in c.reads]).write.format("noop").mode("overwrite").save()
         except FAILURES as failure:
-            error = str(failure).strip().splitlines()[0][:200]
+            error = str(failure).strip()
         rows.append((c.name, c.daily_runs, error))
     return shadow.spark.createDataFrame(rows, "consumer string, daily_runs int, error string")
 

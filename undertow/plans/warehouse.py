@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import prepare
+from ..session import pin, prepare
 from ..sources.bindings import BINDINGS, bind
 from ..sources.contracts import ContractError
 from ..sources.tables import LANDED, scan
@@ -83,6 +83,7 @@ class Warehouse:
         self.replaced = dict(replaced or {})
         self.production = production
         self._built: dict[str, DataFrame] = {}
+        self._kept: set[str] = set()
 
     def overlay(self, replaced: dict[str, DataFrame | None]) -> Warehouse:
         """This warehouse with some tables replaced; the rest passes through untouched."""
@@ -98,6 +99,19 @@ class Warehouse:
             self._built[name] = self._build(name)
         return self._built[name]
 
+    def keep(self, name: str) -> DataFrame:
+        """The table written once to the checkpoint folder; what is built from now on reads it there.
+
+        Used where many models are built one after another, so that none computes again what
+        another has computed.
+        """
+        if name not in self._kept:
+            self._built[name] = pin(self[name], name)
+            if name in self.replaced:
+                self.replaced[name] = self._built[name]
+            self._kept.add(name)
+        return self._built[name]
+
     def _build(self, name: str) -> DataFrame:
         if name in MODELS:
             m = MODELS[name]
