@@ -146,7 +146,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """(token, id, meta): the prefix of each line, once per line text and task; see :func:`_size`."""
+    """(token, id, meta, sign): the prefix of each line, once per line text and task; see :func:`_fits`."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +159,19 @@ def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFra
             hashes, sizes = ordered_sets([chunk[i] for i in new], shared.value)
             n = prefix_length(sizes, similarity)
             place = np.arange(int(n.sum())) - np.repeat(run_starts(n), n)
+            bits = np.uint64(1) << (hashes >> np.uint64(20) & np.uint64(63))
+            sign = np.bitwise_xor.reduceat(bits, run_starts(sizes)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes[np.repeat(run_starts(sizes), n) + place].view(np.int64)),
                     pa.array(np.repeat(np.array(ids, np.int64)[new], n)),
                     pa.array(np.repeat(sizes, n) << 32 | place),
+                    pa.array(np.repeat(sign, n)),
                 ],
-                names=["token", "id", "meta"],
+                names=["token", "id", "meta", "sign"],
             )
 
-    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint")
+    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint, sign bigint")
 
 
 def _size(meta):
@@ -181,23 +184,30 @@ def _place(meta):
     return meta & 0xFFFFFFFF if isinstance(meta, np.ndarray) else meta.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _fits(x, y, similarity: float, least=np.minimum, ceil=np.ceil):
-    """Length and positional filters on the ``meta`` of two postings of one token."""
+def _fits(x, y, x_sign, y_sign, similarity: float, least=np.minimum, ceil=np.ceil, ones=np.bitwise_count):
+    """Filters on two postings of one token, on their ``meta`` and ``sign``; none loses a match.
+
+    The lengths must allow the similarity; so must the tokens from this one on, if it is the first
+    that the lines share. ``sign`` has a bit per class of token hashes, set if the line has an odd
+    number of such tokens: each differing bit is a token that only one of the lines has.
+    """
     a, b = _size(x), _size(y)
     needed = ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
     rest = least(a - _place(x), b - _place(y))
-    return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed)
+    apart = x_sign ^ y_sign if isinstance(x_sign, np.ndarray) else x_sign.bitwiseXOR(y_sign)
+    alike = ones(apart) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed) & alike
 
 
 def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame:
     """One shuffle of the postings by token: candidate pairs, and the postings of crowded tokens.
 
     Rows are (a, b) with a < b for lines that met at a token of up to ``crowded`` postings, and
-    (a = id, token, meta) for each posting of a larger one. Tokens stream past in order, so a task
+    (a = id, token, meta, sign) for each posting of a larger one. Tokens stream past in order, so a task
     holds no more than a batch of them, and a crowd passes through without being gathered.
     """
 
-    def pairs_of(ids: np.ndarray, meta: np.ndarray, first: np.ndarray, size: np.ndarray):
+    def pairs_of(ids: np.ndarray, meta: np.ndarray, sign: np.ndarray, first: np.ndarray, size: np.ndarray):
         for n in np.unique(size):
             if n < 2:
                 continue
@@ -205,55 +215,56 @@ def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame
             i, j = np.triu_indices(int(n), 1)
             for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
                 x, y = (some + i).ravel(), (some + j).ravel()
-                on = _fits(meta[x], meta[y], similarity) & (ids[x] != ids[y])
+                on = _fits(meta[x], meta[y], sign[x].view(np.uint64), sign[y].view(np.uint64), similarity) & (ids[x] != ids[y])
                 yield np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
 
-    def rows(a, b=None, token=None, meta=None) -> pa.RecordBatch:
+    def rows(a, b=None, *crowd) -> pa.RecordBatch:
+        columns = [a, b, *(crowd or (None, None, None))]
         none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [none if c is None else pa.array(c) for c in (a, b, token, meta)], names=["a", "b", "token", "meta"]
-        )
+        return pa.RecordBatch.from_arrays([none if c is None else pa.array(c) for c in columns], names=names)
 
-    def settle(token, ids, meta, crowd):
+    def settle(token, ids, meta, sign, crowd):
         """Output of whole tokens; ``crowd`` is a token already known to be crowded."""
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         big = (size > crowded) | (token[first] == crowd if crowd is not None else False)
         many = np.repeat(big, size)
         if many.any():
-            yield rows(ids[many], token=token[many], meta=meta[many])
-        found = list(pairs_of(ids, meta, first[~big], size[~big]))
+            yield rows(ids[many], None, token[many], meta[many], sign[many])
+        found = list(pairs_of(ids, meta, sign, first[~big], size[~big]))
         if found:
             both = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
             yield rows(both[:, 0], both[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd = [np.zeros(0, np.int64)] * 3, None
+        held, crowd = [np.zeros(0, np.int64)] * 4, None
         for batch in batches:
-            token, ids, meta = (
+            token, ids, meta, sign = (
                 np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)
             )
             if not len(token):
                 continue
             last = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
             if len(token) - last > crowded or token[-1] == crowd:
-                yield from settle(token, ids, meta, crowd)
-                crowd, held = token[-1], [np.zeros(0, np.int64)] * 3
+                yield from settle(token, ids, meta, sign, crowd)
+                crowd, held = token[-1], [np.zeros(0, np.int64)] * 4
             else:
                 if last:
-                    yield from settle(token[:last], ids[:last], meta[:last], crowd)
-                held = [token[last:], ids[last:], meta[last:]]
+                    yield from settle(token[:last], ids[:last], meta[:last], sign[:last], crowd)
+                held = [token[last:], ids[last:], meta[last:], sign[last:]]
         if len(held[0]):
             yield from settle(*held, crowd)
 
+    names = ["a", "b", "token", "meta", "sign"]
     ordered = postings.repartition("token").sortWithinPartitions("token")
-    return ordered.mapInArrow(run, "a bigint, b bigint, token bigint, meta bigint")
+    return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _pairs(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of postings (id, token, meta) that meet at a token."""
+    """Distinct candidate pairs (a, b), a < b, of postings (id, token, meta, sign) that meet at a token."""
     met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.id") != F.col("y.id"))
-    met = met.where(_fits(F.col("x.meta"), F.col("y.meta"), similarity, F.least, F.ceil))
+    columns = [F.col(c) for c in ("x.meta", "y.meta", "x.sign", "y.sign")]
+    met = met.where(_fits(*columns, similarity, F.least, F.ceil, F.bit_count))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -316,7 +327,7 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     2. Words are ordered by a frequency that is counted over all documents in counters of a fixed
        number; any fixed order gives the same matches, a rarest-first one gives few candidates.
     3. Two lines that match share a word among the rarest of each: the postings of these prefixes
-       are joined by word, under the length and positional filters. A word in many prefixes first
+       are joined by word, under filters on length, position and the parity of token classes. A word in many prefixes first
        compares all its lines with its earliest one; those that match it are decided, and only
        the rest is compared with all. So a crowd of near copies costs its size and not its square.
     4. Candidates are verified on their whole sets.
@@ -327,9 +338,9 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     lines = survey.where("doc is not null").select("doc", F.posexplode("ids").alias("line", "id")).where("id is not null")
     firsts = pin(lines.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first")), "lines")
     met = pin(_meetings(_postings(docs, rarity, similarity), similarity, CROWDED), "meetings")
-    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta").distinct()
-    seen = crowd.join(firsts, "id").groupBy("token").agg(F.min(F.struct("first", "id", "meta")).alias("e"))
-    earliest = seen.select("token", "e.id", "e.meta")
+    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign").distinct()
+    seen = crowd.join(firsts, "id").groupBy("token").agg(F.min(F.struct("first", "id", "meta", "sign")).alias("e"))
+    earliest = seen.select("token", "e.id", "e.meta", "e.sign")
     light = met.where("token is null").select("a", "b")
     pairs = pin(light.union(_pairs(crowd, earliest, similarity)).distinct(), "pairs")
     gone = pin(_verified(docs, pairs, firsts, similarity), "matches")
