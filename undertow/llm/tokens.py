@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +12,28 @@ from pyspark.sql import DataFrame
 from .bpe import ship
 from .common import map_texts
 
-#: Entries and characters of an entry of a worker's memory of chunks.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Entries of each of the two generations of a worker's memory of chunks, and characters of an entry.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
-_WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,])")
+_WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,]?)")
 _LOADED: dict[str, Chunks] = {}
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is printable."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Chunks:
     """Encodes texts chunk by chunk.
 
     For a tokenizer whose normaliser works on characters and whose pre-tokenizer matches never
     hold white space, a text has the ids of its chunks between spaces and line ends, one after
-    another: neither end of a chunk can compose, or match, across a space. A chunk that is Latin letters
-    and one stop is in turn its word and its stop. Each new chunk is encoded by the library once.
+    another: neither end of a chunk can compose, or match, across a space. Each new chunk is
+    encoded by the library once. A chunk of Latin letters is one match, so the library's model is
+    asked directly, and one stop behind it is a match of its own.
     """
 
     def __init__(self, file: str, packing: str) -> None:
@@ -32,27 +41,40 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # a text has no control tokens, only characters
-        self.packing = packing
+        self.model = self.tokenizer.model
+        self.packing, self.code = packing, {"<u2": "H", "<u4": "I"}[packing]
+        self.characters = _byte_characters()
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.stops = {stop: self._word(stop) if stop else b"" for stop in ("", ".", ",")}
+
+    def _word(self, word: str) -> bytes:
+        spelled = word.lower().encode().decode("latin-1").translate(self.characters)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if len(self.memory) > REMEMBERED:  # what was asked for since the last time is kept once more
+            self.memory, self.older = {}, self.memory
+        memory, older = self.memory, self.older
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = [c for c in set().union(*cut) if c not in memory]
-        halves = {c: m.groups() for c in fresh if (m := _WORD_AND_STOP.fullmatch(c))}
-        ask = {c for c in fresh if c not in halves} | {h for pair in halves.values() for h in pair}
-        ask = [c for c in ask if c not in memory]
-        for c, found in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False)):
+        others = []
+        for c in set().union(*cut):
+            if c in memory:
+                continue
+            known = older.get(c)
+            if known is not None:
+                memory[c] = known
+            elif match := _WORD_AND_STOP.fullmatch(c):
+                word, stop = match.groups()
+                memory[c] = self._word(word) + self.stops[stop]
+            else:
+                others.append(c)
+        for c, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             memory[c] = np.array(found.ids, self.packing).tobytes()
-        for c, (word, stop) in halves.items():
-            memory[c] = memory[word] + memory[stop]
         out = [b"".join([memory[c] for c in chunks]) for chunks in cut]
-        for c in ask:
-            if len(c) > REMEMBERED_CHARS:
-                memory.pop(c, None)
+        for c in [c for c in memory.keys() & set(others) if len(c) > REMEMBERED_CHARS]:
+            del memory[c]
         return out
 
 
