@@ -97,11 +97,20 @@ def ln_shape(w):
     ).drop("fields")
 
 
-@query("fn_key_layer", """
-    select urn, asset, case when kind in ('dashboard', 'chart') then 'bi'
-           else split_part(asset, '.', 1) end as layer from {x_shaped}""")
+# Every third dataset lies one level deeper, below the scope of another estate.
+_NESTED = "if(kind = 'dataset' and length(asset) % 3 = 0, replace(urn, ',warehouse.', ',operations.warehouse.'), urn)"
+
+
+@query("fn_key_layer", f"""
+    select {_NESTED} as urn, asset, case when kind in ('dashboard', 'chart') then 'bi'
+           else split_part(asset, '.', 1) end as layer from {{x_shaped}}""")
 def fn_key_layer(w):
-    return lineage.shape_records(w["cat_records"]).select("urn", "asset", "layer")
+    shaped = lineage.shape_records(w["cat_records"])
+    deeper = (F.col("kind") == "dataset") & (F.length("asset") % 3 == 0)
+    nested = F.replace("urn", F.lit(",warehouse."), F.lit(",operations.warehouse."))
+    moved = shaped.select("urn", F.when(deeper, nested).otherwise(F.col("urn")).alias("to"))
+    records = w["cat_records"].join(moved, "urn").select(F.col("to").alias("urn"), "body")
+    return lineage.shape_records(records, "operations.warehouse.").select("urn", "asset", "layer")
 
 
 @query("ag_fold", """

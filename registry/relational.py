@@ -101,12 +101,26 @@ def fil_is_false(w):
 
 
 @query("fil_scope", """
-    select urn from {cat_keys}
+    select urn, false as with_instance from {cat_keys}
+    where case when urn like '%:li:dataset:(%'
+               then split_part(urn, ',', 2) like 'warehouse.core.%' and length(asset) % 3 <> 0
+               else urn like 'urn:li:chart:%' end
+    union all
+    select urn, true from {cat_keys}
     where case when urn like '%:li:dataset:(%' then split_part(urn, ',', 2) like 'warehouse.core.%'
                else urn like 'urn:li:chart:%' end""")
 def fil_scope(w):
-    inside = scopes.accepts(c("urn"), "warehouse.core.", "warehouse", ("urn:li:chart:",))
-    return w["cat_keys"].where(inside).select("urn")
+    """Every third dataset names the instance ``warehouse``: refused unless that is declared."""
+    instance = F.regexp_replace(
+        "urn", r"urn:li:dataPlatform:(\w+)", r"urn:li:dataPlatformInstance:(urn:li:dataPlatform:$1,warehouse)"
+    )
+    named = F.when((F.length("asset") % 3 == 0) & c("urn").contains(":dataset:"), instance).otherwise(c("urn"))
+    keys = w["cat_keys"].withColumn("named", named)
+    plain = scopes.accepts(c("named"), "warehouse.core.", None, ("urn:li:chart:",))
+    inside = scopes.accepts(c("named"), "warehouse.core.", "warehouse", ("urn:li:chart:",))
+    return keys.where(plain).select("urn", F.lit(False).alias("with_instance")).unionByName(
+        keys.where(inside).select("urn", F.lit(True).alias("with_instance"))
+    )
 
 
 # ------------------------------------------------------------------ joins

@@ -89,7 +89,9 @@ def test_properties_and_gate(spark):
     changed = spark.createDataFrame([("a",), ("lost",)], "asset string")
     verdicts = {r["asset"]: r["verdict"] for r in knockout.gate(ranked, changed, 10.0).collect()}
     assert verdicts == {"a": "fail", "lost": "unknown"}
-    assert knockout.history_row(ranked).first()["top"] == ["a"]
+    row = knockout.history_row(ranked, "fleet", "fp", "now").first()
+    assert (row["target"], row["fingerprint"], row["scored_at"]) == ("fleet", "fp", "now")
+    assert [t["origin"] for t in row["top"]] == ["a"] and row["top"][0]["score"] > 0
 
 
 def test_confidence_by_hand(spark):

@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from undertow.sources import generate
 from undertow.sources.contracts import check_contract, contract, ContractError
 from undertow.plans import Warehouse
 from undertow.streaming import events
@@ -62,36 +61,3 @@ def test_facility_days_end_as_the_batch_does(spark, w, feed, tmp_path):
     got = events.current(spark.read.parquet(f"{tmp_path}/out"), ["facility_id", "condition_date"])
     want = w["o_int_facility_conditions"]
     assert got.select(*want.columns).exceptAll(want).isEmpty() and got.count() == want.count()
-
-
-def test_generated_tables_meet_their_contracts_and_repeat(spark):
-    placed = generate.orders(spark, 3000, 400, 50)
-    paid = generate.payments(placed)
-    check_contract(placed, contract("raw_orders"))
-    check_contract(paid, contract("raw_payments"))
-    again = generate.orders(spark, 3000, 400, 50).repartition(3)
-    assert placed.exceptAll(again).isEmpty()
-    assert paid.select("payment_id").distinct().count() == paid.count()
-    # Each second attempt follows a declined first one.
-    second = paid.where("payment_id % 2 = 1").select((F.col("payment_id") - 1).alias("payment_id"))
-    first = paid.where("status = 'declined'")
-    assert not second.isEmpty() and second.join(first, "payment_id", "left_anti").isEmpty()
-    assert placed.select("customer_id").distinct().count() < 400
-    share = placed.agg(F.avg(F.dayofweek("order_ts").isin(1, 7).cast("double"))).first()[0]
-    assert share < 2 / 7
-    rates = generate.fx_rates(spark, 100)
-    assert rates.count() == 300 and rates.where("rate <= 0").isEmpty()
-
-
-def test_generated_operations_feed_the_models(spark):
-    made = generate.operations(spark)
-    sizes = {role: df.count() for role, df in made.items()}
-    assert sum(sizes.values()) == 12 + 5 + 900 + 732 + 360 + 5400 + 2700
-    w = Warehouse(spark, "unused", made)
-    assert w["o_mart_delivery_sla"].count() == 900
-
-
-def test_contract_names_what_is_wrong(spark):
-    with pytest.raises(ContractError, match="order_id is string, not bigint.*channel is absent"):
-        bad = spark.createDataFrame([], contract("raw_orders")).drop("channel")
-        check_contract(bad.withColumn("order_id", F.col("order_id").cast("string")), contract("raw_orders"))

@@ -59,26 +59,43 @@ def fingerprint(frames: dict[str, DataFrame]) -> DataFrame:
     return lines.agg(F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
 
 
-def _cell(value: Column) -> Column:
-    """A coarse, order-preserving bucket: about one part in five hundred of the value's size."""
-    v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * 500)
+def with_cells(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``counted`` (one row per group and value ``_v``) with ``_cell``, a place in 256 slices of the group.
+
+    The slices are cut where the group's own distinct values are dense, by quantiles from a sketch
+    of bounded size. They only spread the work: any order-preserving cells give exact percentiles.
+    """
+    cuts = [i / 256 for i in range(1, 256)]
+    values = F.col("_v").cast("double")
+    sketch = counted.groupBy(*keys).agg(F.percentile_approx(values, cuts, 20_000).alias("_cuts"))
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(names[k])) for k in keys])
+    both = counted.join(sketch.withColumnsRenamed(names), on)
+
+    def below(cuts: Column) -> Column:
+        return F.size(F.filter(cuts, lambda c: c < values))
+
+    # First among every sixteenth cut, then among the fifteen between two of these.
+    coarse = below(F.filter("_cuts", lambda c, i: i % 16 == 15))
+    both = both.withColumn("_coarse", coarse)
+    fine = below(F.slice("_cuts", F.col("_coarse") * 16 + 1, F.lit(15)))
+    return both.withColumn("_cell", F.col("_coarse") * 16 + fine).drop("_cuts", "_coarse", *names.values())
 
 
 def percentile_cont(df: DataFrame, keys: list[str], value: str, p: float, alias: str) -> DataFrame:
     """Exact interpolated percentile per key group, one row per group that has a value.
 
     The built-in exact percentile keeps a group's distinct values in one task's memory. Here
-    equal values are counted first, the counts are totalled per coarse cell (a bounded number
-    of cells whatever the group's size), and only the one or two cells that contain the wanted
+    equal values are counted first, the counts are totalled per cell (at most 256, cut by the
+    group's own quantiles), and only the one or two cells that contain the wanted
     ranks are looked into. A group holding most of the rows costs no task more than its share.
     """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_cell", _cell(F.col("_v")))
     )
+    counted = with_cells(counted, keys)
     group = Window.partitionBy(*keys)
     cells = (
         counted.groupBy(*keys, "_cell")

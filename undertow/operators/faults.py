@@ -25,7 +25,7 @@ def drop_column(df: DataFrame, column: str) -> DataFrame:
 
 
 def change_column_type(df: DataFrame, column: str) -> DataFrame:
-    """The column as text, the type a feed falls back to when it loses its schema."""
+    """``df`` with one column cast to string; a string column is refused."""
     if isinstance(df.schema[_require(df, column)].dataType, (StringType, CharType, VarcharType)):
         raise FaultNotExecutable(f"{column} is text already")
     return df.withColumn(column, F.col(column).cast("string"))

@@ -63,7 +63,7 @@ def next_refresh(cadence: Column, minute: Column) -> Column:
 
 
 def on_read(kind: Column, materialization: Column) -> Column:
-    """Whether an asset fails the moment what it reads does, holding no data of its own."""
+    """True for views and for everything that is no dataset: these are computed when read."""
     return (kind != DATASET) | F.coalesce(F.lower(materialization) == "view", F.lit(False))
 
 
@@ -316,7 +316,7 @@ def load(pages: DataFrame, orphans: DataFrame) -> DataFrame:
 
 
 def page_order(pages: DataFrame) -> DataFrame:
-    """Pages numbered within their scenario in the order the phones ring."""
+    """``page_no`` per scenario, by minutes, then severity from the top, then owner."""
     turn = [F.asc("offset_minutes"), F.desc("severity"), F.asc("owner")]
     return in_order(pages, ["scenario"], turn, "page_no")
 

@@ -135,7 +135,7 @@ def recovery(g: Graph, reach: DataFrame) -> DataFrame:
 
 
 def concentration() -> Column:
-    """Half for how few can be paged, half for how much of the wreckage has no owner."""
+    """Mean of two shares: one over the number of owners paged, and the lost assets without an owner."""
     owners = F.col("owners_paged")
     few = F.when(owners > 0, F.lit(1.0) / F.nullif(owners, F.lit(0))).otherwise(1.0)
     alone = F.col("unowned_lost") / F.nullif(radius(), F.lit(0))
@@ -200,7 +200,7 @@ def ranked(scored: DataFrame) -> DataFrame:
 
 
 def is_spof() -> Column:
-    """Something people read goes down, and at most one person can bring it back."""
+    """True where a consumer is lost and no more than one owner would be paged."""
     return (F.col("consumers_lost") > 0) & (F.col("owners_paged") <= 1)
 
 

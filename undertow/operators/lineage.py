@@ -71,10 +71,16 @@ def kind_of(urn: Column) -> Column:
     return F.split_part(urn, F.lit(":"), F.lit(3))
 
 
-def key_of(urn: Column, name: Column) -> Column:
-    """Datasets are known by their name without its database; the rest by kind and name."""
+def key_of(urn: Column, name: Column, scope: str | None = None) -> Column:
+    """Datasets are known by their path below ``scope``, the rest by kind and name.
+
+    A path outside the scope, or any path without one, loses its first component, the database.
+    """
     inside = F.regexp_extract(urn, r"\(.*?,([^,)]*)", 1)
-    return F.when(kind_of(urn) == DATASET, F.regexp_replace(inside, r"^[^.]*\.", "")).otherwise(
+    below = F.regexp_replace(inside, r"^[^.]*\.", "")
+    if scope:
+        below = F.when(inside.startswith(scope), F.substring(inside, len(scope) + 1, F.length(inside))).otherwise(below)
+    return F.when(kind_of(urn) == DATASET, below).otherwise(
         F.concat_ws(":", kind_of(urn), name)
     )
 
@@ -86,7 +92,7 @@ def layer_of(key: Column, kind: Column) -> Column:
     )
 
 
-def shape_records(records: DataFrame) -> DataFrame:
+def shape_records(records: DataFrame, scope: str | None = None) -> DataFrame:
     """One flat row per catalog record; ``records`` has ``urn`` and a JSON ``body``."""
     parsed = records.select("urn", F.from_json("body", RECORD).alias("r"))
     props = F.map_from_entries(
@@ -111,7 +117,7 @@ def shape_records(records: DataFrame) -> DataFrame:
         "team", "refresh_cadence", "sla_hours", "criticality_tier", "replicated",
         "fallback_source", "materialization",
     )}
-    key = key_of(F.col("urn"), F.col("name"))
+    key = key_of(F.col("urn"), F.col("name"), scope)
     return shaped.select(
         "urn",
         key.alias("asset"),

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import pin, pin_counting
+from ..session import checkpoint_root, pin
 
 
 def numbered(names: DataFrame, alias: str, label: str = "ids") -> DataFrame:
@@ -21,32 +23,45 @@ def earliest(
 ) -> DataFrame:
     """Least ``due`` at which each ``who`` reaches each ``node``.
 
-    ``start`` has the who columns, ``node`` and ``due``; ``moves`` has ``from_node``, ``node`` and
-    whatever ``arrival`` and ``keep`` read. Each round follows only what became earlier in the
-    round before, keeps the least per node, and stops when nothing does. Arrivals never precede
-    departures, so cycles end by themselves.
+    ``start`` has the who columns, ``node`` and ``due``, none of them null; ``moves`` has
+    ``from_node``, ``node`` and whatever ``arrival`` and ``keep`` read. Each round follows only what
+    became earlier in the round before, keeps the least per node, and stops when nothing does.
+    Arrivals never precede departures, so cycles end by themselves.
 
-    A round is one join and one hash aggregate over fixed-width columns, whose map side already
-    drops the later duplicates. Its result is written out, so the plan stays small and a lost
-    executor costs at most one round; the write also counts what moved, so asking whether to go
-    on costs no second job.
+    What is known is an append-only table in the shared folder, bucketed by who and node, with one
+    partition per round. A round shuffles its arrivals to the buckets, compares them there with
+    what is known, and appends only what became earlier: the state itself is read in place, and
+    neither moved nor written again. The append also counts what moved, so asking whether to go on
+    costs no second job; a lost executor costs at most one round.
     """
     keys = [*who, "node"]
-    due = F.col("due")
+    spark = start.sparkSession
+    name = f"spread_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def settle(found: DataFrame) -> DataFrame:
-        least = found.groupBy(*keys).agg(
-            F.min("due").alias("due"), F.min(F.when(F.col("old"), due)).alias("before")
+    def append(found: DataFrame, number: int) -> int:
+        seen = Observation()
+        rows = found.select(*keys, "due", F.lit(number).alias("round"))
+        (
+            rows.observe(seen, F.count("*").alias("n"))
+            .write.partitionBy("round")
+            .bucketBy(buckets, *keys)
+            .option("path", f"{checkpoint_root(spark)}/{name}")
+            .mode("append")
+            .saveAsTable(name)
         )
-        return least.select(*keys, "due", F.coalesce(due < F.col("before"), F.lit(True)).alias("moved"))
+        return seen.get["n"]
 
-    state, moved = pin_counting(settle(start.withColumn("old", F.lit(False))), "moved", "spread")
+    number = 0
+    moved = append(start.groupBy(*keys).agg(F.min("due").alias("due")), number)
     while moved:
-        here = state.where("moved").select(*who, F.col("node").alias("from_node"), "due")
+        state = spark.table(name)
+        here = state.where(F.col("round") == number).select(*who, F.col("node").alias("from_node"), "due")
         arrived = here.join(moves, "from_node")
         if keep is not None:
             arrived = arrived.where(keep)
-        arrived = arrived.select(*keys, arrival.alias("due"), F.lit(False).alias("old"))
-        known = state.select(*keys, "due", F.lit(True).alias("old"))
-        state, moved = pin_counting(settle(known.unionByName(arrived)), "moved", "spread")
-    return state.drop("moved")
+        arrived = arrived.select(*keys, arrival.alias("due")).groupBy(*keys).agg(F.min("due").alias("due"))
+        known = state.groupBy(*keys).agg(F.min("due").alias("before"))
+        number += 1
+        moved = append(arrived.join(known, keys, "left").where("before is null or due < before"), number)
+    return spark.table(name).groupBy(*keys).agg(F.min("due").alias("due"))

@@ -13,13 +13,18 @@ def accepts(
 ) -> Column:
     """Datasets by the prefix of their path (and instance); other kinds by a list of prefixes.
 
+    A dataset that names a platform instance belongs to that instance alone: without one declared
+    it is refused.
+
     An empty list takes every record that is not a dataset.
     """
     body = F.regexp_extract(urn, r":li:dataset:\((.*)\)$", 1)
     path = F.split_part(body, F.lit(","), F.lit(-2))
     inside = path.startswith(path_prefix) & (F.size(F.split(body, ",")) >= 3)
-    if instance is not None:
-        embedded = F.regexp_extract(body, r"^urn:li:dataPlatformInstance:\(.*,([^,)]*)\)", 1)
+    embedded = F.regexp_extract(body, r"^urn:li:dataPlatformInstance:\(.*,([^,)]*)\)", 1)
+    if instance is None:
+        inside = inside & (embedded == "")
+    else:
         inside = inside & path.startswith(f"{instance}.")
         inside = inside & ((embedded == "") | (embedded == instance))
     others = F.lit(not other_prefixes)

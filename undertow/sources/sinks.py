@@ -2,16 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import MODELS, Warehouse
 
+PARTS = ("assets", "columns", "owners", "edges", "column_edges")
+_COMMIT = "number bigint, version string"
+_READ = "fingerprint string, read_at string, source string, place string"
+
 
 def refresh(df: DataFrame, path: str) -> DataFrame:
-    """Rebuild a table whole and read it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Rebuild a table whole and read it back.
+
+    Each rebuild is a new version beside the old one, which a commit record then makes current: a
+    job that fails leaves the table as it was, and ``df`` may read the table it replaces.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    df.write.parquet(f"{path}/versions/{version}")
+    done = _commits(spark, path)
+    number = 1 + (done.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] if done is not None else 0)
+    record = spark.createDataFrame([(number, version)], _COMMIT)
+    record.coalesce(1).write.mode("append").json(f"{path}/commits")
+    return current(spark, path)
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    return _json(spark, f"{path}/commits", _COMMIT)
+
+
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException:
+        return None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a refreshed table that the last commit names."""
+    done = _commits(spark, path)
+    if done is None:
+        raise FileNotFoundError(f"no refresh of {path} has been committed")
+    version = done.agg(F.max_by("version", F.struct("number", "version"))).first()[0]
+    return spark.read.parquet(f"{path}/versions/{version}")
 
 
 def load(df: DataFrame, path: str) -> int:
@@ -35,32 +72,32 @@ def materialize(w: Warehouse, names: list[str], folder: str) -> Warehouse:
 def store_snapshot(graph, folder: str, read_at: str, source: str) -> tuple[str, bool]:
     """Store a graph under its fingerprint; say which it is and whether it was new.
 
-    The same content again only adds a line to the list of reads.
+    The parts are written once, to a place of their own, and the fingerprint is taken from there.
+    They count from the moment the list of reads names that place, so a job that fails before
+    leaves nothing behind that a second one could stumble over. The same content again only adds
+    a line to the list, which names the place it has already.
     """
+    from ..operators.lineage import Graph
+
     spark = graph.assets.sparkSession
-    found = graph.fingerprint().first()["fingerprint"]
+    place = uuid.uuid4().hex
+    for part in PARTS:
+        getattr(graph, part).write.parquet(f"{folder}/parts/{place}/{part}")
+    found = Graph(*_parts(spark, folder, place)).fingerprint().first()["fingerprint"]
     known = snapshots(spark, folder)
-    new = known is None or known.where(F.col("fingerprint") == found).isEmpty()
-    if new:
-        for part in ("assets", "columns", "owners", "edges", "column_edges"):
-            getattr(graph, part).write.parquet(f"{folder}/{part}/fingerprint={found}")
-    line = [(found, read_at, source)]
-    spark.createDataFrame(line, "fingerprint string, read_at string, source string").write.mode(
-        "append"
-    ).json(f"{folder}/reads")
-    return found, new
+    before = None if known is None else known.where(F.col("fingerprint") == found).first()
+    line = [(found, read_at, source, before["place"] if before else place)]
+    spark.createDataFrame(line, _READ).coalesce(1).write.mode("append").json(f"{folder}/reads")
+    return found, before is None
+
+
+def _parts(spark: SparkSession, folder: str, place: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{folder}/parts/{place}/{part}") for part in PARTS]
 
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame | None:
     """The reads stored under a folder, or none."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("fingerprint string, read_at string, source string").json(
-            f"{folder}/reads"
-        )
-    except AnalysisException:
-        return None
+    return _json(spark, f"{folder}/reads", _READ)
 
 
 def latest_fingerprint(reads: DataFrame) -> DataFrame:
@@ -76,8 +113,5 @@ def load_snapshot(spark: SparkSession, folder: str, fingerprint: str):
     """A stored graph by its fingerprint."""
     from ..operators.lineage import Graph
 
-    parts = [
-        spark.read.parquet(f"{folder}/{part}/fingerprint={fingerprint}")
-        for part in ("assets", "columns", "owners", "edges", "column_edges")
-    ]
-    return Graph(*parts)
+    place = snapshots(spark, folder).where(F.col("fingerprint") == fingerprint).first()["place"]
+    return Graph(*_parts(spark, folder, place))
