@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars
-from undertow.functions.summaries import contents, fingerprint, percentile_cont
+from undertow.functions.summaries import contents, fingerprint, percentile_cont, with_cells
 
 
 def one(spark, column):
