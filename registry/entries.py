@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import graph, models, relational, whatif  # noqa: F401
+from . import edges, graph, models, relational, whatif  # noqa: F401
 from .core import ENTRIES, oracle_sql, spark_query
 
 

@@ -377,11 +377,6 @@ def ko_score(w):
     return ranked(w).select("origin", "score", "rank")
 
 
-@query("wn_rank", "select origin, rank from {x_ranked}")
-def wn_rank(w):
-    return ranked(w).select("origin", "rank")
-
-
 @query("ko_spof", """
     select origin, owners_paged as bus_factor, consumers_lost > 0 and owners_paged <= 1 as is_spof
     from {x_knockouts}""")

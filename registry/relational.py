@@ -57,18 +57,6 @@ def prj_compute(w):
     )
 
 
-@query("prj_flags", """
-    select event_id, dwell_ms >= 30000 as is_engaged_view from {ev_product_views}""")
-def prj_flags(w):
-    return w["stg_product_views"].select("event_id", "is_engaged_view")
-
-
-@query("prj_null_flags", """
-    select event_id, exception_code is not null as is_exception from {ops_scan_events}""")
-def prj_null_flags(w):
-    return w["o_stg_scan_events"].select("event_id", "is_exception")
-
-
 @query("fil_soft_delete", """
     select customer_id, deleted_at from {raw_customers} where deleted_at is null""")
 def fil_soft_delete(w):
@@ -183,11 +171,6 @@ def jn_using(w):
     return w["ops_scan_events"].select("event_id", "shipment_id").join(routes, "shipment_id")
 
 
-@query("jn_many_many", "select event_id, work_order_id from {o_mart_exception_queue}")
-def jn_many_many(w):
-    return w["o_mart_exception_queue"].select("event_id", "work_order_id")
-
-
 @query("jn_preagg", """
     select payment_id, ifnull(sum(r.amount), 0) as amount, count(r.refund_id) as refunds
     from {raw_payments} as p left join {raw_refunds} as r using (payment_id) group by all""")
@@ -465,12 +448,6 @@ def so_topk(w):
     ).limit(200)
 
 
-@query("se_union_all", """
-    select rate_date, quote_currency, rate from {stg_fx_rates}""")
-def se_union_all(w):
-    return w["stg_fx_rates"].select("rate_date", "quote_currency", "rate")
-
-
 @query("se_dedup", """
     select asset, case substr(asset, 1, 1) when 'b' then 'b,a' else 'b,a,' || substr(asset, 1, 1) end
            as once from {lin_assets}""")
@@ -496,11 +473,6 @@ def fn_default_blank(w):
     return w["ev_page_views"].select("event_id", fn.blank_to(c("utm_source"), "direct").alias("utm_source"))
 
 
-@query("fn_case_when", "select shipment_id, sla_state from {o_mart_delivery_sla}")
-def fn_case_when(w):
-    return w["o_mart_delivery_sla"].select("shipment_id", "sla_state")
-
-
 @query("fn_greatest", """
     select shipment_id, greatest(transit_days - 4, 0) as days_late from {stg_shipments}""")
 def fn_greatest(w):
@@ -514,13 +486,6 @@ def fn_epoch_ms(w):
     return w["ev_auth_events"].select("event_id", F.timestamp_millis("event_ts_ms").alias("event_ts"))
 
 
-@query("fn_duration", """
-    select session_id, (ended_ts_ms - started_ts_ms) / 1000 as duration_seconds
-    from {ev_app_sessions}""")
-def fn_duration(w):
-    return w["stg_app_sessions"].select("session_id", "duration_seconds")
-
-
 @query("fn_elapsed", """
     select work_order_id, epoch(closed_at - opened_at) / 3600 as elapsed_hours
     from {ops_work_orders}""")
@@ -540,11 +505,6 @@ def fn_age_days(w):
     )
 
 
-@query("fn_open_hours", "select work_order_id, open_hours from {o_stg_work_orders}")
-def fn_open_hours(w):
-    return w["o_stg_work_orders"].select("work_order_id", "open_hours")
-
-
 @query("fn_day", """
     select order_id, order_ts::date as day, date_trunc('month', order_ts)::date as month
     from {raw_orders}""")
@@ -797,17 +757,21 @@ def hi_missed(w):
                 and generated_at::date = t::date) as same_day,
                (select arg_max(path, struct_pack(g := generated_at, p := path))
                 from {led_captures} as k where k.target = r.target
-                and generated_at::date < t::date) as earlier
+                and generated_at::date < t::date) as earlier,
+               if(length(r.target) % 2 = 0, 'example of ' || r.target, null) as standing
         from r)
-    select line_no, target, if(va is not null, named, coalesce(same_day, earlier)) as evidence,
+    select line_no, target,
+           if(va is not null, named, coalesce(same_day, earlier, standing)) as evidence,
            case when va is not null then if(named is null, 'named capture is missing', 'named')
                 when same_day is not null then 'same day' when earlier is not null then 'earlier'
+                when standing is not null then 'standing example'
                 else 'none' end as how
     from p""")
 def hi_evidence(w):
-    return history.evidence(w["led_reads"], w["led_captures"].withColumn(
-        "generated_at", c("generated_at").cast("timestamp")
-    ))
+    captures = w["led_captures"].withColumn("generated_at", c("generated_at").cast("timestamp"))
+    targets = w["led_reads"].select("target").distinct().where(F.length("target") % 2 == 0)
+    standing = targets.withColumn("example", F.concat(F.lit("example of "), "target"))
+    return history.evidence(w["led_reads"], captures, standing)
 
 
 @query("hi_freshness", """

@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 
 from undertow.plans import Warehouse
-from undertow.sources.contracts import contract
+from undertow.sources.contracts import ContractError, contract
+from undertow.sources.tables import scan
 
 
 def day(n):
@@ -72,3 +73,14 @@ def test_a_day_with_payments_only_is_kept(shop):
 def test_the_identity_rate_exists_once_per_day(shop, rows):
     dollars = shop["stg_fx_rates"].where("quote_currency = 'USD'")
     assert [float(r["rate"]) for r in dollars.collect()] == [1.0]
+
+
+def test_a_file_without_a_declared_column_is_refused(w, tmp_path):
+    orders = w.spark.read.parquet(f"{w.root}/orders.parquet")
+    orders.drop("o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    with pytest.raises(ContractError, match="o_totalprice is absent"):
+        scan(w.spark, str(tmp_path), "orders")
+    wrong = orders.withColumn("o_totalprice", orders.o_totalprice.cast("string"))
+    wrong.write.parquet(f"{tmp_path}/mistyped/orders.parquet")
+    with pytest.raises(ContractError, match="o_totalprice is string"):
+        scan(w.spark, f"{tmp_path}/mistyped", "orders")

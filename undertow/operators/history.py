@@ -43,12 +43,13 @@ def missed_per_target(rows: DataFrame) -> DataFrame:
     )
 
 
-def evidence(reads: DataFrame, captures: DataFrame) -> DataFrame:
+def evidence(reads: DataFrame, captures: DataFrame, standing: DataFrame | None = None) -> DataFrame:
     """The capture that belongs to each run.
 
     A capture the record names is the answer, or there is none. Otherwise it is the target's
     newest one that is not later than the run: of the same day if there is one, or of an earlier
-    day. Runs and captures are put in one order and each run takes the newest capture so far,
+    day; and where there is neither, the standing example of the target (``standing``: target,
+    example), if it has one. Runs and captures are put in one order and each run takes the newest capture so far,
     so a target's runs never meet its captures pair by pair.
     """
     stamp = instant(F.col("read_at"))
@@ -81,16 +82,23 @@ def evidence(reads: DataFrame, captures: DataFrame) -> DataFrame:
     whole = reads.join(named, ["target", "verification_artifact"], "left").join(
         newest, "line_no", "left"
     )
+    if standing is None:
+        whole = whole.withColumn("example", F.lit(None).cast("string"))
+    else:
+        whole = whole.join(standing.select("target", "example"), "target", "left")
     is_named = F.col("verification_artifact").isNotNull()
     same_day = F.to_date("best.generated_at") == F.to_date(stamp)
     return whole.select(
         "line_no",
         "target",
-        F.when(is_named, F.col("named_path")).otherwise(F.col("best.path")).alias("evidence"),
+        F.when(is_named, F.col("named_path"))
+        .otherwise(F.coalesce("best.path", "example"))
+        .alias("evidence"),
         F.when(is_named & F.col("named_path").isNull(), "named capture is missing")
         .when(is_named, "named")
         .when(same_day, "same day")
         .when(F.col("best").isNotNull(), "earlier")
+        .when(F.col("example").isNotNull(), "standing example")
         .otherwise("none")
         .alias("how"),
     )

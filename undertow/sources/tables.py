@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from .contracts import check_contract
+
 # Column types of the landed tables, as written by their producer.
 LANDED = {
     "region": "r_regionkey int, r_name string",
@@ -29,5 +31,11 @@ def landed_schema(name: str) -> StructType:
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read one landed table with its declared schema, so no file is opened to infer it."""
-    return spark.read.schema(landed_schema(name)).parquet(f"{root}/{name}.parquet")
+    """Read one landed table; a column that is absent or of another type than declared stops the read.
+
+    The schema is that of the files (one footer is read), held against the declared one. Columns
+    that are not declared are left out.
+    """
+    declared = landed_schema(name)
+    found = spark.read.parquet(f"{root}/{name}.parquet")
+    return check_contract(found, declared).select(declared.names)
