@@ -44,10 +44,11 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("crowded", [64, 2])
-def test_agrees_with_all_pairs(spark, docs, monkeypatch, crowded):
+@pytest.mark.parametrize("limit, crowded", [(4096, 8), (4096, 0), (3, 8)])
+def test_agrees_with_all_pairs(spark, docs, monkeypatch, limit, crowded):
+    monkeypatch.setattr(lines, "LIMIT", limit)
     monkeypatch.setattr(lines, "CROWDED", crowded)
-    texts = corpus(crowded) + [None, "", "\n\n", "...", "A\na\nB", "The.", "é ü", "É ü", "w1 " * 5000 + "\n" + "w1 w2"]
+    texts = corpus(limit + crowded) + [None, "", "\n\n", "...", "A\na\nB", "The.", "é ü", "É ü", "w1 " * 5000 + "\n" + "w1 w2"]
     ids = [*range(len(texts) - 1), None]
     got = lines.dedup(docs(texts, ids))
     want = brute(list(zip(ids, texts)))

@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import pin
-from .common import portions, run_starts
+from .common import portions, ranges, run_starts
 
 SIMILARITY = 0.8
-#: Tokens in more prefixes than this are compared through their earliest lines first.
-CROWDED = 64
+#: A token in more than LIMIT prefixes, or with more than CROWDED candidate pairs per prefix, compares its
+#: lines with its earliest one first.
+LIMIT, CROWDED = 4096, 8
 #: Counters of token frequencies, and tokens in the memory of a worker.
 COUNTERS, REMEMBERED = 1 << 18, 1_000_000
 _PARTS = 16
@@ -199,24 +200,43 @@ def _fits(x, y, x_sign, y_sign, similarity: float, least=np.minimum, ceil=np.cei
     return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed) & alike
 
 
-def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame:
+def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int) -> DataFrame:
     """One shuffle of the postings by token: candidate pairs, and the postings of crowded tokens.
 
-    Rows are (a, b) with a < b for lines that met at a token of up to ``crowded`` postings, and
-    (a = id, token, meta, sign) for each posting of a larger one. Tokens stream past in order, so a task
-    holds no more than a batch of them, and a crowd passes through without being gathered.
+    Rows are (a, b) with a < b for lines that met at a token and fit each other, and (a = id, token,
+    meta, sign) for each posting of a crowded token: one with over ``limit`` postings, or with more
+    than ``crowded`` fitting pairs per posting. Tokens stream past in order, each with its lines by
+    size, so a line is only tried with lines of fitting size; a task holds ``limit`` postings and a
+    batch, and what it puts out is bounded by a multiple of what it reads.
     """
 
-    def pairs_of(ids: np.ndarray, meta: np.ndarray, sign: np.ndarray, first: np.ndarray, size: np.ndarray):
+    def fitting(ids: np.ndarray, meta: np.ndarray, sign: np.ndarray, x: np.ndarray, y: np.ndarray):
+        on = _fits(meta[x], meta[y], sign[x].view(np.uint64), sign[y].view(np.uint64), similarity) & (ids[x] != ids[y])
+        return np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
+
+    def small(ids, meta, sign, first, size):
+        """Pairs of tokens with few postings, all tokens with the same number of them at once."""
         for n in np.unique(size):
-            if n < 2:
-                continue
             at = first[size == n][:, None]
             i, j = np.triu_indices(int(n), 1)
-            for some in np.array_split(at, max(1, len(at) * len(i) // 1_000_000)):
-                x, y = (some + i).ravel(), (some + j).ravel()
-                on = _fits(meta[x], meta[y], sign[x].view(np.uint64), sign[y].view(np.uint64), similarity) & (ids[x] != ids[y])
-                yield np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
+            for some in np.array_split(at, len(at) * len(i) // 1_000_000 + 1) if n > 1 else ():
+                yield fitting(ids, meta, sign, (some + i).ravel(), (some + j).ravel())
+
+    def large(ids, meta, sign):
+        """Pairs of one token; None if they are too many."""
+        size = _size(meta)
+        end = np.searchsorted(size, size / similarity + 1e-6, "right")
+        width, here = end - np.arange(len(ids)) - 1, np.arange(len(ids))
+        cuts = np.unique(np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + 1_000_000, 1_000_000)))
+        found, n = [], 0
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
+            if a < b:
+                x = np.repeat(here[a:b], width[a:b])
+                found.append(fitting(ids, meta, sign, x, ranges(here[a:b] + 1, width[a:b])))
+                n += len(found[-1][0])
+                if n > crowded * len(ids):
+                    return None
+        return found
 
     def rows(a, b=None, *crowd) -> pa.RecordBatch:
         columns = [a, b, *(crowd or (None, None, None))]
@@ -227,11 +247,17 @@ def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame
         """Output of whole tokens; ``crowd`` is a token already known to be crowded."""
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
-        big = (size > crowded) | (token[first] == crowd if crowd is not None else False)
-        many = np.repeat(big, size)
-        if many.any():
-            yield rows(ids[many], None, token[many], meta[many], sign[many])
-        found = list(pairs_of(ids, meta, sign, first[~big], size[~big]))
+        few = size <= min(16, limit)
+        if crowd is not None:
+            few &= token[first] != crowd
+        found = list(small(ids, meta, sign, first[few], size[few]))
+        for at, n in zip(first[~few], size[~few]):
+            part = slice(at, at + n)
+            pairs = None if n > limit or token[at] == crowd else large(ids[part], meta[part], sign[part])
+            if pairs is None:
+                yield rows(ids[part], None, token[part], meta[part], sign[part])
+            else:
+                found += pairs
         if found:
             both = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
             yield rows(both[:, 0], both[:, 1])
@@ -245,7 +271,7 @@ def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame
             if not len(token):
                 continue
             last = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
-            if len(token) - last > crowded or token[-1] == crowd:
+            if len(token) - last > limit or token[-1] == crowd:
                 yield from settle(token, ids, meta, sign, crowd)
                 crowd, held = token[-1], [np.zeros(0, np.int64)] * 4
             else:
@@ -256,7 +282,7 @@ def _meetings(postings: DataFrame, similarity: float, crowded: int) -> DataFrame
             yield from settle(*held, crowd)
 
     names = ["a", "b", "token", "meta", "sign"]
-    ordered = postings.repartition("token").sortWithinPartitions("token")
+    ordered = postings.repartition("token").sortWithinPartitions("token", "meta")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
@@ -337,7 +363,7 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     rarity = _rarity(survey)
     lines = survey.where("doc is not null").select("doc", F.posexplode("ids").alias("line", "id")).where("id is not null")
     firsts = pin(lines.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first")), "lines")
-    met = pin(_meetings(_postings(docs, rarity, similarity), similarity, CROWDED), "meetings")
+    met = pin(_meetings(_postings(docs, rarity, similarity), similarity, LIMIT, CROWDED), "meetings")
     crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign").distinct()
     seen = crowd.join(firsts, "id").groupBy("token").agg(F.min(F.struct("first", "id", "meta", "sign")).alias("e"))
     earliest = seen.select("token", "e.id", "e.meta", "e.sign")
