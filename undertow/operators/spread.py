@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root, pin
+from ..session import pin
 
 
 def numbered(names: DataFrame, alias: str, label: str = "ids") -> DataFrame:
@@ -28,40 +28,29 @@ def earliest(
     became earlier in the round before, keeps the least per node, and stops when nothing does.
     Arrivals never precede departures, so cycles end by themselves.
 
-    What is known is an append-only table in the shared folder, bucketed by who and node, with one
-    partition per round. A round shuffles its arrivals to the buckets, compares them there with
-    what is known, and appends only what became earlier: the state itself is read in place, and
-    neither moved nor written again. The append also counts what moved, so asking whether to go on
-    costs no second job; a lost executor costs at most one round.
+    A round writes only what became earlier; what is known is the rounds so far, read together.
+    Arrivals are reduced to their least per node first and then dropped where something known is
+    as early (an anti-join, which needs no reduced state), so nothing that is settled is written
+    again. The write also counts what moved, so asking whether to go on costs no second job; a
+    lost executor costs at most one round.
     """
     keys = [*who, "node"]
-    spark = start.sparkSession
-    name = f"spread_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def append(found: DataFrame, number: int) -> int:
+    def settle(found: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        rows = found.select(*keys, "due", F.lit(number).alias("round"))
-        (
-            rows.observe(seen, F.count("*").alias("n"))
-            .write.partitionBy("round")
-            .bucketBy(buckets, *keys)
-            .option("path", f"{checkpoint_root(spark)}/{name}")
-            .mode("append")
-            .saveAsTable(name)
-        )
-        return seen.get["n"]
+        pinned = pin(found.observe(seen, F.count("*").alias("n")), "spread")
+        return pinned, seen.get["n"]
 
-    number = 0
-    moved = append(start.groupBy(*keys).agg(F.min("due").alias("due")), number)
-    while moved:
-        state = spark.table(name)
-        here = state.where(F.col("round") == number).select(*who, F.col("node").alias("from_node"), "due")
+    moved, n = settle(start.groupBy(*keys).agg(F.min("due").alias("due")))
+    known = moved
+    while n:
+        here = moved.select(*who, F.col("node").alias("from_node"), "due")
         arrived = here.join(moves, "from_node")
         if keep is not None:
             arrived = arrived.where(keep)
         arrived = arrived.select(*keys, arrival.alias("due")).groupBy(*keys).agg(F.min("due").alias("due"))
-        known = state.groupBy(*keys).agg(F.min("due").alias("before"))
-        number += 1
-        moved = append(arrived.join(known, keys, "left").where("before is null or due < before"), number)
-    return spark.table(name).groupBy(*keys).agg(F.min("due").alias("due"))
+        before = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("due").alias("_due"))
+        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+        moved, n = settle(arrived.join(before, same & (F.col("_due") <= F.col("due")), "left_anti"))
+        known = known.union(moved)
+    return known.groupBy(*keys).agg(F.min("due").alias("due"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -21,7 +22,13 @@ _SETTINGS = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every job here relies on; sizing stays with the cluster."""
+    """Apply the runtime settings every job here relies on; sizing stays with the cluster.
+
+    Python workers look for this package where the driver has it, if they are told no other place;
+    a cluster whose machines have it elsewhere gets it as a file of the job.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", here)
     for name, value in _SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
