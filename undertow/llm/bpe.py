@@ -12,7 +12,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import map_texts, ranges, run_starts
+from .common import hold, map_texts, ranges, run_starts
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: Pieces up to this many bytes are merged in matrices; longer ones one by one with a heap.
@@ -241,6 +241,7 @@ def ship(spark, path: str) -> str:
 
 def shared(name: str, pattern: str) -> Ranks:
     """The vocabulary of a shipped file, loaded once per worker process."""
+    hold(_LOADED.clear)
     if (name, pattern) not in _LOADED:
         with open(SparkFiles.get(name), "rb") as file:
             _LOADED[name, pattern] = load(file.read(), pattern)

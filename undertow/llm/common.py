@@ -16,6 +16,20 @@ PORTION_BYTES = 4 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
+_HOLDER: list[Callable[[], None]] = []
+
+
+def hold(forget: Callable[[], None]) -> None:
+    """Say that a worker process now remembers things that ``forget`` drops.
+
+    A worker is used again by the tasks of later jobs; it holds the memory of one operator at a time.
+    """
+    if forget not in _HOLDER:
+        for other in _HOLDER:
+            other()
+        _HOLDER[:] = [forget]
+
+
 def read(spark, root: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, with the given columns only."""
     df = spark.read.parquet(f"{root}/{name}.parquet")

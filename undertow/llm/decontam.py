@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .common import map_texts
+from .common import hold, map_texts
 
 # Words are runs of digits, letters a-z and bytes above 0x7F, after lower-casing A-Z.
 _WORD_BYTES = bytes(
@@ -119,15 +119,22 @@ _FIELDS = "n_words bigint, spans array<struct<first: bigint, end: bigint>>, item
 _TABLES: dict = {}
 
 
+def _tables(mark: str, shared) -> list[Search]:
+    """The tables of a pass, built once per worker process."""
+    hold(_TABLES.clear)
+    if mark not in _TABLES:
+        _TABLES.clear()
+        _TABLES[mark] = searches(*shared.value)
+    return _TABLES[mark]
+
+
 def _pass(documents: DataFrame, key: str, group: list[tuple[str, bytes]], window: int) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast((group, window))
     mark = uuid.uuid4().hex
 
     def search(texts):
-        if mark not in _TABLES:  # once per worker process
-            _TABLES.clear()
-            _TABLES[mark] = searches(*shared.value)
-        rows = [scan(t, _TABLES[mark]) for t in texts]
+        tables = _tables(mark, shared)
+        rows = [scan(t, tables) for t in texts]
         return [
             pa.array([n for n, _, _ in rows], pa.int64()),
             pa.array([[{"first": a, "end": b} for a, b in spans] for _, spans, _ in rows], _SPAN),

@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ship
-from .common import id_class, map_texts, run_starts
+from .common import hold, id_class, map_texts, run_starts
 
 UNKNOWN = "und"
 #: Training texts per language (an expected number, picked by a hash of the id) and words per language.
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 20_000
 ROUNDS = 3
 #: Bytes of a word scored at a time, and words in the memory of a worker.
-PART_BYTES, REMEMBERED = 255, 500_000
+PART_BYTES, REMEMBERED = 255, 250_000
 _SMOOTHING = 0.01
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -250,6 +250,20 @@ class Memory(dict):
 _SCORED: dict[str, tuple[Memory, np.ndarray]] = {}
 
 
+# Functions of the module see the module of the worker process, which lasts from task to task; what a
+# function handed to Spark names itself is a copy for one task.
+def _remembered(mark: str, languages: int) -> tuple[Memory, np.ndarray]:
+    """Words scored so far by this worker under a model, and their scores."""
+    hold(_SCORED.clear)
+    memory, scores = _SCORED.get(mark) or (Memory(), np.zeros((0, languages)))
+    return (memory, scores) if len(memory) <= REMEMBERED else (Memory(), np.zeros((0, languages)))
+
+
+def _remember(mark: str, memory: Memory, scores: np.ndarray) -> None:
+    _SCORED.clear()
+    _SCORED[mark] = memory, scores
+
+
 def predict(documents: DataFrame, model: Model, path: str, key: str = "doc_id") -> DataFrame:
     """``key``, lang_pred and score of every whole text.
 
@@ -265,17 +279,14 @@ def predict(documents: DataFrame, model: Model, path: str, key: str = "doc_id")
     def run(texts):
         model, pieces = shared.value, _shared(name)
         languages = len(model.languages)
-        memory, scores = _SCORED.get(mark) or (Memory(), np.zeros((0, languages)))
-        if len(memory) > REMEMBERED:
-            memory, scores = Memory(), np.zeros((0, languages))
+        memory, scores = _remembered(mark, languages)
         found = [words(t) for t in texts]
         counts = np.array([len(f) for f in found], np.int64)
         rows = np.fromiter((memory[w] for f in found for w in f), np.int64, int(counts.sum()))
         if memory.new and languages:
             scores = np.concatenate([scores, model.word_scores(pieces, memory.new)])
         memory.new = []
-        _SCORED.clear()
-        _SCORED[mark] = memory, scores
+        _remember(mark, memory, scores)
         best, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if languages:
             full = np.flatnonzero(counts)

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import pin
-from .common import portions, ranges, run_starts
+from .common import hold, portions, ranges, run_starts
 
 SIMILARITY = 0.8
 #: A token in more than LIMIT prefixes, or with more than CROWDED candidate pairs per prefix, compares its
 #: lines with its earliest one first.
 LIMIT, CROWDED = 4096, 8
 #: Counters of token frequencies, and tokens in the memory of a worker.
-COUNTERS, REMEMBERED = 1 << 18, 1_000_000
+COUNTERS, REMEMBERED = 1 << 18, 400_000
 _PARTS = 16
 _NEEDED_BITS = 1 << 23
 # Words are runs of digits, letters a-z and bytes above 0x7F, after lower-casing A-Z; lines stay apart.
@@ -42,6 +42,7 @@ _HASHES = Hashes()
 
 
 def token_hashes(found: list[bytes]) -> np.ndarray:
+    hold(_HASHES.clear)
     if len(_HASHES) > REMEMBERED:
         _HASHES.clear()
     return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))

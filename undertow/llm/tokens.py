@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import ship
-from .common import map_texts
+from .common import hold, map_texts
 
 #: Entries of each of the two generations of a worker's memory of chunks, and characters of an entry.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
 _WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,]?)")
-_LOADED: dict[str, Chunks] = {}
+_LOADED: dict[tuple[str, str], Chunks] = {}
 
 
 def _byte_characters() -> dict[int, str]:
@@ -78,6 +78,16 @@ class Chunks:
         return out
 
 
+def _chunks(name: str, packing: str) -> Chunks:
+    """The encoder of a shipped file, with the memory of this worker process (see ``langid``)."""
+    from pyspark import SparkFiles
+
+    hold(_LOADED.clear)
+    if (name, packing) not in _LOADED:
+        _LOADED[name, packing] = Chunks(SparkFiles.get(name), packing)
+    return _LOADED[name, packing]
+
+
 def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", packing: str = "<u4") -> DataFrame:
     """``key`` and ids (packed) of every whole text, with ``end_id`` appended to each.
 
@@ -88,11 +98,7 @@ def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", pa
     end = np.array([end_id], packing).tobytes()
 
     def run(texts):
-        if name not in _LOADED:
-            from pyspark import SparkFiles
-
-            _LOADED[name] = Chunks(SparkFiles.get(name), packing)
-        packed = _LOADED[name].encode([(t or b"").decode() for t in texts])
+        packed = _chunks(name, packing).encode([(t or b"").decode() for t in texts])
         return [pa.array([p + end for p in packed], pa.binary())]
 
     return map_texts(documents, key, "ids binary", run)

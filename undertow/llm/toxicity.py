@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import pin
-from .common import id_class, map_texts, run_starts
+from .common import hold, id_class, map_texts, run_starts
 
 #: Labelled documents learnt from (an expected number, picked by a hash of the id), and lexicon entries.
 SAMPLE_DOCS, LEXICON = 20_000, 4_000
@@ -136,6 +136,19 @@ def _features(texts: list[str], tokens: Tokens, table: np.ndarray) -> tuple[np.n
 _WORKER: dict = {}
 
 
+def _remembered(mark: int, lexicon: dict[str, float]) -> tuple[Tokens, np.ndarray]:
+    """Tokens this worker process has looked at under a lexicon, and their features (see ``langid``)."""
+    hold(_WORKER.clear)
+    if mark not in _WORKER or len(_WORKER[mark][0]) > REMEMBERED:
+        _remember(mark, Tokens(lexicon), np.zeros((0, Tokens.WIDTH), np.float32))
+    return _WORKER[mark]
+
+
+def _remember(mark: int, tokens: Tokens, table: np.ndarray) -> None:
+    _WORKER.clear()
+    _WORKER[mark] = tokens, table
+
+
 def features(documents: DataFrame, lexicon: dict[str, float], key: str = "doc_id") -> DataFrame:
     """``key`` and the dense features of every whole text; null and empty texts have zeros."""
     spark = documents.sparkSession
@@ -143,12 +156,9 @@ def features(documents: DataFrame, lexicon: dict[str, float], key: str = "doc_id
     mark = hash(tuple(sorted(lexicon.items())))
 
     def run(texts):
-        if mark not in _WORKER or len(_WORKER[mark][0]) > REMEMBERED:
-            _WORKER.clear()
-            _WORKER[mark] = Tokens(shared.value), np.zeros((0, Tokens.WIDTH), np.float32)
-        tokens, table = _WORKER[mark]
+        tokens, table = _remembered(mark, shared.value)
         dense, table = _features([(t or b"").decode() for t in texts], tokens, table)
-        _WORKER[mark] = tokens, table
+        _remember(mark, tokens, table)
         return [pa.array(np.ascontiguousarray(c)) for c in dense.T]
 
     return map_texts(documents, key, ", ".join(f"{f} double" for f in FEATURES), run)
