@@ -21,8 +21,8 @@ _HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """Each row as one column, beside its text."""
-    return docs.select(F.struct("*").alias("row"), "text")
+    """Each row as one column, with its text inside."""
+    return docs.select(F.struct("*").alias("row"))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

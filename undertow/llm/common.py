@@ -52,19 +52,26 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 def map_texts(
-    df: DataFrame, key: str, fields: str, fn: Callable[[list[bytes | None]], list], text: str = "text"
+    df: DataFrame, key: str, fields: str, fn: Callable[[list[bytes | None]], list]
 ) -> DataFrame:
     """``key`` with the columns ``fields`` (DDL) that ``fn`` derives from a batch of texts.
 
     The work is per row: no shuffle, and a lost task is simply run again. ``key`` passes through
-    untouched, so it may be of any type and null.
+    untouched, so it may be of any type and null; where it is a struct with a field ``text``, the
+    texts are taken from there and not sent along once more.
     """
-    picked = df.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    kind = df.schema[key].dataType
+    inside = isinstance(kind, StructType) and "text" in kind.names
+    texts = [] if inside else [F.col("text").cast("string").alias("_text")]
+    picked = df.select(F.col(key).alias("_key"), *texts)
     added = StructType.fromDDL(fields)
     schema = StructType([*picked.select(F.col("_key").alias(key)).schema.fields, *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if inside:
+                keys = batch.column(0)
+                batch = pa.RecordBatch.from_arrays([keys, keys.field("text")], names=["_key", "_text"])
             for keys, texts in portions(batch):
                 columns = fn(texts)
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]

@@ -162,7 +162,7 @@ def hits(
     if further is None:
         return _pass(documents, key, group, window)
     row = F.struct(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
-    rows = _pass(documents.select(row.alias("row"), "text"), "row", group, window)
+    rows = _pass(documents.select(row.alias("row")), "row", group, window)
     while further is not None:
         held = pin(rows.select(F.struct("*").alias("before"), F.col("row.text").alias("text")), "decontam")
         rows = _pass(held, "before", further, window).select(
