@@ -165,14 +165,10 @@ def count_ids(tokens: DataFrame, packing: str = "<u4") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                if packed:
-                    found = np.bincount(np.frombuffer(packed, packing))
-                    if len(found) > len(total):
-                        found[: len(total)] += total
-                        total = found
-                    else:
-                        total[: len(found)] += found
+            packed = b"".join([p for p in batch.column(0).to_pylist() if p])
+            found = np.bincount(np.frombuffer(packed, packing), minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["symbol", "count"])
 
