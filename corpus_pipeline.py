@@ -7,6 +7,8 @@ texts and empty tables need no care here; what each operator makes of them its o
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,17 @@ LEAST_SCORE = 0.5
 _HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
+def _stage(fn):
+    """A stage under the session settings every job here relies on."""
+    return functools.wraps(fn)(lambda spark, docs, sf_dir: fn(prepare(spark), docs, sf_dir))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """Each row as one column, with its text inside."""
     return docs.select(F.struct("*").alias("row"))
 
 
+@_stage
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: texts that are null, without a letter or undecided go."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -33,6 +41,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
+@_stage
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier one; those left without a word go."""
     done = lines.dedup(docs)
@@ -41,6 +50,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
+@_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least doc_id in each group of near-duplicates; a null id comes last."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
@@ -51,12 +61,14 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.select(docs.columns)
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     found = decontam.hits(_rows(docs), read(spark, sf_dir, "benchmark"), key="row")
     return found.where(F.size("items") == 0).select("row.*")
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32 bits) and the digest of the decoded text."""
     kept = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")

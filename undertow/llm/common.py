@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a task takes apart at a time.
-PORTION_BYTES = 4 << 20
+PORTION_BYTES = 1 << 20
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 

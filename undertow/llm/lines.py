@@ -20,8 +20,10 @@ SIMILARITY = 0.8
 #: lines with its earliest one first.
 LIMIT, CROWDED = 4096, 8
 #: Counters of token frequencies, and tokens in the memory of a worker.
-COUNTERS, REMEMBERED = 1 << 18, 400_000
+COUNTERS, REMEMBERED = 1 << 18, 250_000
 _PARTS = 16
+#: Pairs of postings that a task looks at at a time.
+_TRIED = 200_000
 _NEEDED_BITS = 1 << 23
 # Words are runs of digits, letters a-z and bytes above 0x7F, after lower-casing A-Z; lines stay apart.
 _WORD_BYTES = bytes(
@@ -220,7 +222,7 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
         for n in np.unique(size):
             at = first[size == n][:, None]
             i, j = np.triu_indices(int(n), 1)
-            for some in np.array_split(at, len(at) * len(i) // 1_000_000 + 1) if n > 1 else ():
+            for some in np.array_split(at, len(at) * len(i) // _TRIED + 1) if n > 1 else ():
                 yield fitting(ids, meta, sign, (some + i).ravel(), (some + j).ravel())
 
     def large(ids, meta, sign):
@@ -228,7 +230,7 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
         size = _size(meta)
         end = np.searchsorted(size, size / similarity + 1e-6, "right")
         width, here = end - np.arange(len(ids)) - 1, np.arange(len(ids))
-        cuts = np.unique(np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + 1_000_000, 1_000_000)))
+        cuts = np.unique(np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + _TRIED, _TRIED)))
         found, n = [], 0
         for a, b in zip([0, *cuts], [*cuts, len(ids)]):
             if a < b:
