@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from undertow.llm import decontam
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -40,6 +41,20 @@ def test_rows_agree_with_brute_force(spark, docs):
         assert [r["items"] for r in found.orderBy("doc_id").collect()] == [brute(t, items)[3] for t in texts]
 
 
+def test_several_passes_over_rows_with_their_text_inside(spark, docs):
+    """As the pipeline hands documents over: one column, and no text beside it."""
+    texts, items = cases()
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    given = docs(texts)
+    for limit in (decontam.PASS_BYTES, 40):
+        found = decontam.hits(corpus_pipeline._rows(given), benchmark, key="row", pass_bytes=limit)
+        assert found.columns == ["row", "n_words", "spans", "items"]
+        rows = sorted(found.collect(), key=lambda r: r["row"]["doc_id"])
+        assert [r["row"] for r in rows] == given.orderBy("doc_id").collect()
+        assert [(r["n_words"], r["items"]) for r in rows] == [(b[0], b[3]) for b in (brute(t, items) for t in texts)]
+        assert [sum(s["end"] - s["first"] for s in r["spans"]) for r in rows] == [brute(t, items)[1] for t in texts]
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [tuple(r)[1:4] for r in decontam.digest(decontam.hits(docs(["a b"]), none)).collect()] == [(2, 0, 0)]

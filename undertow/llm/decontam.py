@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import pin
 from .common import hold, map_texts
@@ -152,7 +153,8 @@ def hits(
     A word inside any occurrence of ``window`` consecutive words of a benchmark item is hit; an
     item of fewer words, but not none, is looked for whole. Every task holds the patterns of a
     pass, so their bytes are counted: a benchmark beyond ``pass_bytes`` is searched for in several
-    passes over the documents, each written before the next. Documents are never shuffled.
+    passes over the documents, each written before the next. Documents are never shuffled. Where
+    ``key`` is a struct with a field ``text``, the texts are taken from there (see :func:`map_texts`).
 
     Null or empty texts have no words; a null item_id counts as the empty string; an empty
     benchmark hits nothing; rows are kept as they are, repeated ones too.
@@ -161,7 +163,9 @@ def hits(
     group, further = next(groups), next(groups, None)
     if further is None:
         return _pass(documents, key, group, window)
-    row = F.struct(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    kind = documents.schema[key].dataType
+    inside = isinstance(kind, StructType) and "text" in kind.names
+    row = F.col(key) if inside else F.struct(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     rows = _pass(documents.select(row.alias("row")), "row", group, window)
     while further is not None:
         held = pin(rows.select(F.struct("*").alias("before"), F.col("row.text").alias("text")), "decontam")
@@ -172,7 +176,7 @@ def hits(
             F.array_sort(F.array_union("before.items", "items")).alias("items"),
         )
         further = next(groups, None)
-    return rows.select(F.col("row.key").alias(key), "n_words", "spans", "items")
+    return rows.select(F.col("row" if inside else "row.key").alias(key), "n_words", "spans", "items")
 
 
 def _merged(spans: Column) -> Column:
