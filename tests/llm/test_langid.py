@@ -78,6 +78,47 @@ def test_words():
     assert [len(w) for w in langid.words(b"a" * 600)] == [255, 255, 90]
 
 
+def test_long_runs_are_summed_whole(pieces, monkeypatch):
+    """Side by side and in stretches, or each word at once: the same sums, and the same expected uses."""
+    rng = np.random.default_rng(2)
+    log_p = np.log(rng.dirichlet(np.ones(pieces.count), 2).T)
+    log_p = np.vstack([log_p, np.full((1, 2), -np.inf)])
+    text = "".join(rng.choice(list("日本語の文章ภาษาไทยthinging"), 400)).encode()
+    found = [text[:n] for n in (5, 10, 11, 12, 30, 31, 90, 250)] + [b"kato"]
+    counts = rng.integers(1, 5, len(found)).astype(float)
+    model = langid.Model(["x", "y"], log_p)
+    scores, uses = model.word_scores(pieces, found), langid._expected(np.exp(log_p[:, 0]), pieces, found, counts)
+    for part in (10, 64):
+        monkeypatch.setattr(langid, "PART_BYTES", part)
+        assert np.allclose(model.word_scores(pieces, found), scores, rtol=1e-9)
+        p = np.exp(log_p[:, 0])
+        got = langid._expected(p, pieces, found, counts) + langid._long_expected(p, pieces, found, counts)
+        assert np.allclose(got, uses, rtol=1e-6, atol=1e-12)
+
+
+def test_prediction_of_a_long_run(spark, docs, pieces):
+    """No segmentation is left out at a border of parts, and no space put in."""
+    rng = np.random.default_rng(3)
+    first = np.log(rng.dirichlet(np.ones(pieces.count)))
+    log_p = np.vstack([np.stack([first, first + rng.normal(0, 0.05, pieces.count)], 1), np.full((1, 2), -np.inf)])
+    texts = ["日本語の文章を書いて" * 40, "ที่ภาษาไทย" * 30 + " thing", "ถ" * 86, "thing"]
+    rows = langid.predict(docs(texts), langid.Model(["x", "y"], log_p), PATH).orderBy("doc_id").collect()
+    for text, row in zip(texts, rows):
+        total = np.zeros(2)
+        for word in langid._NOT_LETTERS.sub(" ", text).encode().split():
+            [(_, size, ends)] = whole_lattice(pieces, word)
+            total += langid._forward(np.exp(log_p), size, ends, 1)[0][0]
+        top = int(total.argmax())
+        assert row["lang_pred"] == "xy"[top]
+        assert math.isclose(row["score"], 1 / np.exp(total - total[top]).sum(), rel_tol=1e-9)
+
+
+def whole_lattice(pieces, word):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(langid, "PART_BYTES", len(word))
+        return list(pieces.lattice([word]))
+
+
 def test_held_out_accuracy_and_odd_rows(spark, docs):
     random.seed(1)
     sounds = {"xx": ["ka", "to", "mi", "ru"], "yy": ["sch", "ung", "eit", "ver"], "zz": ["eau", "tion", "ment", "que"]}

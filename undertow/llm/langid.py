@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,23 +23,26 @@ SAMPLE_DOCS, SAMPLE_WORDS = 500, 20_000
 ROUNDS = 3
 #: Bytes of a word scored at a time, and words in the memory of a worker.
 PART_BYTES, REMEMBERED = 255, 250_000
+#: Pieces looked up at a time, and bytes summed over side by side, where words are longer than PART_BYTES.
+_LOOKED_UP, _SUMMED = 1 << 22, 1 << 22
 _SMOOTHING = 0.01
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _ASCII_LETTERS = bytes(i if 97 <= i <= 122 else 32 for i in range(256))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Runs of letters, lower-cased; a run of over PART_BYTES bytes comes in parts."""
+def runs(text: bytes | None) -> list[bytes]:
+    """Runs of letters, lower-cased."""
     if not text:
         return []
     if text.isascii():
-        found = text.lower().translate(_ASCII_LETTERS).split()
-    else:
-        found = _NOT_LETTERS.sub(" ", text.decode().lower()).encode().split()
-    if any(len(w) > PART_BYTES for w in found):
-        found = [w[i : i + PART_BYTES] for w in found for i in range(0, len(w), PART_BYTES)]
-    return found
+        return text.lower().translate(_ASCII_LETTERS).split()
+    return _NOT_LETTERS.sub(" ", text.decode().lower()).encode().split()
+
+
+def words(text: bytes | None) -> list[bytes]:
+    """:func:`runs`, those of over PART_BYTES bytes in parts. Scores are of whole runs."""
+    return [w[i : i + PART_BYTES] for w in runs(text) for i in range(0, len(w), PART_BYTES)]
 
 
 class Pieces:
@@ -89,10 +93,12 @@ class Pieces:
 
     def lattice(self, found: list[bytes]):
         """Per bucket of equal length: (places of its words, length, ends) with ends[i][k - 1] the
-        piece of k bytes that ends before byte i of each word, its leading space included."""
+        piece of k bytes that ends before byte i of each word, its leading space included. Words of
+        over PART_BYTES bytes are left to :meth:`long`."""
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(found):
-            by_length.setdefault(len(w), []).append(i)
+            if len(w) <= PART_BYTES:
+                by_length.setdefault(len(w), []).append(i)
         for size, all_places in by_length.items():
             for at in range(0, len(all_places), 4096):
                 places = all_places[at : at + 4096]
@@ -109,6 +115,33 @@ class Pieces:
                         ends[i].append(ids[i - k])
                 yield places, size + 1, ends
 
+    def long(self, found: list[bytes]) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Words of over PART_BYTES bytes in groups to be looked at side by side, the longest first:
+        (places of the words, their lengths with the leading space)."""
+        places = sorted((i for i, w in enumerate(found) if len(w) > PART_BYTES), key=lambda i: -len(found[i]))
+        while places:
+            n = max(1, min(_LOOKED_UP // (PART_BYTES * self.longest), _SUMMED // len(found[places[0]])))
+            yield places[:n], np.array([len(found[i]) + 1 for i in places[:n]])
+            places = places[n:]
+
+    def stretch(self, group: list[bytes], first: int) -> np.ndarray:
+        """ids[i][k - 1] for bytes ``first`` to ``first`` + PART_BYTES of words: the piece of k bytes that
+        ends with byte ``first`` + i of each. Before and behind a word lie zero bytes."""
+        reach = self.longest
+        size, at = reach + PART_BYTES, first - reach - 1  # where the stretch and what it reaches back to begin in a word
+        parts = [w[max(0, at) : at + size] if at >= 0 else b"\0" * (-1 - at) + b" " + w[: at + size] for w in group]
+        joined = b"".join([p.ljust(size, b"\0") for p in parts])
+        grid = np.frombuffer(joined, np.uint8).reshape(len(group), size).T.astype(np.uint64) + np.uint64(1)
+        rolling = np.zeros((size + 1, len(group)), np.uint64)
+        for j in range(size):
+            rolling[j + 1] = rolling[j] * _BASE + grid[j]
+        power, ids = np.uint64(1), np.empty((PART_BYTES, reach, len(group)), np.int32)
+        for k in range(1, reach + 1):
+            power = np.uint64(int(power) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)
+            ends = slice(reach + 1 - k, size + 1 - k)
+            ids[:, k - 1] = self.find(rolling[reach + 1 :] - rolling[ends] * power)
+        return ids
+
 
 @dataclass
 class Model:
@@ -122,6 +155,10 @@ class Model:
         for places, size, ends in pieces.lattice(found):
             alpha, _ = _forward(p, size, ends, len(places))
             out[places] = alpha
+        for places, lengths in pieces.long(found):
+            for first, sums in _long_forward(p, pieces, [found[i] for i in places], lengths):
+                for j in np.flatnonzero((lengths > first) & (lengths <= first + len(sums))):
+                    out[places[j]] = sums[lengths[j] - first - 1, j]
         return out
 
 
@@ -143,6 +180,61 @@ def _forward(p: np.ndarray, size: int, ends, n: int, keep: bool = False):
     return np.log(sums[size]) + scale, (sums, scales)
 
 
+def _long_forward(p: np.ndarray, pieces: Pieces, group: list[bytes], lengths: np.ndarray):
+    """(first, logs of the forward sums at the ends of the PART_BYTES bytes from there) of words in order of
+    falling length, one stretch after another: the sums that the next one reaches back to are carried over."""
+    reach, n = pieces.longest, len(group)
+    sums = np.zeros((reach + PART_BYTES, n, p.shape[1]))
+    sums[reach - 1] = 1
+    scale = np.zeros((n, p.shape[1]))
+    for first in range(0, int(lengths[0]), PART_BYTES):
+        n = int((lengths > first).sum())
+        ids, sums, scale = pieces.stretch(group[:n], first), sums[:, :n], scale[:n]
+        logs = np.empty((PART_BYTES, n, p.shape[1]))
+        for i in range(PART_BYTES):
+            at = reach + i
+            sums[at] = np.einsum("kng,kng->ng", sums[at - reach : at][::-1], p[ids[i]])
+            logs[i] = np.log(sums[at]) + scale
+            if i % 8 == 7 or i == PART_BYTES - 1:  # as in _forward; earlier sums may be far greater than this one
+                up = sums[at] * 1e150
+                sums[at - reach : at + 1] /= up
+                scale = scale + np.log(up)
+        yield first, logs
+        sums = np.concatenate([sums[-reach:], np.zeros_like(sums[reach:])])
+
+
+def _long_expected(p: np.ndarray, pieces: Pieces, found: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """As :func:`_expected`, for the words of over PART_BYTES bytes.
+
+    From the end of a word backwards, the chance that a segmentation has a border behind a byte is
+    shared out to the pieces that end there, each to the border before it.
+    """
+    total, reach = np.zeros(pieces.count + 1), pieces.longest
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    for places, lengths in pieces.long(found):
+        group, end = [found[i] for i in places], -(-int(lengths[0]) // PART_BYTES) * PART_BYTES
+        logs = np.full((reach + end, len(group)), -np.inf)  # forward sums; reach - 1 is the place before all bytes
+        logs[reach - 1] = 0
+        for first, sums in _long_forward(p[:, None], pieces, group, lengths):
+            logs[reach + first : reach + first + PART_BYTES, : sums.shape[1]] = sums[:, :, 0]
+        border = np.zeros_like(logs)
+        border[reach + lengths - 1, np.arange(len(group))] = 1
+        for first in range(end - PART_BYTES, -1, -PART_BYTES):
+            n = int((lengths > first).sum())
+            ids = pieces.stretch(group[:n], first)
+            uses = np.zeros(ids.shape)
+            for i in range(min(PART_BYTES, int(lengths[0]) - first) - 1, -1, -1):
+                at = reach + first + i
+                before = slice(at - reach, at)
+                share = np.exp((logs[before, :n] - logs[at, :n])[::-1] + log_p[ids[i]])
+                uses[i] = share * border[at, :n]
+                border[before, :n] += uses[i][::-1]
+            total += np.bincount(np.where(ids < 0, pieces.count, ids).ravel(), (uses * counts[places][:n]).ravel(), len(total))
+    total[-1] = 0
+    return total
+
+
 def _expected(p: np.ndarray, pieces: Pieces, found: list[bytes], counts: np.ndarray) -> np.ndarray:
     """Expected uses of every piece over all segmentations of the counted words, for one language."""
     total = np.zeros(pieces.count + 1)
@@ -176,7 +268,7 @@ def _estimate(pieces: Pieces, found: list[bytes], counts: np.ndarray, rounds: in
     p = np.full(pieces.count + 1, 1 / pieces.count)
     p[-1] = 0
     for _ in range(rounds):
-        uses = _expected(p, pieces, found, counts) + _SMOOTHING
+        uses = _expected(p, pieces, found, counts) + _long_expected(p, pieces, found, counts) + _SMOOTHING
         p = uses / uses[:-1].sum()
         p[-1] = 0
     with np.errstate(divide="ignore"):
@@ -212,7 +304,7 @@ def train(documents: DataFrame, path: str, key: str = "doc_id", sample_docs: int
         tally = []
         for text in texts:
             seen: dict[bytes, int] = {}
-            for w in words(text):
+            for w in runs(text):
                 seen[w] = seen.get(w, 0) + 1
             tally.append([{"word": w, "n": n} for w, n in seen.items()])
         kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
@@ -280,13 +372,19 @@ def predict(documents: DataFrame, model: Model, path: str, key: str = "doc_id")
         model, pieces = shared.value, _shared(name)
         languages = len(model.languages)
         memory, scores = _remembered(mark, languages)
-        found = [words(t) for t in texts]
+        found = [runs(t) for t in texts]
         counts = np.array([len(f) for f in found], np.int64)
-        rows = np.fromiter((memory[w] for f in found for w in f), np.int64, int(counts.sum()))
+        # Words of any length would fill the memory; they are scored anew, and come last in the scores.
+        long = dict.fromkeys(w for f in found for w in f if len(w) > PART_BYTES)
+        long = {w: i - len(long) for i, w in enumerate(long)}
+        places = (long[w] if w in long else memory[w] for f in found for w in f) if long else (memory[w] for f in found for w in f)
+        rows = np.fromiter(places, np.int64, int(counts.sum()))
         if memory.new and languages:
             scores = np.concatenate([scores, model.word_scores(pieces, memory.new)])
         memory.new = []
         _remember(mark, memory, scores)
+        if long and languages:
+            scores = np.concatenate([scores, model.word_scores(pieces, list(long))])
         best, share = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if languages:
             full = np.flatnonzero(counts)
