@@ -19,7 +19,6 @@ from undertow.session import pin, prepare
 
 #: A language is believed from this posterior on.
 LEAST_SCORE = 0.5
-_HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def _stage(fn):
@@ -45,7 +44,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier one; those left without a word go."""
     done = lines.dedup(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(_HAS_WORD))
+    emptied = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(lines.HAS_WORD))
     left = done.where(~F.coalesce(emptied, F.lit(False)))
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 

@@ -64,6 +64,22 @@ def test_repeated_rows_and_no_rows(spark, docs):
     assert lines.dedup(docs([])).count() == 0
 
 
+def test_rows_without_a_key_are_documents_of_their_own(spark, docs):
+    """Of equal ones a single row keeps its lines; lines without words stay in all."""
+    texts = ["a b\n--\nc", "a b\n--\nc", "a b\n--\nc", "c\né", None, None, "", "--", "--", "b a\nx y z"]
+    ids = [None] * 9 + [1]
+    got = lines.dedup(docs(texts, ids))
+    rows = got.collect()
+    assert got.columns == [*docs([]).columns, "n_lines", "n_removed"] and len(rows) == len(texts)
+    long = sorted(r["text"] for r in rows if r["n_lines"] == 3)
+    assert long[:2] == ["--", "--"] and "a b" in long[2]
+    assert sum(r["text"].split("\n").count("c") for r in rows if r["text"]) == 1
+    assert [(r["text"], r["n_removed"]) for r in rows if r["doc_id"] == 1] == [("x y z", 1)]
+    rest = sorted((r["text"] is None, r["text"] or "", r["n_removed"]) for r in rows if not r["text"] or r["text"] == "--" and r["n_lines"] == 1)
+    assert rest == [(False, "", 0), (False, "--", 0), (False, "--", 0), (True, "", 0), (True, "", 0)]
+    assert sum(r["n_removed"] for r in rows) == 2 + 2 + 1 + 1
+
+
 def test_prefixes_meet():
     """Two sets of the same order that are similar enough share a token in their prefixes."""
     rng = np.random.default_rng(1)

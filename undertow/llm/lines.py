@@ -30,6 +30,8 @@ _WORD_BYTES = bytes(
     i + 32 if 65 <= i <= 90 else i if i == 10 or 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32
     for i in range(256)
 )
+#: Matches texts with a word in them, in the engine's regular expressions.
+HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 class Hashes(dict):
@@ -384,24 +386,47 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     return marked.groupBy("doc").agg(F.collect_set("line").alias("gone"))
 
 
+def _copies_apart(documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The documents with one row of those without a key and equal in text; and the others of these, if any row has no key.
+
+    Only rows without a key are written, with the place that tells them apart; their texts are not shuffled by value.
+    """
+    unnamed = documents.where(F.col(key).isNull())
+    if unnamed.isEmpty():
+        return documents, None
+    unnamed = pin(unnamed.withColumn("_place", F.monotonically_increasing_id()), "unnamed")
+    firsts = pin(unnamed.groupBy(F.xxhash64("text")).agg(F.min("_place").alias("_place")).select("_place"), "unnamed")
+    named = documents.where(F.col(key).isNotNull())
+    first, copies = (unnamed.join(firsts, "_place", kind).drop("_place") for kind in ("left_semi", "left_anti"))
+    return named.union(first), copies
+
+
 def dedup(documents: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``documents``, with the lines of :func:`removed_lines` taken out of ``text``, and n_lines, n_removed.
 
     A null text stays null and has no lines; an empty one has one line, without words. Rows equal
-    in key and text are one document here: what goes from one goes from each. Null keys come first
-    in the order. Lines are told apart by 64-bit hashes of their words, so one in 10**7 may be
+    in key and text are one document here: what goes from one goes from each. A null key names no
+    document, so each row without a key is one of its own: of those equal in text all but one lose
+    every line with a word. Null keys come first in the order. Lines are told apart by 64-bit hashes of their words, so one in 10**7 may be
     taken for another in a corpus of 10**12 lines.
     """
+    documents, copies = _copies_apart(documents, key)
     taken = removed_lines(documents, key, similarity).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     own = F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("mark"))
     same = own["key"].eqNullSafe(F.col("_doc.key")) & (own["mark"] == F.col("_doc.mark"))
     joined = documents.join(taken, same, "left").drop("_doc")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
-    return joined.withColumns(
+    n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
+    done = joined.withColumns(
         {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"),
+            "n_lines": n_lines,
             "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
             "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
         }
     ).drop("_gone")
+    if copies is None:
+        return done
+    wordless = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(HAS_WORD)))
+    n_removed = F.coalesce(F.size(lines) - F.size(wordless), F.lit(0)).cast("bigint")
+    return done.union(copies.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": F.array_join(wordless, "\n")}))
