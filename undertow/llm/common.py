@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import pin
+
 #: Bytes of text that a task takes apart at a time.
 PORTION_BYTES = 1 << 20
+#: Rows of a slice of an order.
+SLICE_ROWS = 2_000_000
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -109,3 +114,29 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     shift = np.repeat(starts - run_starts(lengths), lengths) if len(lengths) else np.zeros(0, np.int64)
     return np.arange(total, dtype=np.int64) + shift
+
+
+def in_slices(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows``, which are read from a table, in ``order``: range partitioned, and written with ``_slice`` and ``_at``.
+
+    ``_at`` ascends in the order, by one from row to row of a slice. Slices grow in number, not in size.
+    """
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows.count() / SLICE_ROWS))
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = pin(ranged.withColumn("_at", F.monotonically_increasing_id()), "slices")
+    return placed.withColumn("_slice", F.shiftright("_at", 33))
+
+
+def numbered(rows: DataFrame, order: list[Column], alias: str, count: Column) -> tuple[DataFrame, int]:
+    """``rows`` numbered from one in ``order``, ties in any order; and ``count`` over all of them, taken on the way.
+
+    One row per slice of the order is handed on; no task sees more than its slice.
+    """
+    seen = Observation()
+    held = pin(rows.observe(seen, count.alias("n")), "rows")
+    placed = in_slices(held, order)
+    sizes = placed.groupBy("_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_slice")) - F.col("_n")  # a row per slice
+    sizes = sizes.select("_slice", "_first", before.alias("_before"))
+    place = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return placed.join(sizes, "_slice").withColumn(alias, place).drop("_slice", "_at", "_first", "_before"), seen.get["n"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, prepare
-from . import bpe, chat, decontam, langid, lines, rans, simhash, tokens, toxicity, urls, vectors
+from . import bpe, chat, decontam, langid, lines, manifest, rans, resample, simhash, tokens, toxicity, urls, vectors
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,118 @@ FROM embeddings LEFT JOIN counts ON vec_id = counts.a LEFT JOIN least ON vec_id
 def op9_line_dedup(spark, root):
     found = lines.dedup(read(spark, root, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+# crc32 of a list of bytes: a table made by rule, and one step a byte.
+_CRC = """
+crc_bits(i, k, v) AS (
+    SELECT i, 0, i FROM (SELECT CAST(unnest(range(256)) AS UBIGINT) AS i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END
+    FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_bits WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """SQL for the unsigned crc32 of the UTF-8 bytes of ``text``; the query reads crc_table, too."""
+    digits = f"hex(encode({text}))"
+    bytes_ = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr({digits}, 2 * i + 1, 2) AS UBIGINT))"
+    step = "xor(v >> 8, tab[CAST(xor(v, b) & 255 AS BIGINT) + 1])"
+    start = "CAST(4294967295 AS UBIGINT)"
+    return f"xor(list_reduce(list_prepend({start}, {bytes_}), lambda v, b: {step}), {start})"
+
+
+@query
+def op11_resampling(spark, root):
+    documents = read(spark, root, "documents", "doc_id", "text")
+    found = resample.resample(documents, read(spark, root, "benchmark", "text"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op11_resampling"] = f"""
+WITH RECURSIVE {_CRC},
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+df AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+bf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+names AS (SELECT f, CAST({_crc('f')} % 10000 AS BIGINT) AS k FROM (SELECT f FROM df UNION SELECT f FROM bf), crc_table),
+s AS (SELECT k, count(*) AS s FROM df JOIN names USING (f) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bf JOIN names USING (f) GROUP BY k),
+totals AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM df) AS s_all, (SELECT CAST(count(*) AS DOUBLE) FROM bf) AS t_all),
+g AS (SELECT k, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+      FROM s LEFT JOIN t USING (k), totals),
+sums AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM df JOIN names USING (f) JOIN g USING (k) GROUP BY r),
+scored AS (
+    SELECT r, doc_id, len(w) >= 20 AS fit, coalesce(n, 0) AS n_features,
+        coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+        CAST(CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) AS h
+    FROM d LEFT JOIN sums USING (r)),
+drawn AS (
+    SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+    SELECT *, row_number() OVER (ORDER BY fit DESC, score DESC, doc_id NULLS LAST, n_features) AS place,
+        25 * count(*) FILTER (fit) OVER () // 100 AS least FROM drawn)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+    CASE WHEN place <= least THEN place END AS rank
+FROM ranked
+"""
+
+
+@query
+def op13_manifest(spark, root):
+    return manifest.digests(read(spark, root, "documents", *manifest.FIELDS))
+
+
+def _sql_leaf(text: str) -> str:
+    values = [f"CAST({text if c == 'text' else c} AS VARCHAR)" for c in manifest.FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+ORACLES["op13_manifest"] = f"""
+WITH RECURSIVE {_CRC},
+leaves AS (
+    SELECT doc_id, lang, {_sql_leaf('text')} AS leaf,
+        CASE WHEN {_crc("coalesce(CAST(doc_id AS VARCHAR), '')")} % 3 = 0 AND doc_id IS NOT NULL
+            THEN {_sql_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+            ELSE {_sql_leaf('text')} END AS tampered
+    FROM documents, crc_table),
+placed AS (
+    SELECT row_number() OVER () AS r, *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS pos,
+        count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes(t, lvl, pos, d, n) AS (
+    SELECT t, 0, pos, leaf, n FROM placed
+    UNION ALL
+    SELECT t, lvl + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 7) // 8)
+    FROM nodes WHERE n > 1 GROUP BY t, lvl, pos // 8),
+subroots AS (SELECT t AS pos, d, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top(lvl, pos, d, n) AS (
+    SELECT 0, pos, d, n FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), any_value((n + 7) // 8)
+    FROM top WHERE n > 1 GROUP BY lvl, pos // 8),
+siblings AS (
+    SELECT r, lvl, s.pos, d FROM placed p JOIN nodes s ON s.t = p.t AND s.n > 1
+        AND s.pos // 8 = p.pos >> (3 * lvl + 3) AND s.pos <> p.pos >> (3 * lvl)
+    UNION ALL
+    SELECT r, lvl + 1000, s.pos, d FROM placed p JOIN top s ON s.n > 1
+        AND s.pos // 8 = p.t >> (3 * lvl + 3) AND s.pos <> p.t >> (3 * lvl)),
+proofs AS (SELECT r, string_agg(d, '' ORDER BY lvl, pos) AS w FROM siblings GROUP BY r),
+inner_fold(r, t, lvl, pos, d) AS (
+    SELECT r, t, 0, pos, tampered FROM placed
+    UNION ALL
+    SELECT f.r, any_value(f.t), f.lvl + 1, f.pos // 8,
+        sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.d ELSE s.d END, '' ORDER BY s.pos))
+    FROM inner_fold f JOIN nodes s ON s.t = f.t AND s.lvl = f.lvl AND s.pos // 8 = f.pos // 8 AND s.n > 1
+    GROUP BY f.r, f.lvl, f.pos // 8),
+inner_ends AS (SELECT r, t, arg_max(d, lvl) AS d FROM inner_fold GROUP BY r, t),
+outer_fold(r, lvl, pos, d) AS (
+    SELECT r, 0, t, d FROM inner_ends
+    UNION ALL
+    SELECT f.r, f.lvl + 1, f.pos // 8, sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.d ELSE s.d END, '' ORDER BY s.pos))
+    FROM outer_fold f JOIN top s ON s.lvl = f.lvl AND s.pos // 8 = f.pos // 8 AND s.n > 1
+    GROUP BY f.r, f.lvl, f.pos // 8),
+ends AS (SELECT r, arg_max(d, lvl) AS folded_root FROM outer_fold GROUP BY r),
+whole AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, s.d AS subroot, root, sha256(coalesce(w, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots s ON s.pos = p.t JOIN ends USING (r) LEFT JOIN proofs USING (r), whole
+"""
