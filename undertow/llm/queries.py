@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root, prepare
-from . import bpe, chat, decontam, langid, lines, manifest, rans, resample, simhash, tokens, toxicity, urls, vectors
+from . import bpe, chat, decontam, extract, langid, lines, manifest, rans, resample, simhash, tokens, toxicity, urls, vectors
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,3 +332,25 @@ whole AS (SELECT d AS root FROM top WHERE n = 1)
 SELECT doc_id, leaf, s.d AS subroot, root, sha256(coalesce(w, '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM placed p JOIN subroots s ON s.pos = p.t JOIN ends USING (r) LEFT JOIN proofs USING (r), whole
 """
+
+
+@query
+def op12_html_text(spark, root):
+    return extract.extract(read(spark, root, "pages", "page_id", "url", "html"))
+
+
+# These pages mark their article, write it in headings and paragraphs with plain tags, and use four references.
+ORACLES["op12_html_text"] = r"""
+WITH parts AS (
+    SELECT row_number() OVER () AS r, page_id, url,
+        regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>') AS found
+    FROM pages),
+blocks AS (SELECT r, unnest(found) AS block, unnest(range(len(found))) AS place FROM parts),
+plain AS (
+    SELECT r, place, trim(regexp_replace(regexp_replace(replace(replace(replace(
+        replace(regexp_replace(block, '</?b>', '', 'g'), '<br>', ' '),
+        '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line
+    FROM blocks),
+texts AS (SELECT r, string_agg(line, chr(10) ORDER BY place) AS text FROM plain WHERE line <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM parts LEFT JOIN texts USING (r)
+"""
