@@ -70,7 +70,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
-def pin(df: DataFrame, label: str = "round") -> DataFrame:
+def pin(df: DataFrame, label: str = "round", compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the checkpoint folder and read it back, cutting its lineage.
 
     A written table survives the loss of any executor, is computed exactly once, and gives the
@@ -78,7 +78,7 @@ def pin(df: DataFrame, label: str = "round") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
