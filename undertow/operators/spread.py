@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import checkpoint_root, pin
 
 
 def numbered(names: DataFrame, alias: str, label: str = "ids") -> DataFrame:
@@ -18,6 +18,44 @@ def numbered(names: DataFrame, alias: str, label: str = "ids") -> DataFrame:
     return pin(names.distinct().withColumn(alias, F.monotonically_increasing_id()), label)
 
 
+class Buckets:
+    """A table in the checkpoint folder that is bucketed by a key and grows by rounds.
+
+    All rounds lie in one folder and are read by one scan. A join or an aggregate on the key finds
+    the rows where they are, so only the other side is exchanged. The catalog entry lasts as long
+    as the ``with`` block; files stay in the folder until its own cleanup.
+    """
+
+    def __init__(self, like: DataFrame, keys: list[str], label: str) -> None:
+        self.spark, self.keys = like.sparkSession, keys
+        self.name = f"{label}_{uuid.uuid4().hex}"
+        self.path = f"{checkpoint_root(self.spark)}/{self.name}"
+        self.count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.rounds = 0
+
+    def __enter__(self) -> Buckets:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def add(self, rows: DataFrame) -> int:
+        """One more round, and the number of its rows, counted by the write."""
+        seen = Observation()
+        watched = rows.withColumn("round", F.lit(self.rounds)).observe(seen, F.count("*").alias("n"))
+        writer = watched.write.format("parquet").option("path", self.path).partitionBy("round")
+        writer.bucketBy(self.count, *self.keys).mode("append").saveAsTable(self.name)
+        self.rounds += 1
+        return seen.get["n"]
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.name).drop("round")
+
+    def newest(self) -> DataFrame:
+        """The rows of the last round: a scan of its files only."""
+        return self.spark.table(self.name).where(F.col("round") == self.rounds - 1).drop("round")
+
+
 def earliest(
     start: DataFrame, moves: DataFrame, who: list[str], arrival: Column, keep: Column | None = None
 ) -> DataFrame:
@@ -28,29 +66,29 @@ def earliest(
     became earlier in the round before, keeps the least per node, and stops when nothing does.
     Arrivals never precede departures, so cycles end by themselves.
 
-    A round writes only what became earlier; what is known is the rounds so far, read together.
-    Arrivals are reduced to their least per node first and then dropped where something known is
-    as early (an anti-join, which needs no reduced state), so nothing that is settled is written
-    again. The write also counts what moved, so asking whether to go on costs no second job; a
-    lost executor costs at most one round.
+    What is known is a table bucketed by (who, node), the moves one bucketed by where they start.
+    A round exchanges its departures and its arrivals and nothing else: what is settled is read where it
+    lies, by one scan however many rounds there were, and is neither shuffled nor written again. The
+    write also counts what moved, so asking whether to go on costs no second job; a lost executor
+    costs at most one round.
     """
     keys = [*who, "node"]
+    with Buckets(moves, ["from_node"], "moves") as links, Buckets(start, keys, "spread") as known:
+        links.add(moves.repartition(links.count, "from_node"))
+        n = known.add(start.groupBy(*keys).agg(F.min("due").alias("due")))
+        while n:
+            n = known.add(_round(known, links, who, arrival, keep))
+        return pin(known.all().groupBy(*keys).agg(F.min("due").alias("due")), "spread")
 
-    def settle(found: DataFrame) -> tuple[DataFrame, int]:
-        seen = Observation()
-        pinned = pin(found.observe(seen, F.count("*").alias("n")), "spread")
-        return pinned, seen.get["n"]
-
-    moved, n = settle(start.groupBy(*keys).agg(F.min("due").alias("due")))
-    known = moved
-    while n:
-        here = moved.select(*who, F.col("node").alias("from_node"), "due")
-        arrived = here.join(moves, "from_node")
-        if keep is not None:
-            arrived = arrived.where(keep)
-        arrived = arrived.select(*keys, arrival.alias("due")).groupBy(*keys).agg(F.min("due").alias("due"))
-        before = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("due").alias("_due"))
-        same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
-        moved, n = settle(arrived.join(before, same & (F.col("_due") <= F.col("due")), "left_anti"))
-        known = known.union(moved)
-    return known.groupBy(*keys).agg(F.min("due").alias("due"))
+
+def _round(known: Buckets, links: Buckets, who: list[str], arrival: Column, keep: Column | None) -> DataFrame:
+    """What the newest of ``known`` reaches earlier than anything known does."""
+    keys = [*who, "node"]
+    here = known.newest().select(*who, F.col("node").alias("from_node"), "due")
+    arrived = here.join(links.all(), "from_node")
+    if keep is not None:
+        arrived = arrived.where(keep)
+    arrived = arrived.select(*keys, arrival.alias("due")).groupBy(*keys).agg(F.min("due").alias("due"))
+    before = known.all().withColumnRenamed("due", "_due")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    return arrived.alias("a").join(before.alias("b"), [*same, F.col("_due") <= F.col("due")], "left_anti")
