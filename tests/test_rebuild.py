@@ -138,3 +138,16 @@ def test_incidents_repeat_under_the_same_id_and_resolve_without_deletion(spark):
     other = raised.withColumn("incident", F.lit("urn:li:incident:theirs"))
     after = publishing.resolve(raised.unionByName(other), "t2").collect()
     assert sorted(r["state"] for r in after) == ["ACTIVE", "RESOLVED"]
+
+
+def test_an_incident_is_one_row_with_all_its_urns_and_its_evidence(spark):
+    observed = spark.createDataFrame([("s.1", "m.a", "unavailable", "no such table"), ("s.1", "m.b", "degraded", None)],
+                                     "scenario string, asset string, impact string, detail string")
+    urns = spark.createDataFrame([("m.a", "u2"), ("m.a", "u1"), ("m.a", "u2"), ("m.b", "u3"), ("m.b", None)], "asset string, urn string")
+    rows = {r["asset"]: r for r in publishing.incidents(observed, urns, "t1", "run 7").collect()}
+    assert len(rows) == 2 and rows["m.a"]["urns"] == ["u1", "u2"] and rows["m.b"]["urns"] == ["u3"]
+    assert rows["m.a"]["title"] == "m.a is unavailable under s.1" and rows["m.a"]["incident"].endswith("undertow_s_1_m_a")
+    assert "no such table" in rows["m.a"]["description"] and rows["m.a"]["description"].endswith("run 7")
+    assert "reported" not in rows["m.b"]["description"]
+    again = publishing.incidents(observed, urns, "t2")
+    assert {r["incident"] for r in again.collect()} == {r["incident"] for r in rows.values()}

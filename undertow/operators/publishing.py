@@ -12,8 +12,10 @@ INCIDENT_TYPE = {"unavailable": "OPERATIONAL", "degraded": "FIELD"}
 
 
 def upsert(published: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
-    """Replace every row of each key that ``fresh`` brings; other keys stay as they are."""
-    kept = published.join(fresh.select(*key).distinct(), key, "left_anti")
+    """Replace every row of each key that ``fresh`` brings; other keys stay as they are. A null is a key like any other."""
+    brought = fresh.select(*key).distinct().alias("f")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"f.{k}")) for k in key]
+    kept = published.alias("p").join(brought, same, "left_anti")
     return kept.unionByName(fresh.select(*published.columns))
 
 
@@ -48,22 +50,34 @@ def incident_id(scenario: Column, asset: Column) -> Column:
     )
 
 
-def incidents(observed: DataFrame, urns: DataFrame, raised_at: str) -> DataFrame:
-    """An active incident per affected asset that the catalog knows, one row for each of its urns.
+def incidents(observed: DataFrame, urns: DataFrame, raised_at: str, provenance: str = "") -> DataFrame:
+    """One active incident per affected asset that the catalog knows, attached to all its urns.
 
-    The id depends on the scenario and the asset only, so a second run replaces the first.
+    ``urns`` lists them in order and ``urn`` is the first. The id depends on the scenario and the asset only, so a second
+    run replaces the first. ``observed`` may carry ``detail``, what the execution said, which goes into the description.
     """
-    known = urns.select("asset", "urn").distinct()
+    known = urns.where(F.col("urn").isNotNull()).groupBy("asset").agg(F.array_sort(F.collect_set("urn")).alias("urns"))
     kinds = F.create_map(*[F.lit(x) for pair in INCIDENT_TYPE.items() for x in pair])
+    detail = F.col("detail") if "detail" in observed.columns else F.lit(None).cast("string")
+    said = F.coalesce(F.concat(F.lit(" It reported: "), detail), F.lit(""))
+    title = F.concat_ws(" ", "asset", F.lit("is"), "impact", F.lit("under"), "scenario")
+    story = F.concat(
+        F.lit("The fault of scenario "), "scenario", F.lit(" was carried out on a shadow copy, and "), "asset",
+        F.lit(" was seen to be "), "impact", F.lit(" after the rebuild."), said,
+        F.lit(f" Run: {provenance}" if provenance else ""),
+    )
     return (
         observed.where(F.col("impact").isNotNull())
         .join(known, "asset")
         .select(
             incident_id(F.col("scenario"), F.col("asset")).alias("incident"),
             "asset",
-            "urn",
+            F.element_at("urns", 1).alias("urn"),
+            "urns",
             "impact",
             F.coalesce(F.try_element_at(kinds, "impact"), F.lit("OPERATIONAL")).alias("type"),
+            title.alias("title"),
+            story.alias("description"),
             F.lit("ACTIVE").alias("state"),
             F.lit(raised_at).alias("updated_at"),
         )
