@@ -174,3 +174,39 @@ def test_model_path_and_append_once(spark, rows):
     assert rows(quality.model_path(features, models)) == [("ft", "m", "prod", "f2")]
     runs = spark.createDataFrame([("r1", "one"), ("r1", "two"), ("r1", "two")], "run_id string, target string")
     assert rows(quality.appended_once(runs, "r1")) == [("one", 1, True), ("two", 2, False)]
+
+
+def test_a_ledger_says_file_and_line_of_what_is_bad(spark, tmp_path):
+    """Several files, read in small blocks: numbers are those an editor shows, blank lines included."""
+    folder, want = tmp_path / "ledger", []
+    for part, n in (("a", 400), ("b", 1), ("c", 0), ("d", 250)):
+        (folder / f"target={part}").mkdir(parents=True)
+        lines = ["" if i % 7 == 3 else '{"n": ' if i % 11 == 5 else '{"n": %d, "pad": "%s"}' % (i, "é" * (i % 60)) for i in range(1, n + 1)]
+        (folder / f"target={part}" / "lines.json").write_text("\n".join(lines) + ("\n" if n % 2 else ""))
+        want += [(part, i, t) for i, t in enumerate(lines, 1) if t]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        back = ledgers.read_ledger(spark, str(folder), "n bigint, later string").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["target"], r["line_no"]) for r in back) == [(p, i) for p, i, _ in want]
+    bad = {(r["target"], r["line_no"]) for r in back if r["_corrupt"] is not None}
+    assert bad == {(p, i) for p, i, t in want if t == '{"n": '} and len(bad) > 50
+    assert all(r["n"] == r["line_no"] for r in back if r["_corrupt"] is None)
+    assert all(f"target={r['target']}/lines.json" in r["file"] for r in back)
+
+
+def test_the_trend_reads_what_a_scoring_run_writes(spark):
+    from undertow.operators import knockout
+
+    scored = spark.createDataFrame([("a.x", 61.5, 10.0), ("a.y", 3.25, 0.0)], "origin string, score double, cost double")
+    row = knockout.history_row(scored, "fleet", "fp", "now").withColumn("line_no", F.lit(1))
+    found = history.trend(row).first()
+    kept = history.trend(row.withColumn("top", F.to_json("top"))).first()
+    assert tuple(found) == tuple(kept) == ("fleet", 1, "now", 32.375, "a.x", 61.5)
+    older = [("t", 1, '["a.z","a.x"]'), ("t", 2, "[]"), ("t", 3, None), ("t", 4, "nonsense"), ("t", 5, '[{"score": 2.0}]')]
+    rows = spark.createDataFrame([(*r, "now", 1.0) for r in older], "target string, line_no int, top string, scored_at string, mean_score double")
+    assert [(r["most_fragile"], r["score"]) for r in history.trend(rows).orderBy("line_no").collect()] == [
+        ("a.z", None), ("—", None), ("—", None), ("—", None), ("—", 2.0)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.ordered import previous, running_max
 from ..functions.scalars import instant
@@ -137,10 +138,21 @@ def invalid_attempts(attempts: DataFrame) -> DataFrame:
 
 
 def trend(scores: DataFrame) -> DataFrame:
-    """A line per scoring run with its most fragile asset; a dash where there is none."""
-    top = F.try_element_at(F.from_json("top", "array<string>"), F.lit(1))
+    """A line per scoring run with its most fragile asset and that asset's score; a dash where there is none.
+
+    ``top`` holds the records of a scoring run (origin, score, cost), most fragile first, as an array
+    or as the JSON a ledger keeps of it. Names alone, without scores, are taken as they are.
+    """
+    if isinstance(scores.schema["top"].dataType, ArrayType):
+        first = F.try_element_at("top", F.lit(1))
+        name, score = first["origin"], first["score"].cast("double")
+    else:
+        first = F.try_element_at(F.from_json("top", "array<struct<origin string, score double>>"), F.lit(1))
+        alone = F.try_element_at(F.from_json("top", "array<string>"), F.lit(1))
+        name = F.coalesce(first["origin"], F.when(~F.coalesce(alone, F.lit("")).startswith("{"), alone))
+        score = first["score"]
     return scores.select(
-        "target", "line_no", "scored_at", "mean_score", F.coalesce(top, F.lit("—")).alias("most_fragile")
+        "target", "line_no", "scored_at", "mean_score", F.coalesce(name, F.lit("—")).alias("most_fragile"), score.alias("score")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.summaries import contents
@@ -31,48 +31,50 @@ def failures(df: DataFrame, check: Check) -> DataFrame:
     """The number of failures of one check, as one row."""
     if check.kind == "unique":
         return duplicates(df, check.column).agg(F.count("*").alias("failures"))
-    if check.kind == "not_null":
-        return df.agg(F.count_if(F.col(check.column).isNull()).alias("failures"))
-    return df.agg(F.count_if(~F.col(check.column).isin(*check.values)).alias("failures"))
+    return df.agg(_failing(check).alias("failures"))
+
+
+def _failing(check: Check) -> Column:
+    """How many rows fail a check that looks at one row at a time."""
+    value = F.col(check.column)
+    return F.count_if(value.isNull() if check.kind == "not_null" else ~value.isin(*check.values))
 
 
 def report(tables: dict[str, DataFrame], models: list[Model], kind: str) -> DataFrame:
-    """One row per check of ``kind`` declared on ``models``.
+    """One row per check of ``kind`` declared on ``models``; other models are not looked at.
 
-    All not-null and accepted-value checks of a table share one pass over it; each unique
-    check is one aggregate on its own key.
+    Row checks of a model share one pass over it. Unique checks of all models share one exchange:
+    every value becomes a row of its check and its text, which tells values of one column
+    apart, and is counted where it was read before it moves. Only the columns
+    checked are read, so what the models compute besides falls away.
     """
+    tested = [(m, [c for c in m.checks if c.kind == kind]) for m in models]
+    tested = [(m, checks) for m, checks in tested if checks]
+    if kind == "unique":
+        return _unique(tables, tested)
     parts = []
-    for m in models:
-        df, checks = tables[m.name], [c for c in m.checks if c.kind == kind]
-        if not checks:
-            continue
-        if kind == "unique":
-            parts += [
-                failures(df, c).select(
-                    F.lit(m.name).alias("model"), F.lit(c.column).alias("column_name"), "failures"
-                )
-                for c in checks
-            ]
-            continue
-        counts = [
-            F.count_if(
-                F.col(c.column).isNull()
-                if kind == "not_null"
-                else ~F.col(c.column).isin(*c.values)
-            ).alias(c.column)
-            for c in checks
-        ]
-        pairs = F.array(
-            *[
-                F.struct(F.lit(c.column).alias("column_name"), F.col(c.column).alias("failures"))
-                for c in checks
-            ]
-        )
-        parts.append(df.agg(*counts).select(F.lit(m.name).alias("model"), F.inline(pairs)))
+    for m, checks in tested:
+        pairs = [F.struct(F.lit(c.column).alias("column_name"), F.col(c.column).alias("failures")) for c in checks]
+        counts = [_failing(c).alias(c.column) for c in checks]
+        parts.append(tables[m.name].agg(*counts).select(F.lit(m.name).alias("model"), F.inline(F.array(*pairs))))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _unique(tables: dict[str, DataFrame], tested: list[tuple[Model, list[Check]]]) -> DataFrame:
+    names = [(m.name, c.column) for m, checks in tested for c in checks]
+    number = {name: i for i, name in enumerate(names)}
+    parts = []
+    for m, checks in tested:
+        values = [F.struct(F.lit(number[m.name, c.column]).alias("check"), F.col(c.column).cast("string").alias("key")) for c in checks]
+        parts.append(tables[m.name].select(F.inline(F.array(*values))))
+    rows = reduce(DataFrame.union, parts).where("key is not null")
+    seen = rows.groupBy("check", "key").agg(F.count("*").alias("n")).where("n > 1")
+    found = seen.groupBy("check").agg(F.count("*").alias("failures"))
+    pairs = [F.struct(F.lit(i).alias("check"), F.lit(a).alias("model"), F.lit(b).alias("column_name")) for i, (a, b) in enumerate(names)]
+    every = rows.sparkSession.range(1).select(F.inline(F.array(*pairs)))
+    return every.join(found, "check", "left").select("model", "column_name", F.coalesce("failures", F.lit(0)).cast("bigint").alias("failures"))
+
+
 def expectation(name: str, observed: DataFrame, least: float, most: float | None = None) -> DataFrame:
     """One expectation: ``observed`` is one row with one number that must lie in the range."""
     value = F.col(observed.columns[0]).cast("double")

@@ -543,10 +543,15 @@ BINDINGS = {
         select 'capture ' || cast(line_no as string) as path,
                'target ' || cast(target_no as string) as target, at_ts as generated_at
         from {led_times} where o_orderstatus = 'F' or o_totalprice > 200000""",
+    # What scoring runs recorded as most fragile: records, in some older lines names alone, or nothing.
     "led_scores": """
         select line_no, stamp as scored_at, 'target ' || cast(target_no as string) as target,
                cast(o_totalprice as decimal(12,2)) as mean_score,
-               '["asset ' || cast(line_no % 40 as string) || '","asset x"]' as top
+               case when line_no % 7 = 0 then '[]'
+                    when line_no % 3 = 0 then '["asset ' || cast(line_no % 40 as string) || '","asset x"]'
+                    else '[' || chr(123) || '"origin":"asset ' || cast(line_no % 40 as string) || '","score":'
+                         || cast(line_no % 90 as string) || '.25,"cost":100.0' || chr(125) || ','
+                         || chr(123) || '"origin":"asset x","score":0.5,"cost":0' || chr(125) || ']' end as top
         from {led_stamps} where o_orderstatus = 'F'""",
     # The attempts as the lines of a file, some of them blank or cut short.
     "led_lines": """
