@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from undertow.operators import faults, grading, publishing, rebuild
 from undertow.operators.impact import events
 from undertow.plans import CONSUMERS, MODELS, downstream_models
+from undertow.session import checkpoint_root
+from undertow.sources.keyed import KeyedTable
 
 from .core import TABLE_SQL, on_grid, query
 from .graph import reach, timeline
@@ -249,12 +252,20 @@ def se_key_sets(w):
 
 @query("wi_incidents", """
     select 'urn:li:incident:undertow_' || replace(scenario || '_' || o.asset, '.', '_') as incident,
-           o.asset, urn, impact,
-           if(impact = 'degraded', 'FIELD', 'OPERATIONAL') as type, 'ACTIVE' as state,
-           'today' as updated_at
-    from {sim_observed} as o join (select distinct asset, urn from {cat_keys}) as k on k.asset = o.asset""")
+           o.asset, urn, urns, impact,
+           if(impact = 'degraded', 'FIELD', 'OPERATIONAL') as type,
+           o.asset || ' is ' || impact || ' under ' || scenario as title,
+           'The fault of scenario ' || scenario || ' was carried out on a shadow copy, and ' || o.asset
+           || ' was seen to be ' || impact || ' after the rebuild. It reported: ' || impact || ' in ' || scenario
+           || ' Run: nightly' as description,
+           'ACTIVE' as state, 'today' as updated_at
+    from {sim_observed} as o
+    join (select asset, min(urn) as urn, string_agg(distinct urn, ' ' order by urn) as urns
+          from {cat_keys} group by asset) as k on k.asset = o.asset""")
 def wi_incidents(w):
-    return publishing.incidents(w["sim_observed"], w["cat_keys"], "today")
+    observed = w["sim_observed"].withColumn("detail", F.concat_ws(" in ", "impact", "scenario"))
+    raised = publishing.incidents(observed, w["cat_keys"], "today", "nightly")
+    return raised.withColumn("urns", F.array_join("urns", " "))
 
 
 @query("wi_resolve", """
@@ -265,11 +276,25 @@ def wi_resolve(w):
     return publishing.resolve(w["pub_incidents"], "today")
 
 
+def _stored(w):
+    """The published values as a stored table of its own."""
+    values = w["pub_values"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in values.schema.fields)
+    stored = KeyedTable(w.spark, f"{checkpoint_root(w.spark)}/published-{uuid.uuid4().hex}", schema, ["asset"], 16)
+    stored.upsert(values)
+    return stored
+
+
 @query("snk_upsert", """
     from {pub_fresh} union all by name
     from {pub_values} where asset not in (select asset from {pub_fresh})""")
 def snk_upsert(w):
-    return publishing.upsert(w["pub_values"], w["pub_fresh"], ["asset"])
+    """On a stored table: loaded, two batches on top, read back."""
+    stored = _stored(w)
+    half = F.pmod(F.xxhash64("asset"), F.lit(2)) == 0
+    for part in (half, ~half):
+        stored.upsert(w["pub_fresh"].where(part))
+    return stored.read()
 
 
 @query("snk_prefix_delete", """
@@ -277,8 +302,10 @@ def snk_upsert(w):
         where property = 'owner_note') as rows_left
     from {pub_values} where property <> 'owner_note'""")
 def snk_prefix_delete(w):
-    left = publishing.without_prefix(w["pub_values"]).agg(F.count("*")).scalar()
-    return publishing.assets_with_prefix(w["pub_values"]).withColumn("rows_left", left)
+    stored = _stored(w)
+    cleared = publishing.assets_with_prefix(stored.read())
+    stored.remove(F.col("property").startswith(publishing.PROPERTY_PREFIX))
+    return cleared.withColumn("rows_left", stored.read().agg(F.count("*")).scalar())
 
 
 @query("snk_readback", """

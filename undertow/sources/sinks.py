@@ -1,8 +1,10 @@
-"""Table writes: full refresh, counted load, snapshots stored under their content."""
+"""Table writes: full refresh, counted load, snapshots stored under their content, and retention of all of them."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -25,17 +27,21 @@ def refresh(df: DataFrame, path: str) -> DataFrame:
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/versions/{version}")
     done = _commits(spark, path)
-    number = 1 + (done.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] if done is not None else 0)
-    record = spark.createDataFrame([(number, version)], _COMMIT)
+    record = spark.createDataFrame([(commit_number(done), version)], _COMMIT)
     record.coalesce(1).write.mode("append").json(f"{path}/commits")
     return current(spark, path)
 
 
+def commit_number(done: DataFrame | None) -> int:
+    """The number of the next commit."""
+    return 1 + (done.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] if done is not None else 0)
+
+
 def _commits(spark: SparkSession, path: str) -> DataFrame | None:
-    return _json(spark, f"{path}/commits", _COMMIT)
+    return read_json(spark, f"{path}/commits", _COMMIT)
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
         return spark.read.schema(schema).json(path)
     except AnalysisException:
@@ -44,11 +50,78 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The version of a refreshed table that the last commit names."""
+    return spark.read.parquet(f"{path}/versions/{_newest(spark, path)}")
+
+
+def _newest(spark: SparkSession, path: str) -> str:
     done = _commits(spark, path)
     if done is None:
         raise FileNotFoundError(f"no refresh of {path} has been committed")
-    version = done.agg(F.max_by("version", F.struct("number", "version"))).first()[0]
-    return spark.read.parquet(f"{path}/versions/{version}")
+    return done.agg(F.max_by("version", F.struct("number", "version"))).first()[0]
+
+
+@contextmanager
+def reading(spark: SparkSession, path: str) -> Iterator[DataFrame]:
+    """The current version of a refreshed table, kept from :func:`vacuum` as long as the ``with`` block lasts."""
+    mark = f"{path}/readers/{uuid.uuid4().hex}"
+    while True:
+        # The mark is there before the version is looked up again, so a vacuum either sees it or went before.
+        version = _newest(spark, path)
+        spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(mark)
+        if version == _newest(spark, path):
+            break
+        _remove(spark, mark)
+    try:
+        yield spark.read.parquet(f"{path}/versions/{version}")
+    finally:
+        _remove(spark, mark)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Delete versions of a refreshed table that are not among its last ``keep`` commits and that nobody reads.
+
+    Readers are those inside :func:`reading`. What failed jobs left goes too, so no refresh of the table may be
+    at work. Returns how many versions went.
+    """
+    done = _commits(spark, path)
+    if done is None:
+        return 0
+    kept = {r["version"] for r in done.orderBy(F.desc("number"), F.desc("version")).limit(max(1, keep)).collect()}
+    marks = read_json(spark, f"{path}/readers/*", "version string")
+    if marks is not None:
+        kept |= {r["version"] for r in marks.distinct().collect()}
+    return remove_folders(spark, f"{path}/versions", kept)
+
+
+def vacuum_snapshots(spark: SparkSession, folder: str, keep: int | None = None) -> int:
+    """Delete stored graphs that no read names, and with ``keep`` those that only older reads than the last ``keep`` name."""
+    reads = snapshots(spark, folder)
+    if reads is None:
+        return 0
+    if keep is not None:
+        reads = reads.orderBy(F.desc(F.try_to_timestamp("read_at")), F.desc("fingerprint")).limit(max(1, keep))
+    return remove_folders(spark, f"{folder}/parts", {r["place"] for r in reads.select("place").distinct().collect()})
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place, files = _folder(spark, path)
+    files.delete(place, True)
+
+
+def remove_folders(spark: SparkSession, path: str, kept: set[str]) -> int:
+    """Delete the folders directly under ``path`` whose names are not ``kept``; returns how many went."""
+    place, files = _folder(spark, path)
+    if not files.exists(place):
+        return 0
+    gone = [f.getPath() for f in files.listStatus(place) if f.isDirectory() and f.getPath().getName() not in kept]
+    for folder in gone:
+        files.delete(folder, True)
+    return len(gone)
 
 
 def load(df: DataFrame, path: str) -> int:
@@ -97,7 +170,7 @@ def _parts(spark: SparkSession, folder: str, place: str) -> list[DataFrame]:
 
 def snapshots(spark: SparkSession, folder: str) -> DataFrame | None:
     """The reads stored under a folder, or none."""
-    return _json(spark, f"{folder}/reads", _READ)
+    return read_json(spark, f"{folder}/reads", _READ)
 
 
 def latest_fingerprint(reads: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import MODELS
 from ..sources.contracts import contract
+from ..sources.keyed import KeyedTable
 
 # Producers may deliver an event this much out of order.
 LATENESS = "2 minutes"
@@ -107,3 +108,41 @@ def current(changes: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in changes.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*rest), "batch").alias("r")
     return changes.groupBy(*keys).agg(newest).select(*keys, "r.*")
+
+
+def merge_to(stream: DataFrame, table: KeyedTable, checkpoint: str, tidy_every: int = 20):
+    """Changed rows into a keyed table, one row a key, whatever the number of batches.
+
+    A batch rewrites the buckets of its keys; every ``tidy_every`` batches the versions that nothing reads any more
+    are deleted, so the folders stay as many as there are buckets and that many batches. A batch that is run again
+    after a failure puts the same rows in place of themselves.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        table.upsert(batch)
+        batch.unpersist()
+        if number % tidy_every == tidy_every - 1:
+            table.vacuum()
+
+    return (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, by: str = "session_id") -> DataFrame:
+    """The sessions that a stopped stream of :func:`sessions` still holds, as the state store has them.
+
+    Together with those given out they are the sessions of all that was read.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(
+        F.col(f"key.{by}").alias(by),
+        F.col("value.session_window.start").alias("started_ts"),
+        F.col("value.session_window.end").alias("ended_ts"),
+        F.col("value.count").alias("events"),
+    )
