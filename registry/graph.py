@@ -51,7 +51,7 @@ def used(w):
 
 def parts(w):
     def build():
-        return knockout.components(Graph.of(w), sweep(w), used(w), reach(w))
+        return knockout.components(Graph.of(w), sweep(w), used(w))
 
     return pinned(w, "components", build)
 
@@ -215,8 +215,8 @@ def so_fanout(w):
     direct = w["lin_edges"].groupBy(F.col("source").alias("asset")).agg(
         F.count_distinct("target").alias("direct")
     )
-    top = direct.orderBy(F.desc("direct"), "asset").limit(5)
-    total = reach(w).groupBy(F.col("origin").alias("asset")).agg(F.count("*").alias("total"))
+    top = pin(direct.orderBy(F.desc("direct"), "asset").limit(5), "fanout")
+    total = lineage.closure(w["lin_edges"].select("source", "target"), top).groupBy(F.col("origin").alias("asset")).agg(F.count("*").alias("total"))
     return top.join(total, "asset")
 
 
@@ -486,6 +486,11 @@ def cx_candidates(w):
         "scenario", "origin", F.concat(F.lit("faults/"), "kind").alias("path")
     )
     size = w["lin_assets"].agg(F.count("*")).scalar()
+    # How far an origin reaches counts only where it has no score.
+    unscored = scenarios.select(F.col("origin").alias("asset")).distinct().join(
+        ranked(w).where("score > 0").select(F.col("origin").alias("asset")), "asset", "left_anti"
+    )
+    reach = lineage.closure(w["lin_edges"].select("source", "target"), unscored)
     return context.candidates(
-        scenarios, known(w), ranked(w), reach(w), w["led_evidence"], "state F", size
+        scenarios, known(w), ranked(w), reach, w["led_evidence"], "state F", size
     )

@@ -19,7 +19,7 @@ from undertow.session import checkpoint_root
 from undertow.sources import ledgers, scopes, sinks
 
 from .core import query
-from .graph import parts, reach, used
+from .graph import parts, used
 
 c = F.col
 
@@ -733,7 +733,7 @@ def dq_coverage(w):
     from undertow.operators import knockout
 
     g = Graph.of(w)
-    return quality.coverage(g, used(w), knockout.recovery(g, reach(w)))
+    return quality.coverage(g, used(w), knockout.recovery(g))
 
 
 @query("dq_append_once", """

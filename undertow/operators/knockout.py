@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import numbered
 from .impact import present_owners, propagate
-from .lineage import DASHBOARD, DATASET, Graph
+from .lineage import DASHBOARD, DATASET, Graph, upstream_totals
 
 SWEEP_MINUTE = 4 * 60
 # Score weights, which must sum to one, and the hours after which a failure
@@ -110,8 +110,8 @@ def exposure(g: Graph, broken: DataFrame, used: DataFrame) -> DataFrame:
     )
 
 
-def recovery(g: Graph, reach: DataFrame) -> DataFrame:
-    """How exposed each asset is to losing what it rests on.
+def recovery(g: Graph, reach: DataFrame | None = None) -> DataFrame:
+    """How exposed each asset is to losing what it rests on; ``reach``, the closure, is used if it is at hand.
 
     Replicated sources count nothing, unreplicated ones half with a fallback and fully
     without. What lies upstream decides; the asset's own flag only if nothing upstream has
@@ -121,11 +121,15 @@ def recovery(g: Graph, reach: DataFrame) -> DataFrame:
         F.nullif("fallback_source", F.lit("")).isNotNull(), 0.5
     ).otherwise(1.0)
     flagged = g.assets.where(F.col("replicated").isNotNull()).select("asset", risk.alias("risk"))
-    upstream = (
-        reach.join(flagged.withColumnRenamed("asset", "origin"), "origin")
-        .groupBy("asset")
-        .agg(F.avg("risk").alias("upstream_risk"))
-    )
+    if reach is None:
+        totals = upstream_totals(g.edges.select("source", "target"), flagged.withColumnRenamed("risk", "value"))
+        upstream = totals.select("asset", (F.col("total") / F.col("n")).alias("upstream_risk"))
+    else:
+        upstream = (
+            reach.join(flagged.withColumnRenamed("asset", "origin"), "origin")
+            .groupBy("asset")
+            .agg(F.avg("risk").alias("upstream_risk"))
+        )
     own = flagged.withColumnRenamed("risk", "own_risk")
     return g.assets.select("asset").join(upstream, "asset", "left").join(own, "asset", "left").select(
         F.col("asset").alias("origin"),
@@ -158,7 +162,7 @@ def cost() -> Column:
 
 
 def components(
-    g: Graph, broken: DataFrame, used: DataFrame, reach: DataFrame, horizon: float = HORIZON_HOURS
+    g: Graph, broken: DataFrame, used: DataFrame, reach: DataFrame | None = None, horizon: float = HORIZON_HOURS
 ) -> DataFrame:
     """The five components per dataset, each between nought and one.
 

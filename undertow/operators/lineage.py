@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import numbered as in_order
 from ..functions.scalars import tolerant_bool, tolerant_int
 from ..functions.summaries import fingerprint
 from ..session import pin
-from .spread import earliest, numbered
+from .spread import earliest, numbered, reached
 
 DATASET = "dataset"
 DASHBOARD = "dashboard"
@@ -242,19 +243,29 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return down.unionByName(up).distinct()
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """Every (origin, asset) with asset reachable from origin, and the least number of hops.
-
-    An origin reaches itself only if it lies on a cycle.
-    """
+def _numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asset, id) of everything on an edge, and the edges as (from_node, node)."""
     names = numbered(edges.select(F.explode(F.array("source", "target")).alias("asset")), "id")
 
     def number(df: DataFrame, column: str, alias: str) -> DataFrame:
         return df.join(names.select(F.col("asset").alias(column), F.col("id").alias(alias)), column)
 
     links = number(number(edges.distinct(), "source", "from_node"), "target", "node")
-    moves = pin(links.select("from_node", "node"), "links")
-    start = moves.select(F.col("from_node").alias("who"), "node", F.lit(1).alias("due"))
+    return names, pin(links.select("from_node", "node"), "links")
+
+
+def closure(edges: DataFrame, origins: DataFrame | None = None) -> DataFrame:
+    """Every (origin, asset) with asset reachable from origin, and the least number of hops.
+
+    An origin reaches itself only if it lies on a cycle. With ``origins`` (asset) only theirs: the
+    others take no part in any round.
+    """
+    names, moves = _numbered_edges(edges)
+    first = moves
+    if origins is not None:
+        asked = names.join(origins.select("asset"), "asset", "left_semi")
+        first = moves.join(asked, moves["from_node"] == asked["id"], "left_semi")
+    start = first.select(F.col("from_node").alias("who"), "node", F.lit(1).alias("due"))
     found = earliest(start, moves, ["who"], F.col("due") + 1)
     named = found.join(names.select(F.col("id").alias("who"), F.col("asset").alias("origin")), "who")
     return named.join(names.withColumnRenamed("id", "node"), "node").select(
@@ -262,6 +273,26 @@ def closure(edges: DataFrame) -> DataFrame:
     )
 
 
+def upstream_totals(edges: DataFrame, values: DataFrame) -> DataFrame:
+    """(asset, n, total): number and sum of ``values`` (asset, value) over all that lies upstream, each counted once.
+
+    Assets are taken 64 of one value at a time, a bit each, so no pair of assets is ever a row: what
+    travels is which of them reach a node, however many ways lead there. The values should be few.
+    """
+    names, moves = _numbered_edges(edges)
+    placed = in_order(values.join(names, "asset"), ["value"], [F.col("id")], "place")
+    place = F.col("place") - 1
+    kinds = in_order(values.select("value").distinct(), [], [F.col("value")], "kind")
+    word = F.col("kind") * F.lit(1 << 40) + F.floor(place / 64)
+    bits = F.expr("shiftleft(1L, cast((place - 1) % 64 as int))")
+    origins = pin(placed.join(kinds, "value").select(F.col("id").alias("from_node"), word.cast("bigint").alias("word"), bits.alias("bits"), "value"), "words")
+    start = origins.join(moves, "from_node").select("word", "node", "bits")
+    found = reached(start, moves).join(origins.select("word", "value").distinct(), "word")
+    n = F.bit_count("bits")
+    totals = found.groupBy("node").agg(F.sum(n).alias("n"), F.sum(n * F.col("value")).alias("total"))
+    return totals.join(names.withColumnRenamed("id", "node"), "node").select("asset", "n", "total")
+
+
 def summary(g: Graph) -> DataFrame:
     """Counts by layer and kind, with the declared metadata each group carries."""
     owned = g.owners.select("asset").distinct().withColumn("owned", F.lit(True))

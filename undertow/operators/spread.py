@@ -92,3 +92,29 @@ def _round(known: Buckets, links: Buckets, who: list[str], arrival: Column, keep
     before = known.all().withColumnRenamed("due", "_due")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     return arrived.alias("a").join(before.alias("b"), [*same, F.col("_due") <= F.col("due")], "left_anti")
+
+
+def reached(start: DataFrame, moves: DataFrame) -> DataFrame:
+    """Which origins reach each node, 64 of them a row: (word, node, bits).
+
+    ``start`` has (word, node, bits): the origins of a word, a bit each, that are at a node from the
+    beginning; ``moves`` has (from_node, node). A round hands on only the bits that are new to a node, and keeps
+    what is known in buckets as :func:`earliest` does, so origins that reach the same nodes travel together.
+    """
+    keys = ["word", "node"]
+    with Buckets(moves, ["from_node"], "moves") as links, Buckets(start, keys, "bits") as known:
+        links.add(moves.select("from_node", "node").repartition(links.count, "from_node"))
+        n = known.add(start.groupBy(*keys).agg(F.bit_or("bits").alias("bits")))
+        while n:
+            n = known.add(_wider(known, links))
+        return pin(known.all().groupBy(*keys).agg(F.bit_or("bits").alias("bits")), "bits")
+
+
+def _wider(known: Buckets, links: Buckets) -> DataFrame:
+    """The bits that the newest of ``known`` brings to nodes that did not have them."""
+    here = known.newest().select("word", F.col("node").alias("from_node"), "bits")
+    arrived = here.join(links.all(), "from_node").groupBy("word", "node").agg(F.bit_or("bits").alias("bits"))
+    before = known.all().groupBy("word", "node").agg(F.bit_or("bits").alias("_had"))
+    new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_had", F.lit(0).cast("bigint"))))
+    joined = arrived.join(before, ["word", "node"], "left")
+    return joined.select("word", "node", new.alias("bits")).where("bits <> 0")
