@@ -144,3 +144,21 @@ def test_nothing_to_learn_from(spark, docs):
     got = langid.identify(docs(["some words"], langs=[None]), PATH).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
     assert langid.identify(docs([]), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text, known", [("½ ²", False), ("Ⅷ ①", False), ("ª", True), ("12 ⓐ", False), ("٣ é", True), ("日本", True), ("_", False)])
+def test_letters_are_letters_and_nothing_else(text, known):
+    assert bool(langid.runs(text.encode())) is known == any(c.isalpha() for c in text)
+
+
+def test_texts_without_a_letter_are_undecided(spark, docs):
+    model = langid.Model(["en"], np.full((langid.Pieces(open(PATH, "rb").read()).count + 1, 1), -5.0))
+    texts = ["½ ²", "Ⅷ ①", "", None, "ª"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(texts), model, PATH).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "und", 4: "en"}
+
+
+def test_a_column_of_anything_is_no_column_of_languages(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="4 values of lang"):
+        langid.train(docs(["a"] * 4, langs=list("abcd")), PATH)

@@ -10,16 +10,20 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import pin
 from .bpe import ship
 from .common import hold, id_class, map_texts, run_starts
 
 UNKNOWN = "und"
 #: Training texts per language (an expected number, picked by a hash of the id) and words per language.
 SAMPLE_DOCS, SAMPLE_WORDS = 500, 20_000
+#: Languages that a model may have: it holds a row of probabilities of each.
+MOST_LANGUAGES = 1000
 ROUNDS = 3
 #: Bytes of a word scored at a time, and words in the memory of a worker.
 PART_BYTES, REMEMBERED = 255, 250_000
@@ -27,7 +31,7 @@ PART_BYTES, REMEMBERED = 255, 250_000
 _LOOKED_UP, _SUMMED = 1 << 22, 1 << 22
 _SMOOTHING = 0.01
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 _ASCII_LETTERS = bytes(i if 97 <= i <= 122 else 32 for i in range(256))
 
 
@@ -291,11 +295,14 @@ def train(documents: DataFrame, path: str, key: str = "doc_id", sample_docs: int
     Learns from a bounded sample: of every language about ``sample_docs`` documents, picked by a
     hash of their id among those with a text and a language, and of their words the SAMPLE_WORDS
     most frequent. Each language is fitted in a task of its own; what comes to the driver is one
-    row of probabilities per language. Documents without text or language teach nothing.
+    row of probabilities per language. Documents without text or language teach nothing. A column of more than
+    MOST_LANGUAGES values is no column of languages and is refused before anything of it is gathered.
     """
     name = ship(documents.sparkSession, path)
     known = documents.where("lang is not null and text is not null").select(key, "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))
+    sizes = pin(known.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    if (n := sizes.count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} values of lang; a model has at most {MOST_LANGUAGES}")
     place = F.pmod(F.xxhash64(F.lit("train"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     # One row per language, of which a model has one on the driver too: small, so texts stay where they are.
     picked = known.join(F.broadcast(sizes), "lang").where(place < sample_docs / F.col("_n")).select("lang", "text")
