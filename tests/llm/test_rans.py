@@ -96,3 +96,23 @@ def test_ids_are_those_of_the_library(spark, docs):
     for text, row in zip(texts, got):
         want = library.encode(text or "", add_special_tokens=False).ids + [2]
         assert np.frombuffer(row["ids"], "<u4").tolist() == want, text
+
+
+def test_control_strings_by_the_libraries_default(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["end <|endoftext|> next", "a<|startoftext|>b<|endoftext|>.", "<|ENDOFTEXT|> <|endoftext|", "<|startoftext|>\n<|endoftext|>", *TEXTS]
+    got = tokens.encode(docs(texts), path, 2, plain=False).orderBy("doc_id").collect()
+    for text, row in zip(texts, got):
+        want = library.encode(text, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(row["ids"], "<u4").tolist() == want, text
+
+
+def test_rows_without_an_id_are_dealt_by_their_ids(spark, tmp_path):
+    """They come first, in the order of their ids, and spread over the shards."""
+    rows = [(None, np.array([i % 50, i], "<u4").tobytes()) for i in range(400)] + [(1, np.array([7], "<u4").tobytes())]
+    rans.write(spark.createDataFrame(rows, "doc_id bigint, ids binary"), str(tmp_path / "set"), block_tokens=32)
+    shards = spark.read.parquet(str(tmp_path / "set/blocks")).select("shard").distinct().count()
+    back = rans.read(spark, str(tmp_path / "set"), "ids binary", lambda ids: [ids.astype("<u4").tobytes()]).collect()
+    assert shards > 1 and sorted(bytes(r["ids"]) for r in back if r["doc_id"] is None) == sorted(x for _, x in rows[:-1])
+    assert [r["start"] for r in back if r["doc_id"] == 1] == [800]

@@ -57,9 +57,9 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 def map_texts(
-    df: DataFrame, key: str, fields: str, fn: Callable[[list[bytes | None]], list]
+    df: DataFrame, key: str, fields: str, fn: Callable[[list[bytes | None]], list], room: int = PORTION_BYTES
 ) -> DataFrame:
-    """``key`` with the columns ``fields`` (DDL) that ``fn`` derives from a batch of texts.
+    """``key`` with the columns ``fields`` (DDL) that ``fn`` derives from a batch of texts, ``room`` bytes of them or one text.
 
     The work is per row: no shuffle, and a lost task is simply run again. ``key`` passes through
     untouched, so it may be of any type and null; where it is a struct with a field ``text``, the
@@ -77,7 +77,7 @@ def map_texts(
             if inside:
                 keys = batch.column(0)
                 batch = pa.RecordBatch.from_arrays([keys, keys.field("text")], names=["_key", "_text"])
-            for keys, texts in portions(batch):
+            for keys, texts in portions(batch, room):
                 columns = fn(texts)
                 arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([keys, *arrays], names=schema.names)

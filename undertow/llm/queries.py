@@ -163,7 +163,7 @@ END_ID = 2
 def op4_token_files(spark, root):
     documents = read(spark, root, "documents", "doc_id", "text")
     # Ids of this vocabulary are below 49,408, so 16 bits hold them until they are coded.
-    ids = tokens.encode(documents, public_tokenizers.path("word_bpe_49k.json"), END_ID, packing="<u2")
+    ids = tokens.encode(documents, public_tokenizers.path("word_bpe_49k.json"), END_ID, packing="<u2", plain=False)
     place = f"{checkpoint_root(spark)}/token-files-{uuid.uuid4().hex}"
     ids.write.option("compression", "zstd").parquet(f"{place}/ids")
     rans.write(spark.read.schema(ids.schema).parquet(f"{place}/ids"), f"{place}/coded", packing="<u2")

@@ -209,7 +209,7 @@ def write(tokens: DataFrame, path: str, packing: str = "<u4", block_tokens: int
             yield _packed(held, coder, shard, number, start)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

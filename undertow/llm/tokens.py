@@ -7,16 +7,19 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bpe import ship
-from .common import hold, map_texts
+from .common import hold, map_texts, ranges, run_starts
 
-#: Entries of each of the two generations of a worker's memory of chunks, and characters of an entry.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Entries of a worker's memories of chunks and of words, and characters of a chunk that is kept.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Bytes of text encoded at a time: the more, the fewer chunks are asked for twice.
+TOGETHER = 4 << 20
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
 _WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,]?)")
-_LOADED: dict[tuple[str, str], Chunks] = {}
+_LOADED: dict[tuple[str, str, bool], Chunks] = {}
 
 
 def _byte_characters() -> dict[int, str]:
@@ -36,69 +39,91 @@ class Chunks:
     asked directly, and one stop behind it is a match of its own.
     """
 
-    def __init__(self, file: str, packing: str) -> None:
+    def __init__(self, file: str, packing: str, plain: bool = True) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # a text has no control tokens, only characters
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.packing, self.code = packing, {"<u2": "H", "<u4": "I"}[packing]
         self.characters = _byte_characters()
         self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.stops = {stop: self._word(stop) if stop else b"" for stop in ("", ".", ",")}
 
     def _word(self, word: str) -> bytes:
-        spelled = word.lower().encode().decode("latin-1").translate(self.characters)
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of every text."""
-        if len(self.memory) > REMEMBERED:  # what was asked for since the last time is kept once more
-            self.memory, self.older = {}, self.memory
-        memory, older = self.memory, self.older
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        """Packed ids of a word, which is remembered in lower case, whatever stop is behind it."""
+        word = word.lower()
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
+            # Letters of ASCII are written as themselves.
+            spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
+            self.words[word] = known = array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return known
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Packed ids of every text: each chunk by its number among the different ones, whose ids lie in one array."""
+        column = pa.array([t or b"" for t in texts], pa.large_binary()).cast(pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        which, packed = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.packing).itemsize
+        data = np.frombuffer(b"".join(packed), self.packing)
+        sizes = lengths[which]
+        ids = data[ranges(run_starts(lengths)[which], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of different chunks."""
+        memory = self.memory
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        found = list(map(memory.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
         others = []
-        for c in set().union(*cut):
-            if c in memory:
-                continue
-            known = older.get(c)
-            if known is not None:
-                memory[c] = known
-            elif match := _WORD_AND_STOP.fullmatch(c):
+        for i in new:
+            if match := _WORD_AND_STOP.fullmatch(chunks[i]):
                 word, stop = match.groups()
-                memory[c] = self._word(word) + self.stops[stop]
+                found[i] = self._word(word) + self.stops[stop]
             else:
-                others.append(c)
-        for c, found in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            memory[c] = np.array(found.ids, self.packing).tobytes()
-        out = [b"".join([memory[c] for c in chunks]) for chunks in cut]
-        for c in [c for c in memory.keys() & set(others) if len(c) > REMEMBERED_CHARS]:
-            del memory[c]
-        return out
+                others.append(i)
+        asked = self.tokenizer.encode_batch_fast([chunks[i] for i in others], add_special_tokens=False)
+        for i, answer in zip(others, asked):
+            found[i] = np.array(answer.ids, self.packing).tobytes()
+        memory.update((chunks[i], found[i]) for i in new if len(chunks[i]) <= REMEMBERED_CHARS)
+        return found
 
 
-def _chunks(name: str, packing: str) -> Chunks:
+def _chunks(name: str, packing: str, plain: bool) -> Chunks:
     """The encoder of a shipped file, with the memory of this worker process (see ``langid``)."""
     from pyspark import SparkFiles
 
     hold(_LOADED.clear)
-    if (name, packing) not in _LOADED:
-        _LOADED[name, packing] = Chunks(SparkFiles.get(name), packing)
-    return _LOADED[name, packing]
+    if (name, packing, plain) not in _LOADED:
+        _LOADED[name, packing, plain] = Chunks(SparkFiles.get(name), packing, plain)
+    return _LOADED[name, packing, plain]
 
 
-def encode(documents: DataFrame, path: str, end_id: int, key: str = "doc_id", packing: str = "<u4") -> DataFrame:
+def encode(
+    documents: DataFrame, path: str, end_id: int, key: str = "doc_id", packing: str = "<u4", plain: bool = True
+) -> DataFrame:
     """``key`` and ids (packed) of every whole text, with ``end_id`` appended to each.
 
-    Row by row, without a shuffle; a null text is empty and has the end id alone. The file of the
-    tokenizer goes to each executor once, and is loaded once per worker process.
+    With ``plain`` the strings that name control tokens are characters like any others, so that a text cannot
+    forge one; without, they are encoded as the control tokens they name, which is the library's default.
+
+    Row by row, without a shuffle; a null text is empty and has the end id alone, an empty table has no rows, and
+    repeated rows are encoded each. Texts of any length are encoded whole. Other columns of ``documents`` are not looked
+    at. The file of the tokenizer goes to each executor once, and is loaded once per worker process.
     """
     name = ship(documents.sparkSession, path)
     end = np.array([end_id], packing).tobytes()
 
     def run(texts):
-        packed = _chunks(name, packing).encode([(t or b"").decode() for t in texts])
+        packed = _chunks(name, packing, plain).encode(texts)
         return [pa.array([p + end for p in packed], pa.binary())]
 
-    return map_texts(documents, key, "ids binary", run)
+    return map_texts(documents, key, "ids binary", run, TOGETHER)
