@@ -89,3 +89,14 @@ def test_prefixes_meet():
         if len(x & y) >= 0.8 * len(x | y):
             p, q = (sorted(s)[: int(lines.prefix_length(len(s)))] for s in (x, y))
             assert set(p) & set(q)
+
+
+def test_columns_of_any_name_are_carried(spark):
+    kind = "doc_id bigint, text string, _doc string, _gone int, n_lines int, n_removed string, key int, row int, mark int"
+    rows = [(1, "a b\nc", "x", 7, 8, "y", 1, 2, 3), (2, "a b\nd", "x", 7, 8, "y", 1, 2, 3), (None, "a b", "z", 7, 8, "y", 1, 2, 3)]
+    got = lines.dedup(spark.createDataFrame(rows, kind))
+    assert got.columns == [c.split()[0] for c in kind.split(", ")] + ["n_lines_", "n_removed_"]
+    found = {r["doc_id"]: r for r in got.collect()}
+    assert [found[k]["text"] for k in (None, 1, 2)] == ["a b", "c", "d"]
+    assert all((r["n_lines"], r["n_removed"], r["_gone"], r["row"]) == (8, "y", 7, 2) for r in found.values())
+    assert [found[k]["n_removed_"] for k in (None, 1, 2)] == [0, 1, 1] and found[1]["n_lines_"] == 2

@@ -87,3 +87,17 @@ def test_stages_take_empty_and_odd_tables(spark, corpus):
         assert stage(spark, pin(empty, "test"), folder).count() == 0
         stage(spark, pin(odd, "test"), folder).count()
     assert corpus_pipeline.keep_one_of_each_group(spark, pin(odd, "test"), folder).count() == 2
+
+
+def test_stages_carry_columns_of_any_name(spark, corpus):
+    from pyspark.sql import functions as F
+
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("row", "_row", "_place", "place", "first", "n_lines", "n_removed", "_doc", "_gone", "key", "label", "lang_pred", "score", "items")
+    odd = docs.withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns
+        assert got.where(" or ".join(f"{n} <> '{n}'" for n in names)).isEmpty()
+        assert sorted(r[0] or -1 for r in got.select("doc_id").collect()) == sorted(r[0] or -1 for r in stage(spark, docs, folder).select("doc_id").collect())

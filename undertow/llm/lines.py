@@ -404,29 +404,36 @@ def _copies_apart(documents: DataFrame, key: str) -> tuple[DataFrame, DataFrame
 def dedup(documents: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``documents``, with the lines of :func:`removed_lines` taken out of ``text``, and n_lines, n_removed.
 
+    Columns of any name are carried as they are: where the documents have an n_lines or n_removed of their own, the
+    new column has underscores behind its name.
+
     A null text stays null and has no lines; an empty one has one line, without words. Rows equal
     in key and text are one document here: what goes from one goes from each. A null key names no
     document, so each row without a key is one of its own: of those equal in text all but one lose
     every line with a word. Null keys come first in the order. Lines are told apart by 64-bit hashes of their words, so one in 10**7 may be
     taken for another in a corpus of 10**12 lines.
     """
-    documents, copies = _copies_apart(documents, key)
-    taken = removed_lines(documents, key, similarity).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
-    own = F.struct(F.col(key).alias("key"), F.xxhash64("text").alias("mark"))
-    same = own["key"].eqNullSafe(F.col("_doc.key")) & (own["mark"] == F.col("_doc.mark"))
-    joined = documents.join(taken, same, "left").drop("_doc")
+    rows = documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
+    rows, copies = _copies_apart(rows, "key")
+    taken = removed_lines(rows, "key", similarity)
+    own = F.struct(F.col("d.key").alias("key"), F.xxhash64("d.text").alias("mark"))
+    same = own["key"].eqNullSafe(F.col("t.doc.key")) & (own["mark"] == F.col("t.doc.mark"))
+    joined = rows.alias("d").join(taken.alias("t"), same, "left").select("d.row", "d.text", "t.gone")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
-    done = joined.withColumns(
-        {
-            "n_lines": n_lines,
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"),
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")),
-        }
-    ).drop("_gone")
-    if copies is None:
-        return done
-    wordless = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(HAS_WORD)))
-    n_removed = F.coalesce(F.size(lines) - F.size(wordless), F.lit(0)).cast("bigint")
-    return done.union(copies.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": F.array_join(wordless, "\n")}))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")
+    done = joined.select("row", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    if copies is not None:
+        wordless = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(HAS_WORD)))
+        n_removed = F.coalesce(F.size(lines) - F.size(wordless), F.lit(0)).cast("bigint")
+        text = F.array_join(wordless, "\n")
+        done = done.union(copies.select("row", text.alias("text"), n_lines.alias("n_lines"), n_removed.alias("n_removed")))
+    carried = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in documents.columns]
+    for count in ("n_lines", "n_removed"):
+        name = count
+        while name in documents.columns:
+            name += "_"
+        carried.append(F.col(count).alias(name))
+    return done.select(*carried)

@@ -209,6 +209,7 @@ def score(
     like any other. A null id is not held out and does not teach; rows are all kept, repeated ones
     too; several labels of one id count as the largest, null labels not at all.
     """
+    documents = documents.select(key, F.col("text").cast("string").alias("text"))  # no other name of theirs matters here
     fold = id_class(key, folds)
     held_out = F.coalesce(fold == held_fold, F.lit(False))
     taught = labels.where((fold != held_fold) & F.col("toxic").isNotNull()).groupBy(key).agg(F.max("toxic").alias("label"))
