@@ -43,21 +43,22 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that match an earlier one; those left without a word go."""
-    done = lines.dedup(docs)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    done = lines.dedup(rows)
     emptied = (F.col("n_removed") > 0) & ~F.regexp_like("text", F.lit(lines.HAS_WORD))
     left = done.where(~F.coalesce(emptied, F.lit(False)))
-    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return left.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 @_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least doc_id in each group of near-duplicates; a null id comes last."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.monotonically_increasing_id().alias("row"))
-    placed = docs.withColumn("_place", place)
-    found = simhash.groups(placed.select("_place", "text"), key="_place")
-    first = found.where(F.col("_place") == F.col("component_id")).select("_place.row")
-    kept = placed.join(first.withColumnRenamed("row", "_row"), F.col("_place.row") == F.col("_row"), "left_semi")
-    return kept.select(docs.columns)
+    placed = docs.select(F.struct("*").alias("row"), place.alias("place"), "text")
+    found = simhash.groups(placed.select("place", "text"), key="place")
+    first = found.where(F.col("place") == F.col("component_id")).select(F.col("place.row").alias("first"))
+    return placed.join(first, F.col("place.row") == F.col("first"), "left_semi").select("row.*")
 
 
 @_stage
