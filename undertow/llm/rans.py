@@ -180,7 +180,7 @@ def write(tokens: DataFrame, path: str, packing: str = "<u4", block_tokens: int
     """Write documents (doc_id, ids packed as little-endian unsigned integers) as a file set.
 
     Documents are range partitioned by doc_id and sorted, so shards and blocks are in ascending
-    order (nulls first; rows of one doc_id in the order of their ids). A block closes with the
+    order (nulls first; rows of one doc_id in the order of their ids within a shard, repeated rows as they come). A block closes with the
     document that brings it to ``block_tokens`` ids. The frequency table has at most as many rows
     as the vocabulary has ids, which is what the driver and the tasks hold. ``tokens`` is read
     twice and must give the same rows each time, so hand over a written table. Files are written by
@@ -209,7 +209,10 @@ def write(tokens: DataFrame, path: str, packing: str = "<u4", block_tokens: int
             yield _packed(held, coder, shard, number, start)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(parts, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    # Rows of one doc_id, or without any, may be most of them: their place in the table deals them out, too. The
+    # ranges are sampled from these two columns; ids never go to the driver.
+    placed = tokens.select("doc_id", "ids", F.monotonically_increasing_id().alias("_at"))
+    ordered = placed.repartitionByRange(parts, "doc_id", "_at").drop("_at").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

@@ -18,7 +18,7 @@ REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Bytes of text encoded at a time: the more, the fewer chunks are asked for twice.
 TOGETHER = 4 << 20
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
-_WORD_AND_STOP = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([.,]?)")
+_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+")
 _LOADED: dict[tuple[str, str, bool], Chunks] = {}
 
 
@@ -85,8 +85,10 @@ class Chunks:
         new = [i for i, ids in enumerate(found) if ids is None]
         others = []
         for i in new:
-            if match := _WORD_AND_STOP.fullmatch(chunks[i]):
-                word, stop = match.groups()
+            chunk = chunks[i]
+            stop = chunk[-1:] if chunk[-1:] in (".", ",") else ""
+            word = chunk[: len(chunk) - len(stop)]
+            if word.isascii() and word.isalpha() or _WORD.fullmatch(word):
                 found[i] = self._word(word) + self.stops[stop]
             else:
                 others.append(i)
