@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from .bpe import ship
 from .common import hold, map_texts, ranges, run_starts
 
-#: Entries of a worker's memories of chunks and of words, and characters of a chunk that is kept.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Chunks in the memory of a worker, and bytes of their text; words in its memory of words.
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_WORDS = 800_000, 48 << 20, 300_000
 #: Bytes of text encoded at a time: the more, the fewer chunks are asked for twice.
-TOGETHER = 4 << 20
+TOGETHER = 8 << 20
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+")
 _LOADED: dict[tuple[str, str, bool], Chunks] = {}
@@ -47,7 +47,7 @@ class Chunks:
         self.model = self.tokenizer.model
         self.packing, self.code = packing, {"<u2": "H", "<u4": "I"}[packing]
         self.characters = _byte_characters()
-        self.memory: dict[str, bytes] = {}
+        self._forget()
         self.words: dict[str, bytes] = {}
         self.stops = {stop: self._word(stop) if stop else b"" for stop in ("", ".", ",")}
 
@@ -56,7 +56,7 @@ class Chunks:
         word = word.lower()
         known = self.words.get(word)
         if known is None:
-            if len(self.words) > REMEMBERED:
+            if len(self.words) > REMEMBERED_WORDS:
                 self.words.clear()
             # Letters of ASCII are written as themselves.
             spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.characters)
@@ -64,38 +64,52 @@ class Chunks:
         return known
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of every text: each chunk by its number among the different ones, whose ids lie in one array."""
+        """Packed ids of every text: each chunk by its number among the known ones, whose ids lie in one array."""
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
+            self._forget()
         column = pa.array([t or b"" for t in texts], pa.large_binary()).cast(pa.large_string())
         cut = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         coded = pc.dictionary_encode(cut.flatten())
-        which, packed = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
-        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.packing).itemsize
-        data = np.frombuffer(b"".join(packed), self.packing)
-        sizes = lengths[which]
-        ids = data[ranges(run_starts(lengths)[which], sizes)]
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        fresh = coded.dictionary.filter(place.is_null())
+        number = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+        number[place.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        self._learn(fresh)
+        which = number[coded.indices.to_numpy()]
+        sizes = self.lengths[which]
+        ids = self.ids[ranges(self.starts[which], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
         return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, self.packing)
+        self.starts = self.lengths = np.zeros(0, np.int64)
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Add chunks that are not known, each encoded once."""
+        packed = self._ids(fresh.to_pylist())
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.packing).itemsize
+        self.starts = np.concatenate([self.starts, len(self.ids) + run_starts(lengths)]) if len(lengths) else self.starts
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(packed), self.packing)])
+        self.known = pa.concat_arrays([self.known, fresh])
+
     def _ids(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of different chunks."""
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        found = list(map(memory.get, chunks))
-        new = [i for i, ids in enumerate(found) if ids is None]
+        found: list[bytes] = []
         others = []
-        for i in new:
-            chunk = chunks[i]
+        for i, chunk in enumerate(chunks):
             stop = chunk[-1:] if chunk[-1:] in (".", ",") else ""
             word = chunk[: len(chunk) - len(stop)]
             if word.isascii() and word.isalpha() or _WORD.fullmatch(word):
-                found[i] = self._word(word) + self.stops[stop]
+                found.append(self._word(word) + self.stops[stop])
             else:
+                found.append(b"")
                 others.append(i)
         asked = self.tokenizer.encode_batch_fast([chunks[i] for i in others], add_special_tokens=False)
         for i, answer in zip(others, asked):
             found[i] = np.array(answer.ids, self.packing).tobytes()
-        memory.update((chunks[i], found[i]) for i in new if len(chunks[i]) <= REMEMBERED_CHARS)
         return found
 
 
