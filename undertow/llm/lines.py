@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import pin
-from .common import hold, portions, ranges, run_starts
+from .common import hold, numbered, portions, ranges, run_starts
 
 SIMILARITY = 0.8
 #: A token in more than LIMIT prefixes, or with more than CROWDED candidate pairs per prefix, compares its
@@ -24,7 +24,13 @@ COUNTERS, REMEMBERED = 1 << 18, 250_000
 _PARTS = 16
 #: Pairs of postings that a task looks at at a time.
 _TRIED = 200_000
-_NEEDED_BITS = 1 << 23
+#: Bits of the filter of needed lines for each of them, and at most: beyond, more sets are sent than needed.
+_NEEDED_BITS, _MOST_BITS = 16, 1 << 27
+#: Line ids that a task remembers, so as not to send a line twice.
+_SEEN = 1_000_000
+#: Candidates of a line that are looked at in the first rounds, and rounds in which the earliest line of a crowded token
+#: is compared with the others.
+TURNS, PIVOTS = (1, 3), 4
 # Words are runs of digits, letters a-z and bytes above 0x7F, after lower-casing A-Z; lines stay apart.
 _WORD_BYTES = bytes(
     i + 32 if 65 <= i <= 90 else i if i == 10 or 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32
@@ -152,32 +158,36 @@ def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[
 
 
 def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """(token, id, meta, sign): the prefix of each line, once per line text and task; see :func:`_fits`."""
+    """(token, id, meta, sign, more): the prefix of each line, once per line text and task; see :func:`_fits`."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for chunk in _chunks(batches):
             ids = [line_id(f) for f in chunk]
+            if len(seen) > _SEEN:
+                seen.clear()
             new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
             if not new:
                 continue
             hashes, sizes = ordered_sets([chunk[i] for i in new], shared.value)
             n = prefix_length(sizes, similarity)
             place = np.arange(int(n.sum())) - np.repeat(run_starts(n), n)
-            bits = np.uint64(1) << (hashes >> np.uint64(20) & np.uint64(63))
-            sign = np.bitwise_xor.reduceat(bits, run_starts(sizes)).view(np.int64)
+            kind = hashes >> np.uint64(20) & np.uint64(127)
+            bits = np.uint64(1) << (kind & np.uint64(63))
+            signs = [np.where(kind >> np.uint64(6) == half, bits, np.uint64(0)) for half in (0, 1)]
+            signs = [np.bitwise_xor.reduceat(b, run_starts(sizes)).view(np.int64) for b in signs]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(hashes[np.repeat(run_starts(sizes), n) + place].view(np.int64)),
                     pa.array(np.repeat(np.array(ids, np.int64)[new], n)),
                     pa.array(np.repeat(sizes, n) << 32 | place),
-                    pa.array(np.repeat(sign, n)),
+                    *[pa.array(np.repeat(sign, n)) for sign in signs],
                 ],
-                names=["token", "id", "meta", "sign"],
+                names=["token", "id", "meta", "sign", "more"],
             )
 
-    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint, sign bigint")
+    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint, sign bigint, more bigint")
 
 
 def _size(meta):
@@ -190,18 +200,19 @@ def _place(meta):
     return meta & 0xFFFFFFFF if isinstance(meta, np.ndarray) else meta.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _fits(x, y, x_sign, y_sign, similarity: float, least=np.minimum, ceil=np.ceil, ones=np.bitwise_count):
-    """Filters on two postings of one token, on their ``meta`` and ``sign``; none loses a match.
+def _fits(x, y, x_signs, y_signs, similarity: float, least=np.minimum, ceil=np.ceil, ones=np.bitwise_count):
+    """Filters on two postings of one token, on their ``meta`` and the pair (sign, more); none loses a match.
 
     The lengths must allow the similarity; so must the tokens from this one on, if it is the first
-    that the lines share. ``sign`` has a bit per class of token hashes, set if the line has an odd
+    that the lines share. ``sign`` and ``more`` have a bit per class of token hashes, set if the line has an odd
     number of such tokens: each differing bit is a token that only one of the lines has.
     """
     a, b = _size(x), _size(y)
     needed = ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
     rest = least(a - _place(x), b - _place(y))
-    apart = x_sign ^ y_sign if isinstance(x_sign, np.ndarray) else x_sign.bitwiseXOR(y_sign)
-    alike = ones(apart) <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    apart = [ones(p ^ q if isinstance(p, np.ndarray) else p.bitwiseXOR(q)) for p, q in zip(x_signs, y_signs)]
+    apart = apart[0].astype(np.int64) + apart[1] if isinstance(apart[0], np.ndarray) else apart[0] + apart[1]
+    alike = apart <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9
     return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed) & alike
 
 
@@ -209,25 +220,26 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
     """One shuffle of the postings by token: candidate pairs, and the postings of crowded tokens.
 
     Rows are (a, b) with a < b for lines that met at a token and fit each other, and (a = id, token,
-    meta, sign) for each posting of a crowded token: one with over ``limit`` postings, or with more
+    meta, sign, more) for each posting of a crowded token: one with over ``limit`` postings, or with more
     than ``crowded`` fitting pairs per posting. Tokens stream past in order, each with its lines by
     size, so a line is only tried with lines of fitting size; a task holds ``limit`` postings and a
     batch, and what it puts out is bounded by a multiple of what it reads.
     """
 
-    def fitting(ids: np.ndarray, meta: np.ndarray, sign: np.ndarray, x: np.ndarray, y: np.ndarray):
-        on = _fits(meta[x], meta[y], sign[x].view(np.uint64), sign[y].view(np.uint64), similarity) & (ids[x] != ids[y])
+    def fitting(ids: np.ndarray, meta: np.ndarray, signs: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray):
+        at_x, at_y = ([s[at].view(np.uint64) for s in signs] for at in (x, y))
+        on = _fits(meta[x], meta[y], at_x, at_y, similarity) & (ids[x] != ids[y])
         return np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
 
-    def small(ids, meta, sign, first, size):
+    def small(ids, meta, signs, first, size):
         """Pairs of tokens with few postings, all tokens with the same number of them at once."""
         for n in np.unique(size):
             at = first[size == n][:, None]
             i, j = np.triu_indices(int(n), 1)
             for some in np.array_split(at, len(at) * len(i) // _TRIED + 1) if n > 1 else ():
-                yield fitting(ids, meta, sign, (some + i).ravel(), (some + j).ravel())
+                yield fitting(ids, meta, signs, (some + i).ravel(), (some + j).ravel())
 
-    def large(ids, meta, sign):
+    def large(ids, meta, signs):
         """Pairs of one token; None if they are too many."""
         size = _size(meta)
         end = np.searchsorted(size, size / similarity + 1e-6, "right")
@@ -237,30 +249,30 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
         for a, b in zip([0, *cuts], [*cuts, len(ids)]):
             if a < b:
                 x = np.repeat(here[a:b], width[a:b])
-                found.append(fitting(ids, meta, sign, x, ranges(here[a:b] + 1, width[a:b])))
+                found.append(fitting(ids, meta, signs, x, ranges(here[a:b] + 1, width[a:b])))
                 n += len(found[-1][0])
                 if n > crowded * len(ids):
                     return None
         return found
 
     def rows(a, b=None, *crowd) -> pa.RecordBatch:
-        columns = [a, b, *(crowd or (None, None, None))]
+        columns = [a, b, *(crowd or (None, None, None, None))]
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([none if c is None else pa.array(c) for c in columns], names=names)
 
-    def settle(token, ids, meta, sign, crowd):
+    def settle(token, ids, meta, signs, crowd):
         """Output of whole tokens; ``crowd`` is a token already known to be crowded."""
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(first, len(token)))
         few = size <= min(16, limit)
         if crowd is not None:
             few &= token[first] != crowd
-        found = list(small(ids, meta, sign, first[few], size[few]))
+        found = list(small(ids, meta, signs, first[few], size[few]))
         for at, n in zip(first[~few], size[~few]):
             part = slice(at, at + n)
-            pairs = None if n > limit or token[at] == crowd else large(ids[part], meta[part], sign[part])
+            pairs = None if n > limit or token[at] == crowd else large(ids[part], meta[part], [s[part] for s in signs])
             if pairs is None:
-                yield rows(ids[part], None, token[part], meta[part], sign[part])
+                yield rows(ids[part], None, token[part], meta[part], *[s[part] for s in signs])
             else:
                 found += pairs
         if found:
@@ -268,63 +280,66 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
             yield rows(both[:, 0], both[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd = [np.zeros(0, np.int64)] * 4, None
+        held, crowd = [np.zeros(0, np.int64)] * 5, None
         for batch in batches:
-            token, ids, meta, sign = (
+            token, ids, meta, *signs = (
                 np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)
             )
             if not len(token):
                 continue
             last = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
             if len(token) - last > limit or token[-1] == crowd:
-                yield from settle(token, ids, meta, sign, crowd)
-                crowd, held = token[-1], [np.zeros(0, np.int64)] * 4
+                yield from settle(token, ids, meta, signs, crowd)
+                crowd, held = token[-1], [np.zeros(0, np.int64)] * 5
             else:
                 if last:
-                    yield from settle(token[:last], ids[:last], meta[:last], sign[:last], crowd)
-                held = [token[last:], ids[last:], meta[last:], sign[last:]]
+                    yield from settle(token[:last], ids[:last], meta[:last], [s[:last] for s in signs], crowd)
+                held = [c[last:] for c in (token, ids, meta, *signs)]
         if len(held[0]):
-            yield from settle(*held, crowd)
+            yield from settle(*held[:3], held[3:], crowd)
 
-    names = ["a", "b", "token", "meta", "sign"]
+    names = ["a", "b", "token", "meta", "sign", "more"]
     ordered = postings.repartition("token").sortWithinPartitions("token", "meta")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _pairs(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of postings (id, token, meta, sign) that meet at a token."""
-    met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.id") != F.col("y.id"))
-    columns = [F.col(c) for c in ("x.meta", "y.meta", "x.sign", "y.sign")]
-    met = met.where(_fits(*columns, similarity, F.least, F.ceil, F.bit_count))
-    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    """Distinct candidate pairs (x, y) of postings (num, token, meta, sign, more) that meet at a token, ``x`` the earlier line."""
+    met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.num") < F.col("y.num"))
+    signs = [[F.col(f"{side}.sign"), F.col(f"{side}.more")] for side in ("x", "y")]
+    met = met.where(_fits(F.col("x.meta"), F.col("y.meta"), *signs, similarity, F.least, F.ceil, F.bit_count))
+    return met.select(F.col("x.num").alias("x"), F.col("y.num").alias("y")).distinct()
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     """(id, tokens) of the lines with the needed ids, and of few others.
 
-    The needed ids are told by a bitmap of fixed size, so the documents are only read, and only
+    The needed ids are told by a bitmap of bounded size, so the documents are only read, and only
     these sets are shuffled.
     """
-    bit = F.pmod("id", F.lit(_NEEDED_BITS)) + 1
+    bits = min(_MOST_BITS, 1 << max(16, (needed.count() * _NEEDED_BITS).bit_length()))
+    bit = F.pmod("id", F.lit(bits)) + 1
     rows = needed.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")
     )
-    filter_ = np.zeros(_NEEDED_BITS // 8 + 8192, np.uint8)
+    filter_ = np.zeros(bits // 8 + 8192, np.uint8)
     for r in rows.collect():
         at = (r["bucket"] - 1) * 4096
         filter_[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+        held, seen = shared.value, set()
         for _, texts in (p for batch in batches for p in portions(batch)):
             ids, sets = [], []
+            if len(seen) > _SEEN:
+                seen.clear()
             for text in texts:
                 for f in line_words(text or b""):
                     x = line_id(f)
                     if x is not None and x not in seen:
-                        place = x % _NEEDED_BITS
-                        if bits[place >> 3] >> (place & 7) & 1:
+                        place = x % bits
+                        if held[place >> 3] >> (place & 7) & 1:
                             seen.add(x)
                             ids.append(x)
                             sets.append(np.unique(token_hashes(f)).view(np.int64))
@@ -336,15 +351,49 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(F.any_value("tokens").alias("tokens"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, similarity: float) -> DataFrame:
-    """Ids of lines that have an earlier match, of candidate pairs (a, b)."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = pin(_sets(docs, needed).join(firsts, "id"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s"), F.col("first").alias("f")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t"), F.col("first").alias("g")), "b")
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The later lines (y) of those candidate pairs (x, y) that match, by their whole sets (num, tokens)."""
+    both = pairs.join(sets.select(F.col("num").alias("x"), F.col("tokens").alias("s")), "x")
+    both = both.join(sets.select(F.col("num").alias("y"), F.col("tokens").alias("t")), "y")
     shared = F.size(F.array_intersect("s", "t"))
-    alike = shared >= (F.size("s") + F.size("t") - shared) * similarity - 1e-9
-    return both.where(alike & (F.col("f") != F.col("g"))).select(F.when(F.col("f") < F.col("g"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return both.where(shared >= (F.size("s") + F.size("t") - shared) * similarity - 1e-9).select("y").distinct()
+
+
+def _matched(pairs: DataFrame, sets: DataFrame, similarity: float, gone: DataFrame) -> DataFrame:
+    """``gone`` (y) with the lines that match an earlier one among their candidates (x, y).
+
+    One match decides a line, so its earliest candidate is looked at first, then a few, and only a line
+    that none of these decides meets all the others: sets are sent for the pairs of a round.
+    """
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("x"))
+    pairs = pin(pairs.join(gone, "y", "left_anti").withColumn("turn", turn), "pairs")
+    first = 1
+    for last in (*TURNS, None):
+        some = pairs.where(F.col("turn") >= first if last is None else F.col("turn").between(first, last))
+        some = some.join(gone, "y", "left_anti")
+        gone = pin(gone.union(_verified(some.select("x", "y"), sets, similarity)), "matches")
+        first = 0 if last is None else last + 1
+    return gone
+
+
+def _crowds(crowd: DataFrame, sets: DataFrame, similarity: float, gone: DataFrame) -> DataFrame:
+    """``gone`` with the lines of crowded tokens (token, num, meta, sign, more) that match an earlier one there.
+
+    A few rounds compare the earliest undecided line of each token with the others, which
+    costs as many pairs as there are lines and decides crowds of near copies; what is left meets all that fit it.
+    """
+    turn = crowd
+    for _ in range(PIVOTS):
+        turn = turn.join(gone, turn["num"] == gone["y"], "left_anti")
+        pivots = turn.groupBy("token").agg(F.min(F.struct("num", "meta", "sign", "more")).alias("p")).select("token", "p.*")
+        pivots = pin(pivots, "pivots")
+        if pivots.isEmpty():
+            break
+        pairs = _pairs(pivots, turn, similarity)
+        gone = pin(gone.union(_verified(pairs, sets, similarity)).distinct(), "matches")
+        turn = turn.join(pivots.select("token", "num"), ["token", "num"], "left_anti")
+    left = crowd.join(gone, crowd["num"] == gone["y"], "left_anti")
+    return _matched(_pairs(crowd, left, similarity), sets, similarity, gone)
 
 
 def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -359,9 +408,9 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
        number; any fixed order gives the same matches, a rarest-first one gives few candidates.
     3. Two lines that match share a word among the rarest of each: the postings of these prefixes
        are joined by word, under filters on length, position and the parity of token classes. A word in many prefixes first
-       compares all its lines with its earliest one; those that match it are decided, and only
+       compares its lines with the earliest ones; those that match are decided, and only
        the rest is compared with all. So a crowd of near copies costs its size and not its square.
-    4. Candidates are verified on their whole sets.
+    4. Candidates are verified on their whole sets, the earliest of each line first: one match is enough.
     """
     docs = _identified(documents, key)
     survey = pin(_survey(docs), "lines")
@@ -369,17 +418,22 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     lines = survey.where("doc is not null").select("doc", F.posexplode("ids").alias("line", "id")).where("id is not null")
     firsts = pin(lines.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first")), "lines")
     met = pin(_meetings(_postings(docs, rarity, similarity), similarity, LIMIT, CROWDED), "meetings")
-    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign").distinct()
-    seen = crowd.join(firsts, "id").groupBy("token").agg(F.min(F.struct("first", "id", "meta", "sign")).alias("e"))
-    earliest = seen.select("token", "e.id", "e.meta", "e.sign")
-    light = met.where("token is null").select("a", "b")
-    pairs = pin(light.union(_pairs(crowd, earliest, similarity)).distinct(), "pairs")
-    gone = pin(_verified(docs, pairs, firsts, similarity), "matches")
-    more = pin(
-        _pairs(crowd.join(gone, "id", "left_anti"), crowd, similarity).join(pairs, ["a", "b"], "left_anti"), "pairs"
-    )
-    if not more.isEmpty():
-        gone = gone.union(_verified(docs, more, firsts, similarity)).distinct()
+    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign", "more").distinct()
+    light = pin(met.where("token is null").select("a", "b").distinct(), "pairs")
+    needed = light.select(F.col("a").alias("id")).union(light.select("b")).union(crowd.select("id")).distinct()
+    # Lines that may match are numbered in their order, so that of two the earlier one is the smaller.
+    placed, _ = numbered(_sets(docs, pin(needed, "needed")).join(firsts, "id"), [F.col("first")], "num", F.count("*"))
+    placed = pin(placed.select("num", "id", "tokens"), "sets")
+    names, sets = placed.select("id", "num"), placed.select("num", "tokens")
+    crowd = pin(crowd.join(names, "id").drop("id"), "crowd")
+    ends = [names.select(F.col("id").alias(c), F.col("num").alias(f"{c}_num")) for c in ("a", "b")]
+    light = light.join(ends[0], "a").join(ends[1], "b")
+    light = light.select(F.least("a_num", "b_num").alias("x"), F.greatest("a_num", "b_num").alias("y"))
+    none = docs.sparkSession.createDataFrame([], "y bigint")
+    gone = _matched(light, sets, similarity, none)
+    if not crowd.isEmpty():
+        gone = _crowds(crowd, sets, similarity, gone)
+    gone = gone.distinct().join(names.withColumnRenamed("num", "y"), "y").select("id")
     decided = firsts.join(gone.withColumn("gone", F.lit(True)), "id", "left")
     later = F.struct("doc", "line") > F.col("first")
     marked = lines.join(decided, "id").where(later | F.coalesce("gone", F.lit(False)))
