@@ -14,9 +14,9 @@ from .bpe import ship
 from .common import hold, map_texts, ranges, run_starts
 
 #: Chunks in the memory of a worker, and bytes of their text; words in its memory of words.
-REMEMBERED, REMEMBERED_BYTES, REMEMBERED_WORDS = 800_000, 48 << 20, 300_000
+REMEMBERED, REMEMBERED_BYTES, REMEMBERED_WORDS = 800_000, 48 << 20, 600_000
 #: Bytes of text encoded at a time: the more, the fewer chunks are asked for twice.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
 # Latin letters that are still letters, and no marks, once composed and lower-cased.
 _WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+")
 _LOADED: dict[tuple[str, str, bool], Chunks] = {}
