@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from undertow.operators import faults, grading, publishing, rebuild
+from undertow.operators import baseline, faults, grading, publishing, rebuild
 from undertow.operators.impact import events
 from undertow.plans import CONSUMERS, MODELS, downstream_models
 from undertow.session import checkpoint_root
@@ -73,10 +73,9 @@ faulted_tables("nm", "raw_orders", "select * replace (null::bigint as merchant_i
 @query("wi_classify", " union all ".join(differs("nm", n) for n in _CLASSIFIED))
 def wi_classify(w):
     fault = rebuild.Fault("null_out_column", "raw_orders", "merchant_id")
-    shadow = rebuild.overlay(w, fault)
-    shadow.keep(fault.table)
-    rows = [(n, *rebuild.observe(shadow, w, n)) for n in _CLASSIFIED]
-    return rebuild.outcome_table(w, rows).drop("detail")
+    stored = baseline.Baseline(w, f"{checkpoint_root(w.spark)}/baseline-{uuid.uuid4().hex}")
+    production = stored.store(_CLASSIFIED)
+    return rebuild.classify(production, fault, _CLASSIFIED, stored).drop("detail")
 
 
 _BELOW = downstream_models("int_orders_enriched")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.summaries import contents
 from ..plans import CONSUMERS, MODELS, MissingTable, Warehouse, downstream_models
 from ..sources.contracts import ContractError
+from .baseline import Baseline, by_level
 from .faults import faulted
 from .impact import DEGRADED, UNAVAILABLE
 from .quality import report
@@ -60,18 +61,35 @@ def compare(shadow: DataFrame, real: DataFrame) -> tuple[str | None, str]:
     return None, "identical"
 
 
-def observe(shadow: Warehouse, production: Warehouse, name: str) -> tuple[str | None, str]:
+def observe(
+    shadow: Warehouse, production: Warehouse, name: str, stored: Baseline | None = None
+) -> tuple[str | None, str]:
     """Build one model on ``shadow`` and say what happened to it.
 
-    Both sides are written once, so the models above read them and do not compute them again.
+    Both sides are written once, so the models above read them and do not compute them again. With
+    a ``stored`` baseline only the rebuilt side is written, and its list of buckets is compared.
     """
     try:
-        return compare(shadow.keep(name), production.keep(name))
+        rebuilt = shadow.keep(name)
+        return stored.compare(name, rebuilt) if stored else compare(rebuilt, production.keep(name))
     except FAILURES as error:
         return UNAVAILABLE, str(error).strip()
 
 
-def probes(production: Warehouse, fault: Fault, names: Iterable[str] | None = None) -> DataFrame:
+def classify(
+    production: Warehouse, fault: Fault, names: Iterable[str] | None = None, stored: Baseline | None = None
+) -> DataFrame:
+    """Everything downstream rebuilt on the overlay and compared, models of one depth as concurrent jobs."""
+    shadow = overlay(production, fault)
+    shadow.keep(fault.table)
+    names = list(names or scope(fault))
+    found = by_level(names, lambda name: observe(shadow, production, name, stored))
+    return outcome_table(production, [(name, *found[name]) for name in names])
+
+
+def probes(
+    production: Warehouse, fault: Fault, names: Iterable[str] | None = None, stored: Baseline | None = None
+) -> DataFrame:
     """Every model downstream, each rebuilt by itself: all it reads is healthy but for the faulted table.
 
     A model that does not read the faulted table has nothing but healthy inputs, so what it is
@@ -85,7 +103,7 @@ def probes(production: Warehouse, fault: Fault, names: Iterable[str] | None = No
             continue
         healthy = {t: production.keep(t) for t in MODELS[name].reads if t != fault.table}
         alone = production.overlay({**healthy, fault.table: shadow.keep(fault.table)})
-        rows.append((name, *observe(alone, production, name)))
+        rows.append((name, *observe(alone, production, name, stored)))
     return outcome_table(production, rows)
 
 
@@ -100,32 +118,35 @@ def broken_tests(shadow: Warehouse, name: str) -> list[str]:
     return failed
 
 
-def cascade(production: Warehouse, fault: Fault, names: Iterable[str] | None = None) -> DataFrame:
+def cascade(
+    production: Warehouse, fault: Fault, names: Iterable[str] | None = None, stored: Baseline | None = None
+) -> DataFrame:
     """Everything downstream rebuilt in order; a failed build or test stops what depends on it.
 
-    The loop is over models, of which there are dozens; every table is built, once, and compared
-    on the cluster.
+    The loop is over models, of which there are dozens; those of one depth are built at the same
+    time, every table once, and compared on the cluster.
     """
     shadow = overlay(production, fault)
     shadow.keep(fault.table)
     stopped: set[str] = set()
-    rows = []
-    for name in names or scope(fault):
+
+    def rebuild(name: str) -> tuple[str | None, str]:
         if stopped.intersection(MODELS[name].reads):
             stopped.add(name)
-            rows.append((name, UNAVAILABLE, "skipped: something it reads failed"))
-            continue
-        impact, detail = observe(shadow, production, name)
+            return UNAVAILABLE, "skipped: something it reads failed"
+        impact, detail = observe(shadow, production, name, stored)
         if impact == UNAVAILABLE:
             stopped.add(name)
-        else:
-            failed = broken_tests(shadow, name)
-            if failed:
-                stopped.add(name)
-                impact = DEGRADED
-                detail = f"{detail}; failed {', '.join(failed)}"
-        rows.append((name, impact, detail))
-    return outcome_table(production, rows)
+            return impact, detail
+        failed = broken_tests(shadow, name)
+        if failed:
+            stopped.add(name)
+            return DEGRADED, f"{detail}; failed {', '.join(failed)}"
+        return impact, detail
+
+    names = list(names or scope(fault))
+    found = by_level(names, rebuild)
+    return outcome_table(production, [(name, *found[name]) for name in names])
 
 
 def outcome_table(w: Warehouse, rows: list[tuple]) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import pin, prepare
-from ..sources.bindings import BINDINGS, bind
+from ..sources.bindings import BINDINGS, bind, names_in
 from ..sources.contracts import ContractError
 from ..sources.tables import LANDED, scan
 
@@ -86,8 +86,23 @@ class Warehouse:
         self._kept: set[str] = set()
 
     def overlay(self, replaced: dict[str, DataFrame | None]) -> Warehouse:
-        """This warehouse with some tables replaced; the rest passes through untouched."""
-        return Warehouse(self.spark, self.root, {**self.replaced, **replaced}, self)
+        """This warehouse with some tables replaced; the rest passes through untouched.
+
+        What has been written here is read there too, unless it is built from a replaced table.
+        """
+        copy = Warehouse(self.spark, self.root, {**self.replaced, **replaced}, self)
+        copy._hold({name: self._built[name] for name in self._kept - _readers(set(replaced))})
+        return copy
+
+    def holding(self, written: dict[str, DataFrame]) -> Warehouse:
+        """This warehouse with models that are written elsewhere: they are read there and never built."""
+        copy = Warehouse(self.spark, self.root, self.replaced, self.production)
+        copy._hold(written)
+        return copy
+
+    def _hold(self, written: dict[str, DataFrame]) -> None:
+        self._built.update(written)
+        self._kept.update(written)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self.replaced:
@@ -137,6 +152,18 @@ class Warehouse:
                     )
 
 
+def _readers(tables: set[str]) -> set[str]:
+    """``tables`` and every role and model that reads one of them at any depth."""
+    reached, found = set(), set(tables)
+    while found - reached:
+        reached |= found
+        found = {role for role, template in BINDINGS.items() if reached.intersection(names_in(template))}
+    for name, m in MODELS.items():
+        if reached.intersection(m.reads):
+            reached.add(name)
+    return reached
+
+
 def downstream_models(origin: str) -> list[str]:
     """Every model that reads ``origin`` at any depth, upstream ones first.
 

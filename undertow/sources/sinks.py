@@ -50,10 +50,11 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The version of a refreshed table that the last commit names."""
-    return spark.read.parquet(f"{path}/versions/{_newest(spark, path)}")
+    return spark.read.parquet(f"{path}/versions/{newest(spark, path)}")
 
 
-def _newest(spark: SparkSession, path: str) -> str:
+def newest(spark: SparkSession, path: str) -> str:
+    """The version of a refreshed table that its last commit names."""
     done = _commits(spark, path)
     if done is None:
         raise FileNotFoundError(f"no refresh of {path} has been committed")
@@ -66,9 +67,9 @@ def reading(spark: SparkSession, path: str) -> Iterator[DataFrame]:
     mark = f"{path}/readers/{uuid.uuid4().hex}"
     while True:
         # The mark is there before the version is looked up again, so a vacuum either sees it or went before.
-        version = _newest(spark, path)
+        version = newest(spark, path)
         spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(mark)
-        if version == _newest(spark, path):
+        if version == newest(spark, path):
             break
         _remove(spark, mark)
     try:
