@@ -55,3 +55,35 @@ def test_no_vectors(spark):
     assert vectors.near(frame).count() == 0
     frame = spark.createDataFrame([(1, None, None), (None, [1.0], 1), (2, [1.0], 1)], "vec_id bigint, embedding array<float>, label int")
     assert sorted(map(tuple, vectors.near(frame).collect()), key=repr) == [(1, 0, 1, True), (2, 0, 2, True), (None, 0, None, True)]
+
+
+def test_a_tile_is_sent_once_per_group_and_each_pair_is_in_one(spark):
+    n = 96
+    tiles = spark.createDataFrame([(i, 2, [i], [1], b"") for i in range(n)], "tile bigint, size int, ids array<bigint>, copies array<bigint>, vectors binary")
+    pairs = [(a, b) for a in range(n) for b in range(a, n)]
+    met = vectors._met(tiles, spark.createDataFrame(pairs, "a bigint, b bigint")).collect()
+    assert sorted((a, r["tile"]) for r in met if r["side"] for a in r["others"]) == pairs
+    held = {(r["ga"], r["gb"], r["tile"]) for r in met if not r["side"]}
+    assert all((r["ga"], r["gb"], a) in held for r in met if r["side"] for a in r["others"])
+    whole = (n + vectors.PASSING) * (n + vectors.HELD) / 2
+    assert len(met) <= whole * (1 / vectors.HELD + 1 / vectors.PASSING) < len(pairs) / 3
+
+
+def test_moments_are_added_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FAN", 2)
+    monkeypatch.setattr(vectors, "STRIPE", 5)
+    rng = np.random.default_rng(5)
+    rows = [(rng.normal(size=n).tolist(),) for n in (12, 3) for _ in range(40)]
+    axes = vectors.principal_axes(spark.createDataFrame(rows, "v array<double>").repartition(7))
+    for size in (12, 3):
+        u = vectors._unit(np.array([r[0] for r in rows if len(r[0]) == size]))
+        found = axes[size].T @ (u.T @ u) @ axes[size]
+        assert np.allclose(found, np.diag(np.diag(found))) and (np.diff(np.diag(found)) <= 1e-9).all()
+    assert vectors.principal_axes(spark.createDataFrame([], "v array<double>")) == {}
+
+
+def test_a_dense_label_over_many_groups(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.ones(6) + rng.normal(size=6) * 0.35).tolist(), 1) for i in range(260)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in vectors.near(frame, tile=3).collect()) == sorted(brute(rows))

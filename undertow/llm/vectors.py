@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -17,6 +17,10 @@ THRESHOLD = 0.93
 #: Vectors of a tile at most, leading axes with a box per tile, and cosines this near the threshold
 #: are taken anew from the vectors as given.
 TILE, BOXED, DOUBT = 1024, 8, 1e-9
+#: Tiles that a task holds, and tiles that it lets pass by these, per group of pairs of tiles.
+HELD, PASSING = 8, 32
+#: Rows of a square matrix that are sent together, and matrices that one group adds up.
+STRIPE, FAN = 64, 128
 
 
 def _valid(vectors: DataFrame, key: str, label: str, embedding: str) -> DataFrame:
@@ -41,8 +45,9 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def principal_axes(distinct: DataFrame) -> dict[int, np.ndarray]:
     """For each length of vector an orthogonal matrix of principal axes, the strongest first.
 
-    From the second moments of all unit vectors: each task adds up one square matrix, so what is
-    shuffled and brought to the driver depends on the length of vectors and not their number.
+    From the second moments of all unit vectors: each task adds up one square matrix per length and hands
+    on stripes of STRIPE rows of it. Stripes of equal place are added FAN at a time, in as many levels as the
+    number of tasks asks for, so no group holds more than FAN stripes; one matrix per length reaches the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,25 +56,38 @@ def principal_axes(distinct: DataFrame) -> dict[int, np.ndarray]:
             for size, rows in _by_size(batch.column(0)):
                 u = _unit(_matrix(batch.column(0).take(rows), size))
                 total[size] = total.get(size, 0) + u.T @ u
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int64()), pa.array([m.tobytes() for m in total.values()], pa.binary())],
-            names=["size", "moments"],
-        )
+        for size, m in total.items():
+            for at in range(0, size, STRIPE):
+                part = [[size], [at], [m[at : at + STRIPE].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, arrow)], names=["size", "at", "moments"])
 
     def add(rows):
         total = sum(np.frombuffer(m) for m in rows["moments"])
         return rows.head(1).assign(moments=[total.tobytes()])
 
-    kind = "size bigint, moments binary"
-    parts = distinct.select("v").mapInArrow(run, kind)
-    summed = parts.groupBy("size").applyInPandas(add, kind).collect()
+    arrow = [pa.int64(), pa.int64(), pa.binary()]
+    kind = "size bigint, at bigint, moments binary, task bigint"
+    parts = distinct.select("v").mapInArrow(run, "size bigint, at bigint, moments binary")
+    parts, tasks = _stripes(parts.withColumn("task", F.spark_partition_id().cast("bigint")))
+    while tasks > 1:
+        some = parts.withColumn("task", F.expr(f"task div {FAN}"))
+        parts, tasks = _stripes(some.groupBy("size", "at", "task").applyInPandas(add, kind))
     axes = {}
-    for r in summed:
-        _, found = np.linalg.eigh(np.frombuffer(r["moments"]).reshape(r["size"], r["size"]))
-        axes[r["size"]] = found[:, ::-1].copy()
+    rows = sorted(parts.select("size", "at", "moments").collect(), key=lambda r: (r["size"], r["at"]))
+    for size in dict.fromkeys(r["size"] for r in rows):
+        moments = np.frombuffer(b"".join(r["moments"] for r in rows if r["size"] == size)).reshape(size, size)
+        _, found = np.linalg.eigh(moments)
+        axes[size] = found[:, ::-1].copy()
     return axes
 
 
+def _stripes(parts: DataFrame) -> tuple[DataFrame, int]:
+    """Stripes written out, and one more than the greatest task number among them, seen by the same write."""
+    seen = Observation()
+    written = pin(parts.observe(seen, F.coalesce(F.max("task") + 1, F.lit(0)).alias("n")), "moments")
+    return written, seen.get["n"]
+
+
 def _by_size(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     sizes = np.asarray(column.value_lengths())
     for size in np.unique(sizes):
@@ -181,18 +199,28 @@ def _tile_pairs(tiles: DataFrame, threshold: float) -> DataFrame:
     return met.where(once & (F.col("a") <= F.col("b")) & (gap <= far)).select("a", "b")
 
 
+def projected(x: np.ndarray, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as given, their unit vectors in principal axes, and the norms of what remains from each axis on."""
+    u = _unit(x) @ axes
+    rest = np.sqrt(np.maximum(np.cumsum((u * u)[:, ::-1], 1)[:, ::-1], 0))
+    return x, u, np.hstack([rest, np.zeros((len(u), 1))])
+
+
 def compare(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i of x, j of y) whose cosine is at least ``threshold``.
+    """Rows (i of x, j of y) whose cosine is at least ``threshold``."""
+    return compare_projected(projected(x, axes), projected(y, axes), threshold)
+
+
+def compare_projected(left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i of left, j of right), both as :func:`projected` gives them, whose cosine is at least ``threshold``.
 
     Products are added up along the principal axes, leading ones first. What the remaining axes can
     add is at most the product of both vectors' norms on them; a pair that cannot reach the
-    threshold with it is given up. Cosines within DOUBT of the threshold are computed from x and y.
+    threshold with it is given up. Cosines within DOUBT of the threshold are computed from the vectors as given.
     """
-    u, w = _unit(x) @ axes, _unit(y) @ axes
+    (x, u, rest_u), (y, w, rest_w) = left, right
     size = u.shape[1]
     steps = [s for s in (8, 16, 32, 64, 128, 256, 512) if s < size] + [size]
-    rest_u, rest_w = (np.sqrt(np.maximum(np.cumsum((m * m)[:, ::-1], 1)[:, ::-1], 0)) for m in (u, w))
-    rest_u, rest_w = (np.hstack([r, np.zeros((len(r), 1))]) for r in (rest_u, rest_w))
     partial = u[:, : steps[0]] @ w[:, : steps[0]].T
     i, j = np.nonzero(partial + np.outer(rest_u[:, steps[0]], rest_w[:, steps[0]]) >= threshold - DOUBT)
     dots = partial[i, j]
@@ -225,43 +253,73 @@ def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _met(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Tiles dealt to groups of pairs: group (ga, gb), side, others (tiles on side 0 that one on side 1 meets) and the tile.
+
+    Neighbouring tiles form blocks of HELD on one side and of PASSING on the other, and the pairs of two blocks one
+    group. A tile is sent once per group and not once per pair: of n tiles that all meet, n * n / 2 * (1 / HELD + 1 / PASSING)
+    are sent in place of n * n / 2.
+    """
+    block = lambda c, n: F.expr(f"{c} - pmod({c}, {n})")  # noqa: E731  tile numbers of a partition follow one another
+    dealt = pairs.select(block("a", HELD).alias("ga"), block("b", PASSING).alias("gb"), "a", "b")
+    left = dealt.select("ga", "gb", F.lit(0).alias("side"), F.col("a").alias("tile")).distinct()
+    left = left.withColumn("others", F.array().cast("array<bigint>"))
+    right = dealt.groupBy("ga", "gb", F.lit(1).alias("side"), F.col("b").alias("tile")).agg(F.collect_list("a").alias("others"))
+    wanted = left.unionByName(right)
+    met = wanted.join(tiles.select("tile", "size", "ids", "copies", "vectors"), "tile")
+    return met.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "side", "tile")
+
+
 def _links(tiles: DataFrame, pairs: DataFrame, axes: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """(id, n, to): links of a vector found in one pair of tiles, copies counted, and a vector it is joined to.
 
-    A pair of tiles gives a row per linked vector and never a row per link.
+    A task holds the tiles on one side of a group, at most HELD, and lets those on the other pass one by
+    one; each is put into principal axes once per group. A pair of tiles gives a row per linked vector and never a row per link.
     """
     shared = tiles.sparkSession.sparkContext.broadcast(axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
         for batch in batches:
-            for r in batch.to_pylist():
-                size = r["size"]
-                x, y = (np.frombuffer(r[c]).reshape(-1, size) for c in ("xv", "yv"))
-                i, j = compare(x, y, shared.value[size], threshold)
-                ids, copies, shift = r["xi"] + r["yi"], np.array(r["xc"] + r["yc"]), len(x)
-                if r["a"] == r["b"]:
-                    on = i < j
-                    i, j, ids, copies, shift = i[on], j[on], r["xi"], np.array(r["xc"]), 0
-                j = j + shift
-                n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                to, linked = _least(len(ids), i, j), np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[k] for k in linked], kind),
-                        pa.array(n[linked].astype(np.int64)),
-                        pa.array([ids[to[k]] for k in linked], kind),
-                    ],
-                    names=["id", "n", "to"],
-                )
+            for n in range(batch.num_rows):
+                r = {name: batch.column(name)[n] for name in batch.schema.names}
+                here, tile, size = (r["ga"].as_py(), r["gb"].as_py()), r["tile"].as_py(), r["size"].as_py()
+                if here != at:
+                    at, held = here, {}
+                v = projected(np.frombuffer(r["vectors"].as_buffer()).reshape(-1, size), shared.value[size])
+                mine = r["ids"].as_py(), np.array(r["copies"].as_py()), v
+                if r["side"].as_py() == 0:
+                    held[tile] = mine
+                    continue
+                for a in r["others"].as_py():
+                    found = linked(held[a], mine, a == tile)
+                    if found.num_rows:
+                        yield found
+
+    def linked(one: tuple, other: tuple, itself: bool) -> pa.RecordBatch:
+        i, j = compare_projected(one[2], other[2], threshold)
+        if itself:
+            on = i < j
+            i, j, ids, copies = i[on], j[on], one[0], one[1]
+        else:
+            j, ids, copies = j + len(one[0]), one[0] + other[0], np.concatenate([one[1], other[1]])
+        n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        to, some = _least(len(ids), i, j), np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[k] for k in some], kind),
+                pa.array(n[some].astype(np.int64)),
+                pa.array([ids[to[k]] for k in some], kind),
+            ],
+            names=["id", "n", "to"],
+        )
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = tiles.schema["ids"].dataType.elementType
     kind = to_arrow_type(id_type)
-    x = tiles.select(F.col("tile").alias("a"), "size", F.col("ids").alias("xi"), F.col("copies").alias("xc"), F.col("vectors").alias("xv"))
-    y = tiles.select(F.col("tile").alias("b"), F.col("ids").alias("yi"), F.col("copies").alias("yc"), F.col("vectors").alias("yv"))
     name = id_type.simpleString()
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, f"id {name}, n bigint, to {name}")
+    return _met(tiles, pairs).mapInArrow(run, f"id {name}, n bigint, to {name}")
 
 
 def near(
