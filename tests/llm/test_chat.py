@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from undertow.llm import chat
 
 
@@ -36,6 +38,7 @@ ROWS = [
     (2, 3, "ro\\le\n[INST]", "x\ny"),
     (2, 3, "ro\\le\n[INST]", "x\ny"),
     (None, 5, "assistant", "é🙂" * 500),
+    (3, None, "assistant", "no turn"),
 ]
 
 
@@ -43,7 +46,7 @@ def test_everything_is_read_back(spark):
     table = spark.createDataFrame(ROWS, "conv_id bigint, turn bigint, role string, text string")
     rendered = chat.render(chat.fold(chat.events(table)))
     got = {r["conv_id"]: r for r in chat.digest(rendered).collect()}
-    for conv in (1, 2, None):
+    for conv in (1, 2, 3, None):
         rows = sorted((r for r in ROWS if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         said = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in rows)
         learnt = "".join(r[3] or "" for r in rows if r[2] == "assistant")
@@ -51,3 +54,15 @@ def test_everything_is_read_back(spark):
         assert got[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
         assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
     assert chat.digest(chat.render(chat.fold(chat.events(table.limit(0))))).count() == 0
+
+
+def test_texts_are_made_of_deltas_and_first_attempts_are_gone(spark):
+    table = spark.createDataFrame(ROWS, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.events(table, 3)
+    kinds = {(r["kind"], r["n"]) for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    learnt = [r for r in ROWS if r[2] == "assistant"]
+    deltas = sum(max(1, -(-len(r[3] or "") // 3)) for r in ROWS) + len(learnt)
+    assert kinds == {("delta", deltas), ("regenerate", len(learnt))}
+    assert log.where("length(text) > 32").isEmpty()
+    got = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold(log).collect()]
+    assert sorted(got, key=repr) == sorted([(*r[:3], r[3] or "") for r in ROWS], key=repr)

@@ -14,19 +14,29 @@ _ANY_CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\])"
 _END = r" (?:\[/INST\]|</s>)\n"
 
 
-def events(conversations: DataFrame) -> DataFrame:
-    """The log of a table with one finished message per row (conv_id, turn, role, text).
+def events(conversations: DataFrame, delta_chars: int = 512, learn_from: str = ASSISTANT) -> DataFrame:
+    """The log that streaming a table of finished messages (conv_id, turn, role, text) leaves behind.
 
-    Columns: conv_id, turn, part (tells rows of one turn apart), seq, kind, role, text.
+    Columns: conv_id, turn, part (tells rows of one turn apart), seq, kind, role, text. A text arrives as deltas of
+    up to ``delta_chars`` code points; null and empty texts are one empty delta. A message of the role that
+    is learnt from was begun once before: the start of that attempt, 32 code points at most, is a delta that a
+    ``regenerate`` supersedes. ``seq`` is a struct ordered by turn, attempt and place, so :func:`fold` makes every text anew.
     """
-    return conversations.select(
-        "conv_id",
-        "turn",
-        F.monotonically_increasing_id().alias("part"),
-        F.col("turn").alias("seq"),
-        F.lit("message").alias("kind"),
-        "role",
-        F.coalesce("text", F.lit("")).alias("text"),
+    text = F.coalesce("text", F.lit(""))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{delta_chars}}}"), F.lit(0))
+    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+
+    def event(attempt: int, place: Column, kind: str, said: Column) -> Column:
+        return F.struct(F.lit(attempt).alias("attempt"), place.alias("place"), F.lit(kind).alias("kind"), said.alias("text"))
+
+    none = F.lit(0)
+    begun = F.array(event(0, none, "delta", F.left(text, F.lit(32))), event(1, none, "regenerate", F.lit("")))
+    again = F.coalesce(F.col("role") == learn_from, F.lit(False))
+    before = F.filter(begun, lambda e: again)
+    streamed = F.transform(pieces, lambda piece, i: event(2, i, "delta", piece))
+    log = conversations.withColumn("part", F.monotonically_increasing_id())
+    return log.select("conv_id", "turn", "part", "role", F.explode(F.concat(before, streamed)).alias("e")).select(
+        "conv_id", "turn", "part", F.struct("turn", "e.attempt", "e.place").alias("seq"), "e.kind", "role", "e.text"
     )
 
 
@@ -37,7 +47,7 @@ def fold(log: DataFrame) -> DataFrame:
     replaced) or ``regenerate`` (its turn starts again, empty). An edit or regeneration also takes
     back every later turn written before it, as that branch of the conversation is left. So an
     event counts if its seq is not below the last edit or regeneration of its own or any earlier
-    turn. The role is that of the last event with one, counted or not. Events of equal seq are added in the
+    turn. ``seq`` may be of any ordered type. The role is that of the last event with one, counted or not. Events of equal seq are added in the
     order of their texts; null text is empty, a null seq comes first, an unknown kind is a delta.
 
     A conversation of any length is folded turn by turn: only one row per turn takes part in the
