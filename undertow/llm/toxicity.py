@@ -216,9 +216,6 @@ def score(
     place = F.pmod(F.xxhash64(F.lit("toxic"), F.col(key)), F.lit(1 << 30))
     share = min(1.0, sample_docs / max(1, taught.count()))
     picked = taught.where(place < int(share * (1 << 30))).withColumnRenamed(key, "_id")
-    picked = pin(picked, "toxicity")
-    if picked.count() <= 2 * sample_docs:  # a bounded table goes to the texts, which stay where they are
-        picked = F.broadcast(picked)
     sample = documents.join(picked, F.col(key) == F.col("_id")).where("text is not null")
     sample = pin(sample.select(key, "text", F.when(F.col("label") > 0, 1).otherwise(0).alias("label")), "toxicity")
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
