@@ -138,3 +138,45 @@ def test_importance_agrees_with_trees_in_memory(spark):
     for k in keys:
         assert got[k] == pytest.approx((importance[k], best[k])), depth[k]
     assert {(r["host"], r["node"], r["mark"]): r["importance"] for r in found.collect()} == pytest.approx(contents)
+
+
+def test_each_style_of_a_branch_is_one_mean(spark):
+    """By style: a branch's lower part weighs the mean of every style with how often the style occurs, computed without Spark."""
+    random.seed(9)
+    parts = ["<p>one</p>", "<p>two {i}</p>", "<div><p>three</p><p>{i}</p></div>", "text {j}", "<ul><li>a<li>b {i}<li>c</ul>"]
+    bodies = ["".join(random.choice(parts).format(i=i, j=i % 3) for _ in range(random.choice([0, 1, 1, 9]))) for i in range(40)]
+    bodies[0] = "<nav>n</nav><p>one</p>"
+    count, up, inside, blocks, said, pages = Counter(), {}, defaultdict(Counter), Counter(), defaultdict(Counter), Counter()
+    name = lambda e: (e.path, page.bound(e))
+    for i, source in enumerate(bodies):
+        page = extract.Page(source)
+        for e in page.elements:
+            count[name(e), tuple(e.children)] += 1
+            if e.up is not None:
+                up[name(e)] = name(e.up)
+                inside[name(e.up), tuple(e.up.children)][name(e)] += 1
+        pages.update({name(e) for e in page.elements})
+        for e, text in page.blocks:
+            blocks[name(e), tuple(e.children)] += 1
+            said[name(e), text][i] += 1
+    entropy = lambda c, most: 0.0 if most < 2 else min(1.0, -sum(n / sum(c) * math.log(n / sum(c)) for n in c) / math.log(most))
+    importance = {}
+    for node in sorted({n for n, _ in count}, key=lambda n: -n[0].count("/")):
+        own = [1 - entropy(c.values(), pages[node]) for (n, _), c in said.items() if n == node]
+        styles = {s: n for (m, s), n in count.items() if m == node}
+        lower = 0.0
+        for style, n in styles.items():
+            found, k = inside[node, style], inside[node, style].total() + blocks[node, style]
+            total = sum(importance[c] * m for c, m in found.items()) + (sum(own) / len(own) * blocks[node, style] if own else 0)
+            lower += n * (total / k if k else 0) / sum(styles.values())
+        weight = extract.DECAY ** len(styles)
+        shown = 1.0 if sum(styles.values()) == 1 else entropy(styles.values(), sum(styles.values()))
+        importance[node] = (1 - weight) * shown + weight * lower if node[1] is None else float(node[1])
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(list(enumerate(bodies)), "page_id bigint, html string")
+    picked = frame.select(F.monotonically_increasing_id().alias("id"), F.struct("page_id").alias("row"), F.lit("h").alias("host"), "html")
+    dom = extract.doms(picked)
+    tree = {r["node"]: r["importance"] for r in extract.style_tree(dom, by_style=True)[0].collect()}
+    assert tree == pytest.approx({extract.signed("|".join(map(str, n))): v for n, v in importance.items()})
+    assert tree != pytest.approx({r["node"]: r["importance"] for r in extract.style_tree(dom)[0].collect()})

@@ -219,18 +219,28 @@ class Page:
         return 0 if element.noise else 1 if element.inside else 0 if self.marked else None
 
 
-_STYLE = "array<struct<node: bigint, up: bigint, depth: int, bound: int, style: bigint, n: bigint, first: int>>"
+_STYLE = (
+    "array<struct<node: bigint, up: bigint, depth: int, bound: int, style: bigint, upper: bigint, n: bigint, blocks: bigint, first: int>>"
+)
 _BLOCK = "array<struct<node: bigint, mark: bigint, text: string>>"
 _FIELDS = f"styles {_STYLE}, marks array<struct<node: bigint, mark: bigint, bound: int, n: bigint>>, blocks {_BLOCK}"
 
 
 def page_rows(source: bytes | None) -> tuple[list[dict], list[dict], list[dict]]:
-    """A page's (styles, marks, blocks): its elements by node of the style tree and sequence of children, the
-    contents of its blocks with their number, and the blocks. Text that the page marks as no article is left out."""
+    """A page's (styles, marks, blocks): its elements by node of the style tree, sequence of children (their style) and style of the
+    element they stand in (``upper``), with the number of blocks in them; the contents of its blocks with their number; and the
+    blocks. Text that the page marks as no article is left out."""
     page = Page((source or b"").decode("utf-8", "replace"))
     node: dict[int, int] = {}
     up: dict[int, tuple[int | None, int, int | None]] = {}
-    styles: Counter[tuple[int, int]] = Counter()
+    style: dict[int, int] = {}
+    styles: Counter[tuple[int, int, int | None]] = Counter()
+    held: Counter[tuple[int, int, int | None]] = Counter()
+
+    def kind(e: Element) -> tuple[int, int, int | None]:
+        number = node[id(e)]
+        return number, style[id(e)], None if e.up is None or e.depth >= DEEPEST else style[id(e.up)]
+
     for e in page.elements:
         bound = page.bound(e)
         node[id(e)] = number = signed(f"{e.path}|{bound}")
@@ -239,11 +249,15 @@ def page_rows(source: bytes | None) -> tuple[list[dict], list[dict], list[dict]]
             up.setdefault(number, (above, e.depth, bound))
         else:
             up.setdefault(number, (None, DEEPEST, bound))
-        styles[number, signed(" ".join(e.children))] += 1
+        style[id(e)] = signed(" ".join(e.children))
+        styles[kind(e)] += 1
+    for e, _ in page.blocks:
+        held[kind(e)] += 1
     seen, rows = set(), []
-    for (number, style), n in styles.items():
+    for (number, own, upper), n in styles.items():
         above, depth, bound = up[number]
-        rows.append(dict(node=number, up=above, depth=depth, bound=bound, style=style, n=n, first=int(number not in seen)))
+        row = dict(node=number, up=above, depth=depth, bound=bound, style=own, upper=upper, n=n)
+        rows.append(row | dict(blocks=held[number, own, upper], first=int(number not in seen)))
         seen.add(number)
     marks: Counter[tuple[int, int, int | None]] = Counter()
     blocks = []
@@ -279,7 +293,7 @@ def _entropy(total: Column, weighted: Column, most: Column) -> Column:
     return F.when(most > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.ln(total) - weighted / total) / F.ln(most)))).otherwise(0.0)
 
 
-def style_tree(dom: DataFrame) -> tuple[DataFrame, DataFrame]:
+def style_tree(dom: DataFrame, by_style: bool = False) -> tuple[DataFrame, DataFrame]:
     """The style trees of all hosts: nodes (host, node, importance, best) and contents (host, node, mark, importance).
 
     Presentation: a node that has the same children wherever it occurs says nothing, one whose pages all
@@ -288,11 +302,23 @@ def style_tree(dom: DataFrame) -> tuple[DataFrame, DataFrame]:
     to the number of its styles. What the pages mark as article or as none is bound to 1 or 0: entropy cannot tell an advert
     that changes from page to page from an article that does. ``best`` is the greatest importance in a branch.
 
+    ``by_style`` takes the lower levels as the site style tree does: a style's importance is the mean over what stands in it, a
+    branch's the mean of its styles by how often each occurs, so a style with many parts counts for no more than one with
+    few. The last level is one leaf with all that lies deeper. Without it all that stands in a branch is one mean, whichever
+    style it stands in.
+
     Pages are summed up before they move, and all sums are taken by Spark per host, node and style or block, so
     a host with a third of all pages is a third of the additions and never one group in a task.
     """
-    styles = dom.select("host", F.inline("styles")).groupBy("host", "node", "up", "depth", "bound", "style")
-    styles = styles.agg(F.sum("n").alias("n"), F.sum("first").alias("pages"))
+    counts = [F.sum("n").alias("n"), F.sum("blocks").alias("blocks"), F.sum("first").alias("pages")]
+    styles = dom.select("host", F.inline("styles"))
+    if by_style:
+        uses = pin(styles.groupBy("host", "node", "up", "depth", "bound", "style", "upper").agg(*counts), "uses")
+        styles = uses.withColumnRenamed("pages", "first")
+        # Only a branch that is bound to nothing has its importance from its styles.
+        parted = pin(uses.where("bound is null").groupBy("host", "node", "depth", "style").agg(F.sum("n").alias("n"), F.sum("blocks").alias("blocks")), "parted")
+        placed = pin(uses.groupBy("host", "node", "up", "depth", "upper").agg(F.sum("n").alias("n")), "placed")
+    styles = styles.groupBy("host", "node", "up", "depth", "bound", "style").agg(*counts)
     log = F.col("n") * F.ln("n")
     nodes = styles.groupBy("host", "node", "up", "depth", "bound").agg(
         F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.count("*").alias("styles"), F.sum(log).alias("logs")
@@ -306,7 +332,7 @@ def style_tree(dom: DataFrame) -> tuple[DataFrame, DataFrame]:
     contents = pin(contents.select("host", "node", "bound", "mark", "total", said.alias("importance")), "contents")
     own = contents.groupBy("host", "node").agg(F.avg("importance").alias("said"), F.sum("total").alias("blocks"))
     nodes = pin(nodes.join(own, ["host", "node"], "left"), "nodes")
-    below, done = None, []
+    below, inside, done = None, None, []
     for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
         level = nodes.where(F.col("depth") == depth)
         if below is None:
@@ -315,8 +341,17 @@ def style_tree(dom: DataFrame) -> tuple[DataFrame, DataFrame]:
             level = level.join(below, ["host", "node"], "left")
         parts = F.coalesce("parts", F.lit(0)) + F.coalesce("blocks", F.lit(0))
         lower = F.coalesce("under", F.lit(0.0)) + F.coalesce(F.col("said") * F.col("blocks"), F.lit(0.0))
+        mean = F.when(parts > 0, lower / parts).otherwise(0.0)
+        if by_style and depth < DEEPEST - 1:
+            part = parted.where(F.col("depth") == depth).join(own.select("host", "node", "said"), ["host", "node"], "left")
+            if inside is None:
+                part = part.withColumns({"under": F.lit(0.0), "parts": F.lit(0)})
+            else:
+                part = part.join(inside, ["host", "node", "style"], "left")
+            means = part.groupBy("host", "node").agg((F.sum(F.col("n") * mean) / F.sum("n")).alias("mean"))
+            level, mean = level.join(means, ["host", "node"], "left"), F.coalesce("mean", F.lit(0.0))
         weight = F.pow(F.lit(DECAY), F.col("styles"))
-        mixed = (1 - weight) * F.col("shown") + F.when(parts > 0, weight * lower / parts).otherwise(0.0)
+        mixed = (1 - weight) * F.col("shown") + weight * mean
         level = level.withColumn("importance", F.coalesce(F.col("bound").cast("double"), mixed))
         best = F.when(F.col("bound") == 0, 0.0).otherwise(F.greatest("importance", "most"))
         level = pin(level.select("host", "node", "up", "n", "importance", best.alias("best")), "level")
@@ -324,6 +359,12 @@ def style_tree(dom: DataFrame) -> tuple[DataFrame, DataFrame]:
         below = level.where("up is not null").groupBy("host", F.col("up").alias("node")).agg(
             F.sum(F.col("n") * F.col("importance")).alias("under"), F.sum("n").alias("parts"), F.max("best").alias("most")
         )
+        if by_style:
+            inside = placed.where((F.col("depth") == depth) & F.col("up").isNotNull())
+            inside = inside.join(level.select("host", "node", "up", "importance"), ["host", "node", "up"])
+            inside = inside.groupBy("host", F.col("up").alias("node"), F.col("upper").alias("style")).agg(
+                F.sum(F.col("n") * F.col("importance")).alias("under"), F.sum("n").alias("parts")
+            )
     tree = done[0]
     for level in done[1:]:
         tree = tree.union(level)
@@ -350,7 +391,7 @@ def extract(pages: DataFrame, key: str = "page_id", threshold: float = THRESHOLD
         F.col("html").cast("string").alias("html"),
     )
     dom = pin(doms(picked), "doms", compression="zstd")
-    tree, contents = style_tree(dom)
+    tree, contents = style_tree(dom, by_style=True)
     # A branch that its pages bind to 0 has left its text behind already, and one bound to 1 stays: pages that
     # say so of all their blocks are done, and only the others meet the tree again.
     open_ = F.exists("marks", lambda m: m["bound"].isNull())
