@@ -141,3 +141,19 @@ def test_scenarios_that_cannot_run_say_why(spark, rows):
         ("c", "needs a column"),
         ("d", "unknown kind of fault"),
     ]
+
+
+def test_steps_are_found_once_however_often_they_are_read(spark, monkeypatch):
+    """Names and links read the steps from where they were written, not from the tables of the estate again."""
+    plans, pin = {}, impact.pin
+
+    def watched(df, label="round", compression=None):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return pin(df, label, compression)
+
+    monkeypatch.setattr(impact, "pin", watched)
+    g = graph(spark, [asset("r"), asset("a"), asset("b", how="view")], [("r", "a"), ("a", "b")], [("r", "x", "a", "x")], [("a", "x"), ("b", "y")])
+    got = broken(g, faults(spark, ("s", "drop_column", "r", "x", 0)))
+    assert got == {"a": 5, "b": 5}
+    assert "LogicalRDD" in plans["wave"] or "LocalRelation" in plans["wave"]
+    assert "LogicalRDD" not in plans["links"] and "LocalRelation" not in plans["links"]
