@@ -157,3 +157,40 @@ def test_steps_are_found_once_however_often_they_are_read(spark, monkeypatch):
     assert got == {"a": 5, "b": 5}
     assert "LogicalRDD" in plans["wave"] or "LocalRelation" in plans["wave"]
     assert "LogicalRDD" not in plans["links"] and "LocalRelation" not in plans["links"]
+
+
+def test_events_by_number_say_what_events_by_name_say(spark, rows):
+    """Scenarios of several faults, an asset that is described twice, an owner who is named twice."""
+    g = graph(
+        spark,
+        [asset("r"), asset("a", tier="tier1", how="view"), asset("a"), asset("b", cadence="hourly"), asset("c", "dashboard"), asset("e")],
+        [("r", "a"), ("a", "b"), ("a", "c"), ("b", "e")],
+        column_edges=[("r", "x", "a", "x"), ("a", "x", "b", "y")],
+        columns=[("a", "x"), ("b", "y")],
+        owners=[("a", "ann"), ("a", "ann"), ("b", "ann"), ("b", "bo"), ("c", "bo")],
+    )
+    told = [("s", "drop_asset", "r", None, 10), ("s", "stop_new_rows", "r", "x", 70), ("t", "null_out_column", "r", "x", 0), ("u", "drop_asset", "a", None, 5)]
+    f = faults(spark, *told)
+    by_name = impact.events(impact.propagate(g, f))
+    damage = impact.spread_out(g, f)
+    by_number = damage.events()
+    named = impact.by_name(impact.by_name(by_number, "scenario", damage.names("scenario")), "asset", damage.names("asset"))
+    columns = ["scenario", "impact", "asset", "offset_minutes"]
+    assert rows(named.select(columns)) == rows(by_name.select(columns)) != []
+    pages, numbered = impact.paging(g, by_name), impact.paging(g, by_number, damage=damage)
+    assert rows(impact.named_pages(numbered, damage)) == rows(pages)
+    alone, orphans = impact.unowned(g, by_name), impact.unowned(g, by_number, damage=damage)
+    assert rows(impact.by_name(impact.by_name(orphans, "scenario", damage.names("scenario")), "asset", damage.names("asset"))) == rows(alone) != []
+    load = impact.by_name(impact.load(numbered, orphans), "scenario", damage.names("scenario"))
+    assert rows(load) == rows(impact.load(pages, alone))
+
+
+def test_names_that_only_others_have_get_numbers_of_their_own(spark):
+    names = spark.createDataFrame([("a", 4), ("b", 6)], "name string, number bigint")
+    seen = spark.createDataFrame([("a",), ("z",), ("z",), (None,), ("y",)], "asset string")
+    more = impact.with_more(names, seen, "asset")
+    numbers = {r["name"]: r["number"] for r in more.collect()}
+    assert set(numbers) == {"a", "b", "y", "z"} and (numbers["a"], numbers["b"]) == (4, 6)
+    assert numbers["y"] < 0 and numbers["z"] < 0 and numbers["y"] != numbers["z"]
+    back = impact.by_name(impact.by_number(seen, "asset", more, "left"), "asset", more)
+    assert sorted(r["asset"] or "" for r in back.collect()) == ["", "a", "y", "z", "z"]

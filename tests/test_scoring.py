@@ -144,3 +144,21 @@ def test_scoring_twice_gives_the_same_rows(spark):
     first = run()
     assert quality.replays(first, run()).first()["same"]
     assert not quality.replays(first, first.withColumn("score", F.col("score") + 1)).first()["same"]
+
+
+def test_knockouts_by_number_are_those_by_name(spark, rows):
+    g = graph(
+        spark,
+        [asset("r"), asset("a"), asset("a", "chart"), asset("b", cadence="hourly"), asset("d", "dashboard"), asset("alone")],
+        [("r", "a"), ("a", "b"), ("b", "d"), ("r", "d")],
+        owners=[("a", "ann"), ("b", "ann"), ("b", "bo"), ("b", "bo")],
+    )
+    used = spark.createDataFrame([("a", 3, 1), ("b", 4, 1), ("d", 9, 2)], "asset string, queries bigint, users bigint")
+    ev, swept = knockout.sweep_events(g), knockout.sweep(g)
+    numbers = knockout.by_origin(swept)
+    lost = knockout.knockouts(g, ev)
+    assert rows(knockout.knockouts(g, numbers, swept)) == rows(lost)
+    got = {r["origin"]: r for r in lost.collect()}
+    assert (got["r"]["datasets_lost"], got["r"]["consumers_lost"], got["r"]["owners_paged"], got["r"]["unowned_lost"]) == (2, 2, 2, 1)
+    assert got["alone"]["consumers_lost"] == 0 and got["alone"]["first_consumer_minutes"] is None
+    assert rows(knockout.exposure(g, numbers, used, swept)) == rows(knockout.exposure(g, ev, used))
