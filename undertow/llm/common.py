@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from math import ceil
 
@@ -27,14 +29,26 @@ _HOLDER: list[Callable[[], None]] = []
 def hold(forget: Callable[[], None]) -> None:
     """Say that a worker process now remembers things that ``forget`` drops.
 
-    A worker is used again by the tasks of later jobs; it holds the memory of one operator at a time.
+    A worker is used again by the tasks of later jobs; it holds the memory of one operator at a time, and
+    what it drops goes back to the machine, which the engine shares with it.
     """
     if forget not in _HOLDER:
         for other in _HOLDER:
             other()
+        if _HOLDER:
+            give_back()
         _HOLDER[:] = [forget]
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the machine, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def read(spark, root: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, with the given columns only."""
     df = spark.read.parquet(f"{root}/{name}.parquet")
