@@ -100,3 +100,53 @@ def test_columns_of_any_name_are_carried(spark):
     assert [found[k]["text"] for k in (None, 1, 2)] == ["a b", "c", "d"]
     assert all((r["n_lines"], r["n_removed"], r["_gone"], r["row"]) == (8, "y", 7, 2) for r in found.values())
     assert [found[k]["n_removed_"] for k in (None, 1, 2)] == [0, 1, 1] and found[1]["n_lines_"] == 2
+
+
+def test_all_words_are_hashed_at_once():
+    """Equal words have equal hashes and others do not, whatever their length; lines and texts are told apart."""
+    random.seed(5)
+    some = [bytes(random.choices(b"ab\xc3\xa9019", k=k)) for k in [*range(1, 20), 24, 63, 64, 65, 72, 200] for _ in range(8)]
+    texts = [b"", b"\n\n", b" \n.", b"A\na\nB"]
+    for _ in range(200):
+        texts.append(b"".join(random.choice(some) + random.choice([b" ", b", ", b"\n", b"\t", b"\r\n", b"."]) for _ in range(30)))
+    want = [[line.split() for line in t.translate(lines._WORD_BYTES).split(b"\n")] for t in texts]
+    hashes, lengths, counts = lines.word_hashes(texts)
+    assert counts.tolist() == [len(w) for w in want]
+    assert lengths.tolist() == [len(f) for w in want for f in w]
+    named = list(zip((x for w in want for f in w for x in f), hashes.tolist(), strict=True))
+    assert len(set(named)) == len({w for w, _ in named}) == len({h for _, h in named})
+    ids = lines.line_ids(hashes, lengths[lengths > 0]).tolist()
+    both = set(zip((tuple(f) for w in want for f in w if f), ids, strict=True))
+    assert len(both) == len({f for f, _ in both}) == len({i for _, i in both})
+    assert [len(c) for c in lines.word_hashes([])] == [0, 0, 0]
+
+
+def test_postings_travel_many_in_a_row(spark, docs):
+    """A task sends a row for each bucket of tokens and not for each token; none is lost."""
+    frame = docs(corpus(1)).coalesce(2)
+    survey = lines._survey(lines._identified(frame, "doc_id"))
+    rarity, words = lines._rarity(survey)
+    assert words == sum(len(WORD.findall(line.lower().encode())) for text in corpus(1) for line in text.split("\n"))
+    sent = lines._postings(lines._identified(frame, "doc_id"), rarity, 0.8, 8).collect()
+    assert len(sent) <= 16 and {r["bucket"] for r in sent} == set(range(8))
+    found = {tuple(row) for r in sent for row in np.frombuffer(r["postings"], np.int64).reshape(-1, 5)[:, :2].tolist()}
+    distinct = {tuple(WORD.findall(line.lower().encode())) for text in corpus(1) for line in text.split("\n")}
+    assert len(found) == sum(int(lines.prefix_length(len(set(f)))) for f in distinct)
+
+
+@pytest.mark.parametrize("limit, held", [(4096, 1 << 20), (3, 1 << 20), (3, 5), (4096, 5)])
+def test_buckets_in_many_batches(spark, docs, monkeypatch, limit, held):
+    """Buckets that come piece by piece, tokens that turn out to be crowded on the way, and pairs put out early."""
+    texts = corpus(9)
+    want = dict(brute(list(enumerate(texts))))
+    monkeypatch.setattr(lines, "LIMIT", limit)
+    for name, value in (("_HELD", held), ("_TRIED", 50), ("_BUCKET_WORDS", 2000), ("_SENT", 1)):
+        monkeypatch.setattr(lines, name, value)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        got = {r["doc_id"]: r["text"] for r in lines.dedup(docs(texts).repartition(3)).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == want

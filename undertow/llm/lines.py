@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,24 +14,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import pin
-from .common import hold, numbered, portions, ranges, run_starts
+from .common import hold, portions, ranges, run_starts
 
 SIMILARITY = 0.8
 #: A token in more than LIMIT prefixes, or with more than CROWDED candidate pairs per prefix, compares its
 #: lines with its earliest one first.
 LIMIT, CROWDED = 4096, 8
-#: Counters of token frequencies, and tokens in the memory of a worker.
-COUNTERS, REMEMBERED = 1 << 18, 250_000
+#: Counters of token frequencies.
+COUNTERS = 1 << 18
 _PARTS = 16
+#: Words for each bucket of tokens, and buckets at most; postings that a task sends at a time at least.
+_BUCKET_WORDS, _MOST_BUCKETS, _SENT = 1 << 16, 1 << 15, 1 << 17
+#: Postings of a bucket in memory before those of crowded tokens are put out; sizes of lines are told apart up to the largest.
+_HELD, _LARGEST = 1 << 20, (1 << 16) - 1
 #: Pairs of postings that a task looks at at a time.
 _TRIED = 200_000
 #: Bits of the filter of needed lines for each of them, and at most: beyond, more sets are sent than needed.
 _NEEDED_BITS, _MOST_BITS = 16, 1 << 27
 #: Line ids that a task remembers, so as not to send a line twice.
 _SEEN = 1_000_000
-#: Candidates of a line that are looked at in the first rounds, and rounds in which the earliest line of a crowded token
-#: is compared with the others.
-TURNS, PIVOTS = (1, 3), 4
+#: Rounds in which the earliest line of a crowded token is compared with the others, and the share of the rest that
+#: a round must decide for another to follow.
+PIVOTS, WORTH = 4, 0.1
 # Words are runs of digits, letters a-z and bytes above 0x7F, after lower-casing A-Z; lines stay apart.
 _WORD_BYTES = bytes(
     i + 32 if 65 <= i <= 90 else i if i == 10 or 48 <= i <= 57 or 97 <= i <= 122 or i > 127 else 32
@@ -40,35 +45,55 @@ _WORD_BYTES = bytes(
 HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
-class Hashes(dict):
-    """64-bit hashes of words, each computed once."""
+#: Bytes of a word that are read at a time, and of a word beyond which it is hashed by itself.
+_STEP, _LONG = 8, 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(_STEP + 1)], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _nothing() -> None:
+    """What this operator remembers in a worker: nothing (see :func:`hold`)."""
 
-_HASHES = Hashes()
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit values, each bit spread over all; different ones stay different."""
+    values = (values ^ values >> np.uint64(30)) * _ODD[1]
+    values = (values ^ values >> np.uint64(27)) * _ODD[2]
+    return values ^ values >> np.uint64(31)
 
-def token_hashes(found: list[bytes]) -> np.ndarray:
-    hold(_HASHES.clear)
-    if len(_HASHES) > REMEMBERED:
-        _HASHES.clear()
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts; the number of words of each line, and of lines of each text.
 
-def line_words(text: bytes) -> list[list[bytes]]:
-    """The words of each line of a text; lines end at line feeds."""
-    return [line.split() for line in text.translate(_WORD_BYTES).split(b"\n")]
+    Lines end at line feeds. All words take their next eight bytes at once: different words of one length up to eight have
+    different hashes, and others with the chance of 64 random bits.
+    """
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    data = b"".join([b" ", b"\n".join(texts).translate(_WORD_BYTES), b" " * _STEP])
+    found = np.frombuffer(data, np.uint8)
+    inside = found > 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.append(np.searchsorted(starts, np.flatnonzero(found == 10)), len(starts))
+    words = np.lib.stride_tricks.as_strided(found[:_STEP].view("<u8"), (len(data) - _STEP + 1,), (1,))
+    hashes = _mixed(sizes.astype(np.uint64) * _ODD[0] ^ words[starts] & _MASKS[np.minimum(sizes, _STEP)])
+    left = np.flatnonzero(sizes > _STEP)
+    for at in range(_STEP, _LONG, _STEP):
+        left = left[sizes[left] > at]
+        if not len(left):
+            break
+        hashes[left] = _mixed(hashes[left] * _ODD[0] ^ words[starts[left] + at] & _MASKS[np.minimum(sizes[left] - at, _STEP)])
+    for i in np.flatnonzero(sizes > _LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
+    return hashes, np.diff(ends, prepend=0), np.array([t.count(b"\n") + 1 for t in texts], np.int64)
 
 
-def line_id(found: list[bytes]) -> int | None:
-    """A signed 64-bit hash of a line's words in order; None for a line without words."""
-    if not found:
-        return None
-    value = xxhash.xxh3_64_intdigest(b" ".join(found))
-    return value - (1 << 64) if value >= 1 << 63 else value
+def line_ids(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of the words in order, for each line; every line has a word."""
+    place = np.arange(len(hashes)) - np.repeat(run_starts(lengths), lengths)
+    placed = _mixed(hashes + (place + 1).astype(np.uint64) * _ODD[0])
+    return _mixed(np.add.reduceat(placed, run_starts(lengths)) if len(lengths) else placed).view(np.int64)
 
 
 def prefix_length(size: int | np.ndarray, similarity: float = SIMILARITY):
@@ -76,17 +101,15 @@ def prefix_length(size: int | np.ndarray, similarity: float = SIMILARITY):
     return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
 
 
-def ordered_sets(found: list[list[bytes]], rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct token hashes of every line, the rarest first, one line after another; and set sizes."""
-    lengths = np.array([len(f) for f in found], np.int64)
-    hashes = token_hashes([w for f in found for w in f])
-    line = np.repeat(np.arange(len(found), dtype=np.uint64), lengths)
+def ordered_sets(hashes: np.ndarray, lengths: np.ndarray, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct token hashes of every line, the rarest first, one line after another; and set sizes. At most 2 ** 16 lines."""
+    line = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
     level = rarity[hashes & np.uint64(COUNTERS - 1)].astype(np.uint64)
     order = np.argsort(line << np.uint64(48) | level << np.uint64(42) | hashes >> np.uint64(22))
     hashes, line = hashes[order], line[order]
     fresh = np.ones(len(hashes), bool)
     fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
-    return hashes[fresh], np.bincount(line[fresh].astype(np.int64), minlength=len(found))
+    return hashes[fresh], np.bincount(line[fresh].astype(np.int64), minlength=len(lengths))
 
 
 def _identified(documents: DataFrame, key: str) -> DataFrame:
@@ -101,14 +124,16 @@ def _survey(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
+        hold(_nothing)
         for docs_, texts in (p for batch in batches for p in portions(batch)):
-            found = [line_words(t or b"") for t in texts]
-            hashes = token_hashes([w for lines_ in found for f in lines_ for w in f])
+            hashes, lengths, counts = word_hashes([t or b"" for t in texts])
             total += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            ids, n = [[line_id(f) for f in lines_] for lines_ in found], len(texts)
+            ids, n = np.zeros(len(lengths), np.int64), len(texts)
+            ids[lengths > 0] = line_ids(hashes, lengths[lengths > 0])
+            ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+            ids = pa.ListArray.from_arrays(ends, pa.array(ids, mask=lengths == 0))
             yield pa.RecordBatch.from_arrays(
-                [docs_, pa.array(ids, pa.list_(pa.int64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                names=names,
+                [docs_, ids, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names
             )
         if total.any():
             parts = [p.astype("<u8").tobytes() for p in np.split(total, _PARTS)]
@@ -132,8 +157,8 @@ def _survey(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _rarity(survey: DataFrame) -> np.ndarray:
-    """The logarithm of each counter. Counters are added up in two steps; their number is fixed."""
+def _rarity(survey: DataFrame) -> tuple[np.ndarray, int]:
+    """The logarithm of each counter, and the words of all. Counters are added up in two steps; their number is fixed."""
     counters = survey.where("part is not null").select("part", "salt", "counts")
 
     def add(rows):
@@ -144,50 +169,79 @@ def _rarity(survey: DataFrame) -> np.ndarray:
     some = counters.groupBy("part", "salt").applyInPandas(add, kind)
     parts = {r["part"]: r["counts"] for r in some.groupBy("part").applyInPandas(add, kind).collect()}
     if not parts:
-        return np.zeros(COUNTERS, np.uint8)
+        return np.zeros(COUNTERS, np.uint8), 0
     total = np.concatenate([np.frombuffer(parts[i], "<u8") for i in range(_PARTS)])
-    return np.floor(np.log2(total + 1.0) * 1.5).clip(0, 63).astype(np.uint8)
+    return np.floor(np.log2(total + 1.0) * 1.5).clip(0, 63).astype(np.uint8), int(total.sum())
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[list[list[bytes]]]:
-    """The words of lines that have some, a bounded number of lines at a time."""
+def _chunks(batches: Iterator[pa.RecordBatch], room: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, hashes of words, words per line) of lines that have some, a bounded number of lines at a time."""
+    hold(_nothing)
     for _, texts in (p for batch in batches for p in portions(batch)):
-        held = [f for text in texts for f in line_words(text or b"") if f]
-        for at in range(0, len(held), room):
-            yield held[at : at + room]
+        hashes, lengths, _ = word_hashes([t or b"" for t in texts])
+        lengths = lengths[lengths > 0]
+        ids, ends = line_ids(hashes, lengths), np.append(0, np.cumsum(lengths))
+        for at in range(0, len(ids), room):
+            part = slice(at, at + room)
+            yield ids[part], hashes[ends[at] : ends[min(at + room, len(ids))]], lengths[part]
+
+
+def _picked(hashes: np.ndarray, lengths: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and lengths of some of the lines, whose numbers ascend."""
+    return hashes[ranges(run_starts(lengths)[lines], lengths[lines])], lengths[lines]
+
 
+def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float, buckets: int) -> DataFrame:
+    """(bucket, postings): the prefix of each line, once per line text and task.
 
-def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float) -> DataFrame:
-    """(token, id, meta, sign, more): the prefix of each line, once per line text and task; see :func:`_fits`."""
+    A posting is (token, id, meta, sign, more), see :func:`_fits`; a token is the upper 48 bits of a hash. Postings are sent by the
+    bucket of their token, many in one row: what a task found in a few megabytes of texts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         seen: set[int] = set()
-        for chunk in _chunks(batches):
-            ids = [line_id(f) for f in chunk]
+        for ids, hashes, lengths in _chunks(batches):
             if len(seen) > _SEEN:
                 seen.clear()
-            new = [i for i, x in enumerate(ids) if not (x in seen or seen.add(x))]
-            if not new:
+            new = np.array([i for i, x in enumerate(ids.tolist()) if not (x in seen or seen.add(x))], np.int64)
+            if not len(new):
                 continue
-            hashes, sizes = ordered_sets([chunk[i] for i in new], shared.value)
+            hashes, sizes = ordered_sets(*_picked(hashes, lengths, new), shared.value)
             n = prefix_length(sizes, similarity)
             place = np.arange(int(n.sum())) - np.repeat(run_starts(n), n)
             kind = hashes >> np.uint64(20) & np.uint64(127)
             bits = np.uint64(1) << (kind & np.uint64(63))
             signs = [np.where(kind >> np.uint64(6) == half, bits, np.uint64(0)) for half in (0, 1)]
             signs = [np.bitwise_xor.reduceat(b, run_starts(sizes)).view(np.int64) for b in signs]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hashes[np.repeat(run_starts(sizes), n) + place].view(np.int64)),
-                    pa.array(np.repeat(np.array(ids, np.int64)[new], n)),
-                    pa.array(np.repeat(sizes, n) << 32 | place),
-                    *[pa.array(np.repeat(sign, n)) for sign in signs],
-                ],
-                names=["token", "id", "meta", "sign", "more"],
-            )
+            found = np.empty((len(place), 5), np.int64)
+            found[:, 0] = hashes[np.repeat(run_starts(sizes), n) + place] >> np.uint64(16)
+            for i, column in enumerate([ids[new], sizes << 32, *signs], 1):
+                found[:, i] = np.repeat(column, n)
+            found[:, 2] |= place
+            yield found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _gathered(prefixes(batches), max(_SENT, 32 * buckets)):
+            found = found[np.argsort(found[:, 0])]
+            bucket, first = np.unique(found[:, 0] * buckets >> 48, return_index=True)
+            ends = pa.py_buffer((np.append(first, len(found)) * found.itemsize * 5).astype(np.int32))
+            packed = pa.Array.from_buffers(pa.binary(), len(bucket), [None, ends, pa.py_buffer(found)])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), packed], names=["bucket", "postings"])
+
+    return docs.select(F.lit(0), "text").mapInArrow(run, "bucket int, postings binary")
+
 
-    return docs.select("doc", "text").mapInArrow(run, "token bigint, id bigint, meta bigint, sign bigint, more bigint")
+def _gathered(parts: Iterator[np.ndarray], room: int) -> Iterator[np.ndarray]:
+    """The rows of all parts in pieces of some ``room`` rows."""
+    held: list[np.ndarray] = []
+    for part in parts:
+        held.append(part)
+        if sum(map(len, held)) >= room:
+            yield np.concatenate(held)
+            held = []
+    if held:
+        yield np.concatenate(held)
 
 
 def _size(meta):
@@ -216,13 +270,13 @@ def _fits(x, y, x_signs, y_signs, similarity: float, least=np.minimum, ceil=np.c
     return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed) & alike
 
 
-def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int) -> DataFrame:
-    """One shuffle of the postings by token: candidate pairs, and the postings of crowded tokens.
+def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int, buckets: int) -> DataFrame:
+    """One shuffle of the postings by bucket of their token: candidate pairs, and the postings of crowded tokens.
 
     Rows are (a, b) with a < b for lines that met at a token and fit each other, and (a = id, token,
     meta, sign, more) for each posting of a crowded token: one with over ``limit`` postings, or with more
-    than ``crowded`` fitting pairs per posting. Tokens stream past in order, each with its lines by
-    size, so a line is only tried with lines of fitting size; a task holds ``limit`` postings and a
+    than ``crowded`` fitting pairs per posting. Buckets stream past in order; a line is only tried with lines of fitting
+    size. A task holds a bucket, of whose crowded tokens it keeps none, and a
     batch, and what it puts out is bounded by a multiple of what it reads.
     """
 
@@ -241,7 +295,7 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
 
     def large(ids, meta, signs):
         """Pairs of one token; None if they are too many."""
-        size = _size(meta)
+        size = np.minimum(_size(meta), _LARGEST)
         end = np.searchsorted(size, size / similarity + 1e-6, "right")
         width, here = end - np.arange(len(ids)) - 1, np.arange(len(ids))
         cuts = np.unique(np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + _TRIED, _TRIED)))
@@ -260,55 +314,91 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int)
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([none if c is None else pa.array(c) for c in columns], names=names)
 
-    def settle(token, ids, meta, signs, crowd):
-        """Output of whole tokens; ``crowd`` is a token already known to be crowded."""
+    def once(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Pairs that met at several tokens, once."""
+        a, b = (np.concatenate(c) for c in zip(*pairs))
+        order = np.argsort(_mixed(a.view(np.uint64)) + b.view(np.uint64))
+        a, b = a[order], b[order]
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+        return rows(a[fresh], b[fresh])
+
+    def in_order(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Postings by token and size; where each token begins, and how many it has."""
+        found = found[np.argsort(found[:, 0] << 16 | np.minimum(_size(found[:, 2]), _LARGEST))]
+        token = found[:, 0]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(first, len(token)))
-        few = size <= min(16, limit)
-        if crowd is not None:
-            few &= token[first] != crowd
-        found = list(small(ids, meta, signs, first[few], size[few]))
-        for at, n in zip(first[~few], size[~few]):
+        return found, first, np.diff(np.append(first, len(token)))
+
+    def settle(found: np.ndarray, crowd: np.ndarray):
+        """Output of whole buckets; ``crowd`` are the tokens already known to be crowded."""
+        found, first, size = in_order(found)
+        token, ids, meta, *signs = (np.ascontiguousarray(c) for c in found.T)
+        known = np.isin(token[first], crowd)
+        few = (size <= min(16, limit)) & ~known
+        pairs, n_pairs = [], 0
+        for met in small(ids, meta, signs, first[few], size[few]):
+            pairs.append(met)
+            n_pairs += len(met[0])
+            if n_pairs > _TRIED:
+                yield once(pairs)
+                pairs, n_pairs = [], 0
+        for at, n, many in zip(first[~few], size[~few], ((size > limit) | known)[~few]):
             part = slice(at, at + n)
-            pairs = None if n > limit or token[at] == crowd else large(ids[part], meta[part], [s[part] for s in signs])
-            if pairs is None:
+            met = None if many else large(ids[part], meta[part], [s[part] for s in signs])
+            if met is None:
                 yield rows(ids[part], None, token[part], meta[part], *[s[part] for s in signs])
-            else:
-                found += pairs
-        if found:
-            both = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], 1), axis=0)
-            yield rows(both[:, 0], both[:, 1])
+                continue
+            pairs += met
+            n_pairs += sum(len(a) for a, _ in met)
+            if n_pairs > _TRIED:
+                yield once(pairs)
+                pairs, n_pairs = [], 0
+        if pairs:
+            yield once(pairs)
+
+    def shed(found: np.ndarray):
+        """Without the tokens that are crowded by now; and the postings of these."""
+        found, first, size = in_order(found)
+        many = np.repeat(size > limit, size)
+        return found[~many], found[many]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowd = [np.zeros(0, np.int64)] * 5, None
+        hold(_nothing)
+        held, crowd, room = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), _HELD
         for batch in batches:
-            token, ids, meta, *signs = (
-                np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)
-            )
-            if not len(token):
+            if not batch.num_rows:
                 continue
-            last = int(np.searchsorted(token, token[-1]))  # the last token may go on in the next batch
-            if len(token) - last > limit or token[-1] == crowd:
-                yield from settle(token, ids, meta, signs, crowd)
-                crowd, held = token[-1], [np.zeros(0, np.int64)] * 5
-            else:
-                if last:
-                    yield from settle(token[:last], ids[:last], meta[:last], [s[:last] for s in signs], crowd)
-                held = [c[last:] for c in (token, ids, meta, *signs)]
-        if len(held[0]):
-            yield from settle(*held[:3], held[3:], crowd)
+            bucket, packed = batch.column(0), batch.column(1).cast(pa.large_binary())
+            ends = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] // 40
+            found = np.frombuffer(packed.buffers()[2], np.int64)[: ends[-1] * 5].reshape(-1, 5)[ends[0] :]
+            bucket = bucket.to_numpy()
+            last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            ended = found[: ends[last] - ends[0]]
+            if len(held) and (last or held[0, 0] * buckets >> 48 != bucket[-1]):
+                ended, held = np.concatenate([held, ended]), held[:0]
+            if len(ended):
+                yield from settle(ended, crowd)
+                crowd, room = crowd[:0], _HELD
+            held = np.concatenate([held, found[ends[last] - ends[0] :]])
+            if len(held) > room:
+                held, gone = shed(held)
+                crowd, room = np.union1d(crowd, gone[:, 0]), max(_HELD, 2 * len(held))
+                if len(gone):
+                    yield rows(gone[:, 1], None, gone[:, 0], *gone[:, 2:].T)
+        if len(held):
+            yield from settle(held, crowd)
 
     names = ["a", "b", "token", "meta", "sign", "more"]
-    ordered = postings.repartition("token").sortWithinPartitions("token", "meta")
+    ordered = postings.repartition("bucket").sortWithinPartitions("bucket")
     return ordered.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
 def _pairs(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
-    """Distinct candidate pairs (x, y) of postings (num, token, meta, sign, more) that meet at a token, ``x`` the earlier line."""
-    met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.num") < F.col("y.num"))
+    """Distinct candidate pairs (x, y, first) of postings (id, first, token, meta, sign, more) that meet at a token, ``x`` the earlier line."""
+    met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.first") < F.col("y.first"))
     signs = [[F.col(f"{side}.sign"), F.col(f"{side}.more")] for side in ("x", "y")]
     met = met.where(_fits(F.col("x.meta"), F.col("y.meta"), *signs, similarity, F.least, F.ceil, F.bit_count))
-    return met.select(F.col("x.num").alias("x"), F.col("y.num").alias("y")).distinct()
+    return met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.first").alias("first")).distinct()
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -326,74 +416,71 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     for r in rows.collect():
         at = (r["bucket"] - 1) * 4096
         filter_[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    shared, alike = docs.sparkSession.sparkContext.broadcast(filter_), np.zeros(COUNTERS, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seen = shared.value, set()
-        for _, texts in (p for batch in batches for p in portions(batch)):
-            ids, sets = [], []
+        for ids, hashes, lengths in _chunks(batches):
             if len(seen) > _SEEN:
                 seen.clear()
-            for text in texts:
-                for f in line_words(text or b""):
-                    x = line_id(f)
-                    if x is not None and x not in seen:
-                        place = x % bits
-                        if held[place >> 3] >> (place & 7) & 1:
-                            seen.add(x)
-                            ids.append(x)
-                            sets.append(np.unique(token_hashes(f)).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"]
-            )
-
-    found = docs.select("doc", "text").mapInArrow(run, "id bigint, tokens array<bigint>")
+            place = ids & (bits - 1)
+            wanted = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            new = [i for i, x in zip(wanted.tolist(), ids[wanted].tolist()) if not (x in seen or seen.add(x))]
+            new = np.array(new, np.int64)
+            tokens, sizes = ordered_sets(*_picked(hashes, lengths, new), alike)
+            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            tokens = pa.ListArray.from_arrays(ends, pa.array(tokens.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[new]), tokens], names=["id", "tokens"])
+
+    found = docs.select(F.lit(0), "text").mapInArrow(run, "id bigint, tokens array<bigint>")
     return found.groupBy("id").agg(F.any_value("tokens").alias("tokens"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The later lines (y) of those candidate pairs (x, y) that match, by their whole sets (num, tokens)."""
-    both = pairs.join(sets.select(F.col("num").alias("x"), F.col("tokens").alias("s")), "x")
-    both = both.join(sets.select(F.col("num").alias("y"), F.col("tokens").alias("t")), "y")
+    """The later lines (y) of those candidate pairs (x, y) that match, by their whole sets (id, tokens)."""
+    both = pairs.select("x", "y").join(sets.select(F.col("id").alias("x"), F.col("tokens").alias("s")), "x")
+    both = both.join(sets.select(F.col("id").alias("y"), F.col("tokens").alias("t")), "y")
     shared = F.size(F.array_intersect("s", "t"))
     return both.where(shared >= (F.size("s") + F.size("t") - shared) * similarity - 1e-9).select("y").distinct()
 
 
-def _matched(pairs: DataFrame, sets: DataFrame, similarity: float, gone: DataFrame) -> DataFrame:
-    """``gone`` (y) with the lines that match an earlier one among their candidates (x, y).
+def _matched(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(y): the lines that match an earlier one among their candidates (x, y, first); ``first`` is where x stands.
 
-    One match decides a line, so its earliest candidate is looked at first, then a few, and only a line
-    that none of these decides meets all the others: sets are sent for the pairs of a round.
+    One match decides a line, so its earliest candidate is looked at first, and only a line
+    that this does not decide meets all the others: sets are sent for the pairs of a round.
     """
-    turn = F.row_number().over(Window.partitionBy("y").orderBy("x"))
-    pairs = pin(pairs.join(gone, "y", "left_anti").withColumn("turn", turn), "pairs")
-    first = 1
-    for last in (*TURNS, None):
-        some = pairs.where(F.col("turn") >= first if last is None else F.col("turn").between(first, last))
-        some = some.join(gone, "y", "left_anti")
-        gone = pin(gone.union(_verified(some.select("x", "y"), sets, similarity)), "matches")
-        first = 0 if last is None else last + 1
-    return gone
+    turn = F.row_number().over(Window.partitionBy("y").orderBy("first"))
+    pairs = pin(pairs.select("x", "y", turn.alias("turn")), "pairs")
+    gone = pin(_verified(pairs.where("turn = 1"), sets, similarity), "matches")
+    others = pin(pairs.where("turn > 1").join(gone, "y", "left_anti"), "pairs")
+    return gone if others.isEmpty() else pin(gone.union(_verified(others, sets, similarity)), "matches")
 
 
 def _crowds(crowd: DataFrame, sets: DataFrame, similarity: float, gone: DataFrame) -> DataFrame:
-    """``gone`` with the lines of crowded tokens (token, num, meta, sign, more) that match an earlier one there.
+    """``gone`` (y) with the lines of crowded tokens (token, id, first, meta, sign, more) that match an earlier one there.
 
     A few rounds compare the earliest undecided line of each token with the others, which
-    costs as many pairs as there are lines and decides crowds of near copies; what is left meets all that fit it.
+    costs as many pairs as there are lines and decides crowds of near copies. They end when a round decides few, and what is
+    left meets all that fit it.
     """
-    turn = crowd
+    undecided = gone.withColumnRenamed("y", "id")
+    turn = pin(crowd.join(undecided, "id", "left_anti"), "crowd")
+    sets, gone = pin(sets.join(crowd.select("id"), "id", "left_semi"), "sets"), [gone]
     for _ in range(PIVOTS):
-        turn = turn.join(gone, turn["num"] == gone["y"], "left_anti")
-        pivots = turn.groupBy("token").agg(F.min(F.struct("num", "meta", "sign", "more")).alias("p")).select("token", "p.*")
+        pivots = turn.groupBy("token").agg(F.min(F.struct("first", "id", "meta", "sign", "more")).alias("p")).select("token", "p.*")
         pivots = pin(pivots, "pivots")
-        if pivots.isEmpty():
+        gone.append(pin(_verified(_pairs(pivots, turn, similarity), sets, similarity), "matches"))
+        left = turn.join(pivots.select("token", "id"), ["token", "id"], "left_anti")
+        before, turn = turn.count(), pin(left.join(gone[-1].withColumnRenamed("y", "id"), "id", "left_anti"), "crowd")
+        if before - pivots.count() - turn.count() <= before * WORTH:
             break
-        pairs = _pairs(pivots, turn, similarity)
-        gone = pin(gone.union(_verified(pairs, sets, similarity)).distinct(), "matches")
-        turn = turn.join(pivots.select("token", "num"), ["token", "num"], "left_anti")
-    left = crowd.join(gone, crowd["num"] == gone["y"], "left_anti")
-    return _matched(_pairs(crowd, left, similarity), sets, similarity, gone)
+    # What no round decided meets all others, pivots among it.
+    left = crowd
+    for found in gone:
+        left = left.join(found.withColumnRenamed("y", "id"), "id", "left_anti")
+    gone.append(_matched(_pairs(crowd, left, similarity), sets, similarity))
+    return reduce(DataFrame.union, gone)
 
 
 def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -414,27 +501,27 @@ def removed_lines(documents: DataFrame, key: str = "doc_id", similarity: float =
     """
     docs = _identified(documents, key)
     survey = pin(_survey(docs), "lines")
-    rarity = _rarity(survey)
+    rarity, words = _rarity(survey)
+    buckets = min(max(words // _BUCKET_WORDS, 1), _MOST_BUCKETS)
     lines = survey.where("doc is not null").select("doc", F.posexplode("ids").alias("line", "id")).where("id is not null")
-    firsts = pin(lines.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first")), "lines")
-    met = pin(_meetings(_postings(docs, rarity, similarity), similarity, LIMIT, CROWDED), "meetings")
-    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign", "more").distinct()
+    first, again = F.min(F.struct("doc", "line")).alias("first"), (F.count("*") > 1).alias("again")
+    firsts = pin(lines.groupBy("id").agg(first, again), "lines")
+    met = pin(_meetings(_postings(docs, rarity, similarity, buckets), similarity, LIMIT, CROWDED, buckets), "meetings")
     light = pin(met.where("token is null").select("a", "b").distinct(), "pairs")
-    needed = light.select(F.col("a").alias("id")).union(light.select("b")).union(crowd.select("id")).distinct()
-    # Lines that may match are numbered in their order, so that of two the earlier one is the smaller.
-    placed, _ = numbered(_sets(docs, pin(needed, "needed")).join(firsts, "id"), [F.col("first")], "num", F.count("*"))
-    placed = pin(placed.select("num", "id", "tokens"), "sets")
-    names, sets = placed.select("id", "num"), placed.select("num", "tokens")
-    crowd = pin(crowd.join(names, "id").drop("id"), "crowd")
-    ends = [names.select(F.col("id").alias(c), F.col("num").alias(f"{c}_num")) for c in ("a", "b")]
+    crowd = met.where("token is not null").select("token", F.col("a").alias("id"), "meta", "sign", "more")
+    crowd = pin(crowd.distinct(), "crowd")
+    needed = light.select(F.col("a").alias("id")).union(light.select("b")).union(crowd.select("id"))
+    sets = pin(_sets(docs, needed).join(firsts.select("id", "first"), "id"), "sets")
+    ends = [sets.select(F.col("id").alias(c), F.col("first").alias(f"{c}_first")) for c in ("a", "b")]
     light = light.join(ends[0], "a").join(ends[1], "b")
-    light = light.select(F.least("a_num", "b_num").alias("x"), F.greatest("a_num", "b_num").alias("y"))
-    none = docs.sparkSession.createDataFrame([], "y bigint")
-    gone = _matched(light, sets, similarity, none)
+    turned = F.col("b_first") < F.col("a_first")
+    x, y = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    light = light.select(x.alias("x"), y.alias("y"), F.least("a_first", "b_first").alias("first"))
+    gone = _matched(light, sets, similarity)
     if not crowd.isEmpty():
-        gone = _crowds(crowd, sets, similarity, gone)
-    gone = gone.distinct().join(names.withColumnRenamed("num", "y"), "y").select("id")
-    decided = firsts.join(gone.withColumn("gone", F.lit(True)), "id", "left")
+        gone = _crowds(crowd.join(sets.select("id", "first"), "id"), sets, similarity, gone)
+    gone = gone.select(F.col("y").alias("id"), F.lit(True).alias("gone"))
+    decided = firsts.join(gone, "id", "left").where("again or gone")
     later = F.struct("doc", "line") > F.col("first")
     marked = lines.join(decided, "id").where(later | F.coalesce("gone", F.lit(False)))
     return marked.groupBy("doc").agg(F.collect_set("line").alias("gone"))
@@ -470,9 +557,11 @@ def dedup(documents: DataFrame, key: str = "doc_id", similarity: float = SIMILAR
     rows = documents.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     rows, copies = _copies_apart(rows, "key")
     taken = removed_lines(rows, "key", similarity)
-    own = F.struct(F.col("d.key").alias("key"), F.xxhash64("d.text").alias("mark"))
-    same = own["key"].eqNullSafe(F.col("t.doc.key")) & (own["mark"] == F.col("t.doc.mark"))
-    joined = rows.alias("d").join(taken.alias("t"), same, "left").select("d.row", "d.text", "t.gone")
+    # Texts are sent once, inside their rows.
+    own = rows.select("row", "key", F.xxhash64("text").alias("mark"))
+    same = F.col("d.key").eqNullSafe(F.col("t.doc.key")) & (F.col("d.mark") == F.col("t.doc.mark"))
+    joined = own.alias("d").join(taken.alias("t"), same, "left")
+    joined = joined.select("d.row", F.col("d.row.text").cast("string").alias("text"), "t.gone")
     lines = F.split("text", "\n")
     n_lines = F.coalesce(F.size(lines), F.lit(0)).cast("bigint")
     kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
