@@ -27,8 +27,8 @@ _PARTS = 16
 _BUCKET_WORDS, _MOST_BUCKETS, _SENT = 1 << 16, 1 << 15, 1 << 17
 #: Postings of a bucket in memory before those of crowded tokens are put out; sizes of lines are told apart up to the largest.
 _HELD, _LARGEST = 1 << 20, (1 << 16) - 1
-#: Pairs of postings that a task looks at at a time.
-_TRIED = 200_000
+#: Pairs of postings that a task looks at at a time; tokens with some postings are taken many at a time, and few are no crowd.
+_TRIED, _SOME, _FEW = 200_000, 256, 16
 #: Bits of the filter of needed lines for each of them, and at most: beyond, more sets are sent than needed.
 _NEEDED_BITS, _MOST_BITS = 16, 1 << 27
 #: Line ids that a task remembers, so as not to send a line twice.
@@ -194,7 +194,7 @@ def _picked(hashes: np.ndarray, lengths: np.ndarray, lines: np.ndarray) -> tuple
 def _postings(docs: DataFrame, rarity: np.ndarray, similarity: float, buckets: int) -> DataFrame:
     """(bucket, postings): the prefix of each line, once per line text and task.
 
-    A posting is (token, id, meta, sign, more), see :func:`_fits`; a token is the upper 48 bits of a hash. Postings are sent by the
+    A posting is (token, id, meta, sign, more), see :func:`_reaches` and :func:`_alike`; a token is the upper 48 bits of a hash. Postings are sent by the
     bucket of their token, many in one row: what a task found in a few megabytes of texts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
@@ -254,20 +254,27 @@ def _place(meta):
     return meta & 0xFFFFFFFF if isinstance(meta, np.ndarray) else meta.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _fits(x, y, x_signs, y_signs, similarity: float, least=np.minimum, ceil=np.ceil, ones=np.bitwise_count):
-    """Filters on two postings of one token, on their ``meta`` and the pair (sign, more); none loses a match.
+def _reaches(x, y, similarity: float, least=np.minimum, ceil=np.ceil):
+    """Whether two postings of one token, told by their ``meta``, may belong to lines that match; loses no match.
 
     The lengths must allow the similarity; so must the tokens from this one on, if it is the first
-    that the lines share. ``sign`` and ``more`` have a bit per class of token hashes, set if the line has an odd
-    number of such tokens: each differing bit is a token that only one of the lines has.
+    that the lines share.
     """
     a, b = _size(x), _size(y)
     needed = ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
     rest = least(a - _place(x), b - _place(y))
+    return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed)
+
+
+def _alike(x, y, x_signs, y_signs, similarity: float, ones=np.bitwise_count):
+    """Whether two lines may match by their pairs (sign, more); loses no match.
+
+    These have a bit per class of token hashes, set if the line has an odd number of such tokens: each differing bit is a
+    token that only one of the lines has.
+    """
     apart = [ones(p ^ q if isinstance(p, np.ndarray) else p.bitwiseXOR(q)) for p, q in zip(x_signs, y_signs)]
     apart = apart[0].astype(np.int64) + apart[1] if isinstance(apart[0], np.ndarray) else apart[0] + apart[1]
-    alike = apart <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-9
-    return (a >= b * similarity - 1e-9) & (b >= a * similarity - 1e-9) & (rest >= needed) & alike
+    return apart <= (_size(x) + _size(y)) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
 
 def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int, buckets: int) -> DataFrame:
@@ -281,17 +288,29 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int,
     """
 
     def fitting(ids: np.ndarray, meta: np.ndarray, signs: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray):
+        on = _reaches(meta[x], meta[y], similarity) & (ids[x] != ids[y])
+        x, y = x[on], y[on]
         at_x, at_y = ([s[at].view(np.uint64) for s in signs] for at in (x, y))
-        on = _fits(meta[x], meta[y], at_x, at_y, similarity) & (ids[x] != ids[y])
-        return np.minimum(ids[x[on]], ids[y[on]]), np.maximum(ids[x[on]], ids[y[on]])
-
-    def small(ids, meta, signs, first, size):
-        """Pairs of tokens with few postings, all tokens with the same number of them at once."""
-        for n in np.unique(size):
-            at = first[size == n][:, None]
-            i, j = np.triu_indices(int(n), 1)
-            for some in np.array_split(at, len(at) * len(i) // _TRIED + 1) if n > 1 else ():
-                yield fitting(ids, meta, signs, (some + i).ravel(), (some + j).ravel())
+        on = _alike(meta[x], meta[y], at_x, at_y, similarity)
+        return x[on], y[on]
+
+    def several(ids, meta, signs, first, size):
+        """(pairs, numbers of crowded tokens), of many tokens with some postings at a time; few of them are no crowd."""
+        at, token = ranges(first, size), np.repeat(np.arange(len(first)), size)
+        ids, meta, signs = ids[at], meta[at], [s[at] for s in signs]
+        length = np.minimum(_size(meta), _LARGEST)
+        longest = np.minimum(length / similarity + 1e-6, _LARGEST).astype(np.int64)
+        width = np.searchsorted(token << 16 | length, token << 16 | longest, "right") - np.arange(len(at)) - 1
+        starts, most = run_starts(size), np.where(size > min(_FEW, limit), crowded * size, len(at) ** 2)
+        cuts = np.flatnonzero(np.diff(np.cumsum(np.add.reduceat(width, starts)) // _TRIED, prepend=0)) if len(first) else []
+        for a, b in zip([0, *cuts], [*cuts, len(first)]):
+            if a < b:
+                part = slice(starts[a], starts[b - 1] + size[b - 1])
+                here = np.arange(part.start, part.stop)
+                x, y = fitting(ids, meta, signs, np.repeat(here, width[part]), ranges(here + 1, width[part]))
+                many = np.bincount(token[x] - a, minlength=b - a) > most[a:b]
+                on = ~many[token[x] - a]
+                yield (ids[x[on]], ids[y[on]]), a + np.flatnonzero(many)
 
     def large(ids, meta, signs):
         """Pairs of one token; None if they are too many."""
@@ -303,7 +322,8 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int,
         for a, b in zip([0, *cuts], [*cuts, len(ids)]):
             if a < b:
                 x = np.repeat(here[a:b], width[a:b])
-                found.append(fitting(ids, meta, signs, x, ranges(here[a:b] + 1, width[a:b])))
+                x, y = fitting(ids, meta, signs, x, ranges(here[a:b] + 1, width[a:b]))
+                found.append((ids[x], ids[y]))
                 n += len(found[-1][0])
                 if n > crowded * len(ids):
                     return None
@@ -317,6 +337,7 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int,
     def once(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         """Pairs that met at several tokens, once."""
         a, b = (np.concatenate(c) for c in zip(*pairs))
+        a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.argsort(_mixed(a.view(np.uint64)) + b.view(np.uint64))
         a, b = a[order], b[order]
         fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
@@ -334,17 +355,18 @@ def _meetings(postings: DataFrame, similarity: float, limit: int, crowded: int,
         found, first, size = in_order(found)
         token, ids, meta, *signs = (np.ascontiguousarray(c) for c in found.T)
         known = np.isin(token[first], crowd)
-        few = (size <= min(16, limit)) & ~known
-        pairs, n_pairs = [], 0
-        for met in small(ids, meta, signs, first[few], size[few]):
+        some, pairs, n_pairs = (size <= min(_SOME, limit)) & ~known, [], 0
+        many = (size > limit) | known
+        for met, crowds in several(ids, meta, signs, first[some], size[some]):
+            many[np.flatnonzero(some)[crowds]] = True
             pairs.append(met)
             n_pairs += len(met[0])
             if n_pairs > _TRIED:
                 yield once(pairs)
                 pairs, n_pairs = [], 0
-        for at, n, many in zip(first[~few], size[~few], ((size > limit) | known)[~few]):
-            part = slice(at, at + n)
-            met = None if many else large(ids[part], meta[part], [s[part] for s in signs])
+        for i in np.flatnonzero(~some | many):
+            part = slice(first[i], first[i] + size[i])
+            met = None if many[i] else large(ids[part], meta[part], [s[part] for s in signs])
             if met is None:
                 yield rows(ids[part], None, token[part], meta[part], *[s[part] for s in signs])
                 continue
@@ -397,7 +419,8 @@ def _pairs(x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
     """Distinct candidate pairs (x, y, first) of postings (id, first, token, meta, sign, more) that meet at a token, ``x`` the earlier line."""
     met = x.alias("x").join(y.alias("y"), "token").where(F.col("x.first") < F.col("y.first"))
     signs = [[F.col(f"{side}.sign"), F.col(f"{side}.more")] for side in ("x", "y")]
-    met = met.where(_fits(F.col("x.meta"), F.col("y.meta"), *signs, similarity, F.least, F.ceil, F.bit_count))
+    met = met.where(_reaches(F.col("x.meta"), F.col("y.meta"), similarity, F.least, F.ceil))
+    met = met.where(_alike(F.col("x.meta"), F.col("y.meta"), *signs, similarity, F.bit_count))
     return met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), F.col("x.first").alias("first")).distinct()
 
 
