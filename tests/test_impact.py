@@ -112,6 +112,23 @@ def test_paging_names_each_owner_once_and_what_pages_nobody(spark, rows):
     assert (line["owners_paged"], line["heaviest"], line["unowned_assets"]) == (2, "ann", 1)
 
 
+def test_a_page_holds_the_set_of_all_that_fails(spark, rows):
+    """By name and by number: each asset once and in order, however often it fails or is described; what stays whole is not in it."""
+    g = graph(
+        spark,
+        [asset("r"), asset("c"), asset("b", how="view"), asset("b"), asset("a", cadence="hourly"), asset("e")],
+        [("r", "c"), ("r", "b"), ("b", "a")],
+        owners=[("a", "ann"), ("b", "ann"), ("c", "ann"), ("c", "ann"), ("e", "ann"), ("r", "ann"), ("b", "bo"), ("e", "cy")],
+    )
+    f = faults(spark, ("s", "drop_asset", "r", None, 10), ("s", "stop_new_rows", "r", "x", 70), ("t", "drop_asset", "b", None, 0))
+    want = [("s", "ann", ["a", "b", "c"]), ("s", "bo", ["b"]), ("t", "ann", ["a"])]
+    damage = impact.spread_out(g, f)
+    by_name, by_number = impact.paging(g, impact.events(damage.named())), impact.paging(g, damage.events(), damage=damage)
+    for pages in (by_name, impact.named_pages(by_number, damage)):
+        assert rows(pages.select("scenario", "owner", "assets")) == want
+    assert "collect_set" not in impact.load(by_number, impact.unowned(g, damage.events(), damage=damage))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pages_sort_by_time_not_by_text(spark):
     g = graph(
         spark,
