@@ -39,3 +39,34 @@ def test_only_cycles_and_what_lies_between_them_are_followed_by_rounds(spark, mo
     monkeypatch.setattr(spread, "LEVELS", 1)
     capped, more = swept(spark, chain, starts, monkeypatch)
     assert capped == got and inside < more
+
+
+def test_levels_begin_where_most_edges_go(spark, monkeypatch):
+    """A tree that fans out is taken off from its leaves: all rounds together write fewer edges than there are."""
+    written, pin = [], spread.pin
+
+    def watched(df, label="round", compression=None):
+        done = pin(df, label, compression)
+        written.extend([done.count()] if label == "peeled" else [])
+        return done
+
+    monkeypatch.setattr(spread, "pin", watched)
+    tree = [(n, c) for n in range(63) for c in (2 * n + 1, 2 * n + 2)]
+    for edges in (tree, [(b, a) for a, b in tree]):
+        written.clear()
+        order, core, last = spread.levels(spark.createDataFrame(edges, "from_node bigint, node bigint"))
+        level = {r["node"]: r["level"] for r in order.collect()}
+        assert core is None and last == 6 and all(level.get(a, 0) < level[b] <= last for a, b in edges)
+        assert sum(written) < len(edges), written
+
+
+def test_levels_of_any_graph_lead_upwards(spark):
+    """From either side: edges outside the cycles rise, those within them stay."""
+    random.seed(11)
+    edges = [(random.randrange(9), random.randrange(30)) for _ in range(24)] + [(3, 3), (4, 5), (5, 4), (40, 4), (5, 41)]
+    for pairs in (edges, [(b, a) for a, b in edges]):
+        order, core, last = spread.levels(spark.createDataFrame(sorted(set(pairs)), "from_node bigint, node bigint"))
+        level = {r["node"]: r["level"] for r in order.collect()}
+        assert max(level.values()) <= last and level[3] == level[4] == level[5] == core
+        for a, b in pairs:
+            assert level.get(a, 0) < level.get(b, 0) or level.get(a, 0) == level.get(b, 0) == core, (a, b)
