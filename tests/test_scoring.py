@@ -162,3 +162,50 @@ def test_knockouts_by_number_are_those_by_name(spark, rows):
     assert (got["r"]["datasets_lost"], got["r"]["consumers_lost"], got["r"]["owners_paged"], got["r"]["unowned_lost"]) == (2, 2, 2, 1)
     assert got["alone"]["consumers_lost"] == 0 and got["alone"]["first_consumer_minutes"] is None
     assert rows(knockout.exposure(g, numbers, used, swept)) == rows(knockout.exposure(g, ev, used))
+
+
+def test_recovery_uses_what_the_sweep_has_found(spark, rows, monkeypatch):
+    """Cycles, a dataset that reads itself, an asset that is listed twice, consumers that are read: as by the closure."""
+    import random
+
+    asked, totals = [], knockout.upstream_totals
+
+    def watched(edges, values):
+        asked.append({r["asset"] for r in values.collect()})
+        return totals(edges, values)
+
+    monkeypatch.setattr(knockout, "upstream_totals", watched)
+    random.seed(3)
+    names = [f"n{i}" for i in range(16)]
+    kinds = {n: random.choice(["dataset"] * 3 + ["chart"]) for n in names}
+    flags = {n: random.choice([True, False, False, None]) for n in names} | {"n1": False, "n2": True}
+    assets = [asset(n, kinds[n], replicated=flags[n], fallback=random.choice(["", "copy"])) for n in names]
+    assets += [asset("n0", "dataset", replicated=False), asset("n0", "chart", replicated=True)]
+    edges = [(random.choice(names), random.choice(names)) for _ in range(18)] + [("n1", "n1"), ("n2", "n3"), ("n3", "n2"), ("n9", "end")]
+    datasets = {a[0] for a in assets if a[1] == "dataset"}
+    for links, all_of_them in (edges, False), ([("n4", "hidden"), ("hidden", "n5"), ("n1", "n4")], True):
+        asked.clear()
+        g = graph(spark, assets, links)
+        swept = knockout.sweep(g)
+        got = knockout.recovery(g, None, knockout.by_origin(swept), swept)
+        assert rows(got) == rows(knockout.recovery(g, lineage.closure(g.edges)))
+        assert len(asked) == 1 and bool(asked[0] & datasets) == all_of_them
+
+
+def test_the_tally_tells_owners_apart_and_counts_each_asset_once(spark, rows):
+    """An asset of two owners, one of none, one whose owner has no name; the pairs of the sweep are read as they lie."""
+    g = graph(
+        spark,
+        [asset("r"), asset("a"), asset("b"), asset("c", "dashboard", how="view"), asset("d")],
+        [("r", "a"), ("a", "b"), ("b", "c"), ("r", "d")],
+        owners=[("a", "ann"), ("a", "bo"), ("b", "ann"), ("d", None)],
+    )
+    used = spark.createDataFrame([("a", 3, 1), ("b", 4, 1), ("c", 9, 2)], "asset string, queries bigint, users bigint")
+    swept = knockout.sweep(g)
+    pairs = knockout.by_origin(swept)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    lost = knockout.tally(g, pairs, swept, used)
+    got = {r["origin"]: r.asDict() for r in knockout.knockouts(g, pairs, swept, lost).collect()}
+    assert [got["r"][c] for c in ("datasets_lost", "consumers_lost", "owners_paged", "unowned_lost", "first_consumer_minutes")] == [3, 1, 2, 1, 10]
+    assert [got["a"][c] for c in ("datasets_lost", "consumers_lost", "owners_paged", "unowned_lost")] == [1, 1, 1, 1]
+    assert rows(knockout.exposure(g, pairs, used, swept, lost)) == [("a", 4), ("r", 7)]
